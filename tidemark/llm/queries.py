@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secrets
+from . import packing, pii, secrets, token_files
 from .common import table
 
+#: Where the tokenizer files are; the installed module tells unless the environment does.
+TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "")
+
+
+def vocabulary(name: str) -> str:
+    if TOKENIZER_DIR:
+        return os.path.join(TOKENIZER_DIR, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.tokenize_to_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_packing": op2_packing,
+    "op4_token_files": op4_token_files,
     "op10_secrets": op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {}
