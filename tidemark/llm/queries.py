@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, pii, secrets, simhash, token_files
+from . import contamination, fingerprints, packing, pii, secrets, simhash, token_files
 from .common import table
 
 #: Where the tokenizer files are; the installed module tells unless the environment does.
@@ -37,6 +37,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenize_to_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_fingerprints": op3_fingerprints,
     "op4_token_files": op4_token_files,
+    "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
