@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, fingerprints, packing, pii, secrets, simhash, token_files
+from . import chat, contamination, fingerprints, language, packing, pii, secrets, simhash, token_files, toxicity
 from .common import table
 
 #: Where the tokenizer files are; the installed module tells unless the environment does.
@@ -37,6 +37,18 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenize_to_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.reply_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,8 +66,11 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_fingerprints": op3_fingerprints,
     "op4_token_files": op4_token_files,
+    "op5_language": op5_language,
+    "op6_chat": op6_chat,
+    "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_chat": chat.ORACLE}
