@@ -37,9 +37,9 @@ def test_languages_on_odd_rows(spark):
 
 def test_toxicity_on_unseen_labels(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.fit(docs, labels.filter("doc_id % 2 = 0"))
+    model = toxicity.fit(docs, labels.filter("doc_id % 5 <> 0"))
     assert (np.diff(model.thresholds) > 0).all()
-    unseen = labels.filter("doc_id % 2 = 1").withColumnRenamed("toxic", "label")
+    unseen = labels.filter("doc_id % 5 = 0").withColumnRenamed("toxic", "label")
     rows = toxicity.score(docs, model).join(unseen, "doc_id").select("severity", "grade", "toxic", "p_toxic", "label").collect()
     assert all(0 <= r.severity <= 3 and 0 <= r.grade <= 3 for r in rows)
     recall = np.mean([r[2] for r in rows if r.label])

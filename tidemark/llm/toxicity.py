@@ -7,7 +7,8 @@ letters, which catch the inflected forms of a stem.
 
 Labels tell only toxic or not. The grade of a toxic training row is the third of the toxic rows,
 by number of words that stand out in toxic texts, in which it lies; other rows have grade 0.
-A document is rejected if P(y >= 1) reaches ``REJECT``.
+A document is rejected if P(y >= 1) reaches a threshold: the middle of those that tell the
+training rows apart best.
 
 Fitting uses a sample of at most about ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` other labelled
 rows; the features are the ``FEATURES`` that separate the two best.
@@ -22,16 +23,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, steps
+from .common import id_and_text, steps, written
+from .fingerprints import bin_minima
+from .shingles import hash_words
+from .shingles import words_of as shingle_words
 
 TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
 FEATURES = 400
 LEAST_ROWS = 4  # toxic rows that must have a feature
+LEAST_BOUND = 1.0  # lower bound of its log-odds ratio
 GRADES = 3
-REJECT = 0.5
 
 RESULT = "doc_id long, severity double, grade int, p_toxic double, toxic boolean"
 
@@ -56,6 +60,16 @@ def word_features(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in _STEMS if len(word) >= n)] if word else []
 
 
+def _best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The middle of the first range of cuts at which recall less false alarms is highest."""
+    order = np.argsort(p, kind="stable")
+    gain = np.concatenate([[0.0], np.cumsum(np.where(toxic[order], -1 / toxic.sum(), 1 / (~toxic).sum()))])
+    held = np.concatenate([[0.0], p[order], [1.0]])
+    gain[1:-1][held[1:-2] == held[2:-1]] = -1  # no cut lies between equal values
+    k = int(gain.argmax())
+    return float((held[k] + held[k + 1]) / 2)
+
+
 @dataclass
 class Ordinal:
     """Cumulative-link model over named features."""
@@ -63,9 +77,10 @@ class Ordinal:
     features: list[str]
     weights: np.ndarray
     thresholds: np.ndarray
+    reject: float = 0.5
 
     @classmethod
-    def fit(cls, features: list[str], x: np.ndarray, grade: np.ndarray, l2: float = 1.0, rounds: int = 600, rate: float = 0.05) -> Ordinal:
+    def fit(cls, features: list[str], x: np.ndarray, grade: np.ndarray, l2: float = 10.0, rounds: int = 600, rate: float = 0.05) -> Ordinal:
         n, k = len(grade), GRADES
         target = grade[:, None] > np.arange(k)[None, :]
         # Toxic and other rows weigh alike.
@@ -82,7 +97,9 @@ class Ordinal:
             m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
             p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, theta = p[: x.shape[1]], p[x.shape[1]] + np.concatenate([[0.0], np.cumsum(np.exp(p[x.shape[1] + 1 :]))])
-        return cls(features, w, theta)
+        model = cls(features, w, theta)
+        model.reject = _best_cut(model.at_least(x)[:, 0], grade > 0)
+        return model
 
     def at_least(self, x: np.ndarray) -> np.ndarray:
         """P(y >= 1), P(y >= 2), ... for each row."""
@@ -112,8 +129,19 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts = marks.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean")).first()
     rate = F.when(F.col("toxic") > 0, min(1.0, TOXIC_ROWS / max(1, counts.toxic))).otherwise(min(1.0, CLEAN_ROWS / max(1, counts.clean)))
     drawn = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < rate * (1 << 20))
-    rows = id_and_text(docs)
-    return rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic")  # drawn: some thousand ids by its rates
+    rows = id_and_text(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic")  # drawn: some thousand ids by its rates
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            minima = [bin_minima(hash_words(shingle_words(t), 5), 4).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[i] for m in minima], pa.int64()) for i in range(4))], names=["doc_id", "text", "toxic", "s0", "s1", "s2", "s3"])
+
+    # Copies would make the words of one text look like signs of its label.
+    signed = rows.mapInArrow(sign, "doc_id long, text string, toxic int, s0 long, s1 long, s2 long, s3 long")
+    for column in ("s0", "s1", "s2", "s3"):
+        first = Window.partitionBy(column).orderBy("doc_id", "text")
+        signed = signed.withColumn("n", F.row_number().over(first)).filter("n = 1")
+    return written(signed.select("doc_id", "text", "toxic"), "toxic-sample")
 
 
 def _feature_counts(sample: DataFrame) -> DataFrame:
@@ -136,11 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal | None:
     sizes = {r.toxic: r["count"] for r in sample.groupBy(F.expr("toxic > 0").alias("toxic")).count().collect()}
     if len(sizes) < 2:
         return None
-    # z-score of the log-odds of a feature's share of rows, toxic against clean.
+    # The lower confidence bound of the log-odds ratio of having the feature, toxic against clean.
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(a / (sizes[True] - F.col("toxic") + 0.5)) - F.log(b / (sizes[False] - F.col("clean") + 0.5))
-    ranked = _feature_counts(sample).filter(F.col("toxic") >= LEAST_ROWS).withColumn("z", odds / F.sqrt(1 / a + 1 / b))
-    features = [r.feature for r in ranked.filter("z > 2.5").orderBy(F.desc("z"), "feature").limit(FEATURES).collect()]
+    ranked = _feature_counts(sample).filter(F.col("toxic") >= LEAST_ROWS).withColumn("bound", odds - 1.64 * F.sqrt(1 / a + 1 / b))
+    features = [r.feature for r in ranked.filter(F.col("bound") > LEAST_BOUND).orderBy(F.desc("bound"), "feature").limit(FEATURES).collect()]
     if not features:
         return None
 
@@ -173,7 +201,7 @@ def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
             p = _scores(batch.column(1), model)
             each = np.concatenate([1 - p[:, :1], p[:, :-1] - p[:, 1:], p[:, -1:]], axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(p.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= REJECT)],
+                [batch.column(0), pa.array(p.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= model.reject if model else np.zeros(len(p), bool))],
                 names=[c.split()[0] for c in RESULT.split(", ")],
             )
 
@@ -191,6 +219,6 @@ def drop_toxic(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             p = _scores(pc.fill_null(batch.column(at), ""), model)
-            yield batch.filter(pa.array(p[:, 0] < REJECT))
+            yield batch.filter(pa.array(p[:, 0] < model.reject)) if model else batch
 
     return docs.mapInArrow(keep, schema)
