@@ -9,13 +9,16 @@ the ``tokenizers`` library once and then looked up:
   is encoded whole.
 * ``white``: vocabularies that drop white space, cut at any run of ASCII white space.
 
-The memo lives in the Python worker, holds at most ``MEMO_PIECES`` pieces of at most
-``MEMO_CHARS`` characters, and is emptied when full.
+The memo lives in the Python worker and is emptied before a step once it has ``MEMO_PIECES``
+pieces. A new piece of plain Latin letters is cut into pre-tokens, with a memo of their own,
+and the library's model encodes each; any other piece goes through the whole library.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,37 +27,101 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
-MEMO_PIECES = 400_000
-MEMO_CHARS = 64
+MEMO_PIECES = 500_000
 
 #: All that either engine takes for white space, and the controls that only one of them does.
 _WHITE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _WHITE_PAIR = _WHITE + "{2}"
 
+#: Pieces for which the expressions below cut as the pre-tokenizers do: ASCII and the letters of Latin-1.
+_PLAIN = {"space": re.compile(r"[ \n!-~À-ÿ]*"), "white": re.compile(r"[!-~À-ÿ]*")}
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PRE_TOKENS = {
+    "space": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+"),
+    "white": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+"),
+}
+#: Byte-level vocabularies write a byte as a character: itself if it is printable, else one from 256 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
+class Memo:
+    """Ids by piece: a dict to a place in flat arrays."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts, self.lengths = np.empty(1024, np.int64), np.empty(1024, np.int64)
+        self.flat, self.used = np.empty(8192, np.uint16), 0
+
+    def add(self, pieces: list[str], ids: list[list[int]]) -> None:
+        n, lengths = len(self.place), np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(lengths.sum())
+        while len(self.starts) < n + len(ids):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while len(self.flat) < self.used + total:
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.starts[n : n + len(ids)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n : n + len(ids)] = lengths
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint16, total)
+        self.used += total
+        self.place.update(zip(pieces, range(n, n + len(ids)), strict=True))
+
+
 class Encoder:
     def __init__(self, path: str, cut: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a text cannot forge control ids
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids must fit in 16 bits")
         self.cut = cut
-        self.memo: dict[str, np.ndarray] = {}
-
-    def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        self.memo = Memo(MEMO_PIECES)
+        self.words: dict[str, list[int]] = {}
+
+    def encode_whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of one pre-token, from the library's model."""
+        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARACTERS))]
+
+    def _encode_new(self, pieces: list[str]) -> list[list[int]]:
+        """Pieces of plain Latin letters are cut into pre-tokens here; the library cuts all others."""
+        out: list[list[int] | None] = []
+        plain, cut, words = _PLAIN[self.cut].fullmatch, _PRE_TOKENS[self.cut].findall, self.words
+        if len(words) > MEMO_PIECES:
+            words.clear()
+        for piece in pieces:
+            if not plain(piece):
+                out.append(None)
+                continue
+            ids: list[int] = []
+            for word in cut(piece.lower() if self.cut == "white" else piece):
+                if (own := words.get(word)) is None:
+                    own = words[word] = self._word(word)
+                ids += own
+            out.append(ids)
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self.encode_whole([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        """The places of the pieces in the memo, which all are in it afterwards."""
         memo = self.memo
-        found = [memo.get(p) for p in pieces]
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        if len(memo) + len(missing) > MEMO_PIECES:
+        if len(memo.place) > MEMO_PIECES or memo.used > 8 * MEMO_PIECES:
             memo.clear()
-        for i, ids in zip(missing, self.encode_whole([pieces[i] for i in missing]), strict=True):
-            found[i] = ids
-            if len(pieces[i]) <= MEMO_CHARS and len(memo) < MEMO_PIECES:
-                memo[pieces[i]] = ids
-        return found
+        found = list(map(memo.place.get, pieces))
+        missing = list(dict.fromkeys(p for p, at in zip(pieces, found, strict=True) if at is None))
+        if missing:
+            memo.add(missing, self._encode_new(missing))
+            found = list(map(memo.place.__getitem__, pieces))
+        return np.array(found, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the n + 1 places between texts. No nulls."""
@@ -76,18 +143,16 @@ class Encoder:
             codes = codes.astype(np.int64)
             codes[bounds[:-1]] = len(pieces) + at
             pieces = [" " + p for p in pieces] + [pieces[i] for i in firsts.tolist()]
-        ids = self._encode_pieces(pieces)
-        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = np.cumsum(lengths) - lengths
+        at = self._places(pieces)
+        lengths, starts = self.memo.lengths[at], self.memo.starts[at]
         piece_lengths = lengths[codes]
         ends = np.concatenate([[0], np.cumsum(piece_lengths)])
-        out = flat[np.repeat(starts[codes] - ends[:-1], piece_lengths) + np.arange(ends[-1])]
+        out = self.memo.flat[np.repeat(starts[codes] - ends[:-1], piece_lengths) + np.arange(ends[-1])]
         places = ends[bounds]
         if not whole.any():
             return out, places
         at = np.flatnonzero(whole)
-        replaced = dict(zip(at.tolist(), self.encode_whole(texts.take(pa.array(at)).to_pylist()), strict=True))
+        replaced = dict(zip(at.tolist(), (np.array(x, np.uint16) for x in self.encode_whole(texts.take(pa.array(at)).to_pylist())), strict=True))
         parts = [replaced.get(i, out[places[i] : places[i + 1]]) for i in range(n)]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
