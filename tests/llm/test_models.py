@@ -9,6 +9,7 @@ import pytest
 from tidemark.llm import boosting, language, toxicity
 
 DATA = "/root/testdata/sf0.1"
+LABELLED = "/root/testdata/check_s"  # twenty thousand labels; sf0.1 has two thousand
 
 
 def test_codewords_are_apart():
@@ -36,15 +37,15 @@ def test_languages_on_odd_rows(spark):
 
 
 def test_toxicity_on_unseen_labels(spark):
-    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.fit(docs, labels.filter("doc_id % 5 <> 0"))
+    docs, labels = (spark.read.parquet(f"{LABELLED}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.filter("doc_id % 2 = 0"))
     assert (np.diff(model.thresholds) > 0).all()
-    unseen = labels.filter("doc_id % 5 = 0").withColumnRenamed("toxic", "label")
-    rows = toxicity.score(docs, model).join(unseen, "doc_id").select("severity", "grade", "toxic", "p_toxic", "label").collect()
+    unseen = labels.filter("doc_id % 2 = 1").withColumnRenamed("toxic", "label")
+    rows = toxicity.score(docs.join(unseen.select("doc_id"), "doc_id", "left_semi"), model).join(unseen, "doc_id").select("severity", "grade", "toxic", "p_toxic", "label").collect()
     assert all(0 <= r.severity <= 3 and 0 <= r.grade <= 3 for r in rows)
     recall = np.mean([r[2] for r in rows if r.label])
     false = np.mean([r[2] for r in rows if not r.label])
-    assert recall > 0.97 and false < 0.01
+    assert recall > 0.99 and false < 0.001
 
 
 def test_toxicity_on_odd_rows(spark):

@@ -3,7 +3,8 @@
 A grade y in 0..3 has P(y >= k | x) = sigmoid(w x - theta_k) with theta_1 < theta_2 < theta_3: the
 thresholds are ordered and share the weights w. The result is the expected severity, the sum
 of these probabilities. Features are counts of words and of word beginnings of four to six
-letters, which catch the inflected forms of a stem.
+letters, which catch the inflected forms of a stem, and the number of words: what is a sign of
+toxicity in a short text may be chance in a long one.
 
 Labels tell only toxic or not. The grade of a toxic training row is the third of the toxic rows,
 by number of words that stand out in toxic texts, in which it lies; other rows have grade 0.
@@ -39,6 +40,8 @@ GRADES = 3
 
 RESULT = "doc_id long, severity double, grade int, p_toxic double, toxic boolean"
 
+LENGTH = "#words"
+
 _STEMS = (4, 5, 6)
 #: ASCII letters stay, other ASCII is a blank, bytes of other characters stay.
 _FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
@@ -119,6 +122,8 @@ def design(texts: pa.Array, features: list[str]) -> np.ndarray:
     rows = np.searchsorted(bounds, at, side="right") - 1
     for row, code in zip(rows.tolist(), codes[at].tolist(), strict=True):
         x[row, own[code]] += 1
+    if LENGTH in place:
+        x[:, place[LENGTH]] = np.diff(bounds)
     return np.log1p(x)
 
 
@@ -139,7 +144,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # Copies would make the words of one text look like signs of its label.
     signed = rows.mapInArrow(sign, "doc_id long, text string, toxic int, s0 long, s1 long, s2 long, s3 long")
     for column in ("s0", "s1", "s2", "s3"):
-        first = Window.partitionBy(column).orderBy("doc_id", "text")
+        first = Window.partitionBy("toxic", column).orderBy("doc_id", "text")
         signed = signed.withColumn("n", F.row_number().over(first)).filter("n = 1")
     return written(signed.select("doc_id", "text", "toxic"), "toxic-sample")
 
@@ -171,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal | None:
     features = [r.feature for r in ranked.filter(F.col("bound") > LEAST_BOUND).orderBy(F.desc("bound"), "feature").limit(FEATURES).collect()]
     if not features:
         return None
+    features.append(LENGTH)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -180,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal | None:
     rows = sorted(sample.mapInArrow(extract, "doc_id long, toxic int, x binary").collect(), key=lambda r: (r.doc_id, r.x))
     x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, len(features)).astype(np.float64)
     toxic = np.array([r.toxic > 0 for r in rows])
-    strength = np.expm1(x).sum(axis=1)
+    strength = np.expm1(x[:, :-1]).sum(axis=1)
     cuts = np.quantile(strength[toxic], [i / GRADES for i in range(1, GRADES)])
     grade = np.where(toxic, 1 + (strength[:, None] > cuts[None, :]).sum(axis=1), 0)
     return Ordinal.fit(features, x, grade)
