@@ -49,7 +49,7 @@ def test_toxicity_on_unseen_labels(spark):
 
 
 def test_toxicity_on_odd_rows(spark):
-    docs = spark.createDataFrame([(i, "you vile creature, vileness " + "word " * i if i % 2 else "a kind word " * i, 3) for i in range(1, 60)] + [(100, None, 1), (101, "", 1), (None, "vile vile", 1), (1, "vile vile vile", 1)], "doc_id long, text string, toxic int")
+    docs = spark.createDataFrame([(i, ("you vile creature, vileness " if i % 2 else "a kind word ") + " ".join(f"w{i * j}" for j in range(1, 30)), 3) for i in range(1, 60)] + [(100, None, 1), (101, "", 1), (None, "vile vile", 1), (1, "vile vile vile", 1)], "doc_id long, text string, toxic int")
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 60)] + [(2, 1, None), (None, 1, 1), (1, 1, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.score_toxicity(docs, labels).collect()
     assert len(got) == docs.count()
