@@ -2,7 +2,8 @@
 
 Each micro-batch is classified against the running maximum that the batches before it left, which
 is kept as a one-row table for each batch id, so a replayed batch starts from the same state and
-overwrites its own output. ``dedup_stream`` is the keyed-state alternative for event time.
+overwrites its own output. Ids seen before are read back only as far as the lateness bound reaches;
+copies of an event are taken to share its time. ``dedup_stream`` is the keyed-state alternative.
 """
 
 from __future__ import annotations
@@ -50,7 +51,10 @@ class SilverStream:
             start = self._before(spark, "state", batch_id, "max_ms long").agg(F.max("max_ms")).first()[0]
             marked = classify(batch, o.watermark, o.arrival, start)
             live = first_per_key(marked.filter("watermark_classification <> 'discard'"), "event_id", o.arrival, ("timestamp_ms",))
-            seen = self._before(spark, "seen", batch_id, "event_id string").select(F.col("event_id").alias("_id"))
+            seen = self._before(spark, "seen", batch_id, "event_id string, timestamp_ms long")
+            if start is not None:  # copies of older events would be discarded, so their ids need not be read
+                seen = seen.filter(F.col("timestamp_ms") >= start - o.watermark.max_late_ms)
+            seen = seen.select(F.col("event_id").alias("_id"))
             fresh = live.join(seen, live["event_id"].eqNullSafe(seen["_id"]), "left_anti").persist()
             bad = F.size("errors") > 0
             if not o.validate_late:
@@ -61,7 +65,7 @@ class SilverStream:
             if "ingestion_date" in invalid.columns:
                 invalid = invalid.drop("ingestion_date")
             self._write(quality.quarantine(invalid, self.processed_ms), "quarantine", batch_id)
-            self._write(fresh.select("event_id"), "seen", batch_id)
+            self._write(fresh.select("event_id", "timestamp_ms"), "seen", batch_id)
             top = batch.agg(F.max("timestamp_ms").alias("max_ms")).select(F.greatest("max_ms", F.lit(start).cast("long")).alias("max_ms"))
             self._write(top, "state", batch_id)
             fresh.unpersist()
