@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from .shingles import hash_words, words_of
 WORDS = 5
 BINS = 512
 LOW_BITS = 4
+ATTEMPTS = 32  # of an empty bin that are looked up at once
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 NAMES = [c.split()[0] for c in RESULT.split(", ")]
@@ -37,6 +39,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@cache
+def _draws(bins: int, at: int) -> np.ndarray:
+    """From which bins each bin borrows, in its attempts ``ATTEMPTS * at`` and following; a row for each attempt."""
+    attempts = np.arange(ATTEMPTS * at + 1, ATTEMPTS * (at + 1) + 1, dtype=np.uint64)
+    keys = np.arange(bins, dtype=np.uint64)[None, :] * np.uint64(1 << 20) + attempts[:, None]
+    return (_mix(keys) % np.uint64(bins)).astype(np.int64)
+
+
 def bin_minima(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
     """The minimum of each bin, after densification. No shingles: all bins zero."""
     if not len(hashes):
@@ -46,13 +56,14 @@ def bin_minima(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
     first = np.flatnonzero(np.concatenate([[True], bin_of[1:] != bin_of[:-1]]))
     values, full = np.zeros(bins, np.uint64), np.zeros(bins, bool)
     values[bin_of[first]], full[bin_of[first]] = ordered[first], True
-    empty = np.flatnonzero(~full)
-    attempt = 1
+    empty, at = np.flatnonzero(~full), 0
     while len(empty):
-        draw = (_mix(empty.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
-        lent = full[draw]
-        values[empty[lent]] = values[draw[lent]]
-        empty, attempt = empty[~lent], attempt + 1
+        draws = _draws(bins, at)[:, empty]
+        lends = full[draws]
+        found = lends.argmax(axis=0)
+        lent = lends[found, np.arange(len(empty))]
+        values[empty[lent]] = values[draws[found[lent], np.flatnonzero(lent)]]
+        empty, at = empty[~lent], at + 1
     return values
 
 
@@ -74,6 +85,11 @@ def fingerprint(text: str) -> np.ndarray:
     return low_bits(bin_minima(hash_words(words_of(text), WORDS)))
 
 
+def _hashed(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    hashes = hash_words(words_of(text), WORDS)
+    return text, hashes, low_bits(bin_minima(hashes))
+
+
 def edited_text(text: str, following: str) -> str:
     """The last third of the code points replaced by the first as many of the text that follows."""
     n = len(text) // 3
@@ -95,13 +111,13 @@ def _edited_hashes(text: str, edited: str, hashes: np.ndarray) -> np.ndarray:
 def _compare(rows: Iterator[tuple[int | None, str, str]]) -> Iterator[pa.RecordBatch]:
     """Results for (doc_id, text, text that follows), which come so that a text's follower is the next text, as a rule."""
     out: list[list] = [[] for _ in NAMES]
-    last_text, last = None, None
+    known: tuple[str, np.ndarray, np.ndarray] | None = None  # the last follower, its hashes and its fingerprint
     for doc_id, text, following in rows:
-        hashes = hash_words(words_of(text), WORDS)
-        own = last if text is last_text or text == last_text else low_bits(bin_minima(hashes))
+        _, hashes, own = known if known and known[0] == text else _hashed(text)
         edited = edited_text(text, following)
         other = low_bits(bin_minima(_edited_hashes(text, edited, hashes)))
-        last_text, last = following, fingerprint(following)
+        known = _hashed(following)
+        last = known[2]
         row = (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), packed(own), packed(other), likeness(own, other), likeness(own, last))
         for column, value in zip(out, row, strict=True):
             column.append(value)
@@ -129,7 +145,7 @@ def with_follower(docs: DataFrame) -> DataFrame:
     n = max(2, 4 * shuffle_partitions(spark))
     # Cuts between runs: some (doc_id, tie) keys, about evenly spaced by doc_id.
     shares = ", ".join(str(i / n) for i in range(1, n))
-    found = keys.agg(F.expr(f"approx_percentile(doc_id, array({shares}), 10000)").alias("cuts")).first().cuts
+    found = keys.agg(F.expr(f"approx_percentile(doc_id, array({shares}), {max(10_000, 10 * n)})").alias("cuts")).first().cuts
     cuts = sorted(set(found or []))
     if not cuts:
         cuts = [0]
