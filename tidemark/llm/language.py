@@ -24,6 +24,7 @@ from .common import id_and_text, steps
 
 BUCKETS = 4096
 ROWS_PER_LANGUAGE = 250  # the classifiers are fitted on about so many labelled rows of each language
+MOST_LANGUAGES = 200  # the most frequent labels that are learned, against labels that are noise
 RIDGE = 0.05
 AMBIGUOUS = 0.6  # a best probability below this is flagged
 UNDETERMINED = "und"
@@ -119,13 +120,11 @@ def fit(docs: DataFrame) -> Codes | None:
     each language; features are made on the executors, so the driver gets bounded rows.
     """
     usable = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
+    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    if not frequent:
         return None
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, ROWS_PER_LANGUAGE / n))).otherwise(rate)
-    sample = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < rate * (1 << 20))
+    rates = F.create_map(*[F.lit(x) for r in frequent for x in (r.lang, min(1.0, ROWS_PER_LANGUAGE / r["count"]))])
+    sample = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < F.coalesce(rates[F.col("lang")], F.lit(0.0)) * (1 << 20))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
