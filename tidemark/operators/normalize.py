@@ -66,8 +66,13 @@ def _first_error(*tests: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(bad, F.lit(message)) for bad, message in tests], F.lit(None).cast("string")).alias("error")
 
 
+def _parsed(payloads: DataFrame, column: str, schema: str) -> DataFrame:
+    """(p): each payload parsed once. A plain projection would be merged into its many uses and parsed in each."""
+    return payloads.select(F.explode(F.array(F.from_json(column, schema))).alias("p"))
+
+
 def shopify(payloads: DataFrame, now_ms: int, column: str = "value") -> DataFrame:
-    p = payloads.select(F.from_json(column, SHOPIFY).alias("p"))
+    p = _parsed(payloads, column, SHOPIFY)
     order, customer = _truthy(F.col("p.id")), F.coalesce(_truthy(F.col("p.customer.id")), _truthy(F.col("p.customer_id")))
     created = _truthy(F.col("p.created_at"))
     total = F.coalesce(_truthy(F.col("p.total_price")), F.col("p.subtotal_price"), F.lit("0"))
@@ -80,7 +85,7 @@ def shopify(payloads: DataFrame, now_ms: int, column: str = "value") -> DataFram
 
 
 def woocommerce(payloads: DataFrame, now_ms: int, column: str = "value") -> DataFrame:
-    p = payloads.select(F.from_json(column, WOOCOMMERCE).alias("p"))
+    p = _parsed(payloads, column, WOOCOMMERCE)
     order, customer = _truthy(F.col("p.id")), _truthy(F.col("p.customer_id"))
     created = F.coalesce(_truthy(F.col("p.date_created")), _truthy(F.col("p.date_created_gmt")))
     country = F.coalesce(_truthy(F.col("p.billing.country")), F.lit(DEFAULT_COUNTRY))
