@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 #: Characters of text that one vectorised step takes at most, unless a single document is longer.
 STEP_CHARS = 4 << 20
 
+#: Bytes of an Arrow batch between the JVM and Python, so that buffers do not grow with the rows' length.
+BATCH_BYTES = 8 << 20
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -53,7 +56,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bytes of an Arrow batch to ``BATCH_BYTES`` if they are more or unbounded."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is not None and not 0 < int(now.strip().rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -74,6 +86,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = S
                 start, held = i, 0
             held += size + 1
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # workers stay, for other stages
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

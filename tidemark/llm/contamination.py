@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, steps
+from .common import bounded_batches, id_and_text, steps
 from .fmindex import FMIndex
 
 WINDOW = 10
@@ -199,6 +199,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows whose text holds a window of the benchmark; rows of a null text stay."""
+    bounded_batches(docs.sparkSession)
     spark, schema = docs.sparkSession, docs.schema
     at = docs.columns.index("text")
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).distinct()

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .boosting import BoostedTrees, Isotonic
-from .common import id_and_text, steps
+from .common import bounded_batches, id_and_text, steps
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_SENTENCES = 3000
@@ -281,6 +281,7 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns, with personal data masked in ``text_col``; null stays null."""
+    bounded_batches(docs.sparkSession)
     chooser, schema = selector(), docs.schema
     at = docs.columns.index(text_col)
 

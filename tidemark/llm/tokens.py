@@ -10,15 +10,16 @@ the ``tokenizers`` library once and then looked up:
 * ``white``: vocabularies that drop white space, cut at any run of ASCII white space.
 
 The memo lives in the Python worker and is emptied before a step once it has ``MEMO_PIECES``
-pieces. A new piece of plain Latin letters is cut into pre-tokens, with a memo of their own,
-and the library's model encodes each; any other piece goes through the whole library.
+pieces, which take about 60 MB. A new piece of plain Latin letters is cut into pre-tokens, with a
+memo of their own (``MEMO_WORDS``, as large), and the library's model encodes each; any other
+piece goes through the whole library.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
-MEMO_PIECES = 500_000
+MEMO_PIECES = 300_000
+MEMO_WORDS = 300_000
 
 #: All that either engine takes for white space, and the controls that only one of them does.
 _WHITE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -50,17 +52,16 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 class Memo:
     """Ids by piece: a dict to a place in flat arrays."""
 
-    def __init__(self, most: int):
-        self.most = most
+    def __init__(self):
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.starts, self.lengths = np.empty(1024, np.int64), np.empty(1024, np.int64)
+        self.starts, self.lengths = np.empty(1024, np.int32), np.empty(1024, np.int32)
         self.flat, self.used = np.empty(8192, np.uint16), 0
 
-    def add(self, pieces: list[str], ids: list[list[int]]) -> None:
-        n, lengths = len(self.place), np.fromiter(map(len, ids), np.int64, len(ids))
+    def add(self, pieces: list[str], ids: list[bytes]) -> None:
+        n, lengths = len(self.place), np.fromiter(map(len, ids), np.int64, len(ids)) // 2
         total = int(lengths.sum())
         while len(self.starts) < n + len(ids):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
@@ -68,7 +69,7 @@ class Memo:
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.starts[n : n + len(ids)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[n : n + len(ids)] = lengths
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint16, total)
+        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(ids), np.uint16)
         self.used += total
         self.place.update(zip(pieces, range(n, n + len(ids)), strict=True))
 
@@ -80,27 +81,28 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.cut = cut
-        self.memo = Memo(MEMO_PIECES)
-        self.words: dict[str, list[int]] = {}
+        self.model = self.tokenizer.model
+        self.memo = Memo()
+        self.words: dict[str, bytes] = {}
 
     def encode_whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         """Ids of one pre-token, from the library's model."""
-        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARACTERS))]
+        return array("H", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARACTERS))]).tobytes()
 
-    def _encode_new(self, pieces: list[str]) -> list[list[int]]:
-        """Pieces of plain Latin letters are cut into pre-tokens here; the library cuts all others."""
-        out: list[list[int] | None] = []
+    def _encode_new(self, pieces: list[str]) -> list[bytes]:
+        """16-bit ids. Pieces of plain Latin letters are cut into pre-tokens here; the library cuts all others."""
+        out: list[bytes | None] = []
         plain, cut, words = _PLAIN[self.cut].fullmatch, _PRE_TOKENS[self.cut].findall, self.words
-        if len(words) > MEMO_PIECES:
+        if len(words) > MEMO_WORDS:
             words.clear()
         for piece in pieces:
             if not plain(piece):
                 out.append(None)
                 continue
-            ids: list[int] = []
+            ids = b""
             for word in cut(piece.lower() if self.cut == "white" else piece):
                 if (own := words.get(word)) is None:
                     own = words[word] = self._word(word)
@@ -108,7 +110,7 @@ class Encoder:
             out.append(ids)
         rest = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(rest, self.encode_whole([pieces[i] for i in rest]), strict=True):
-            out[i] = ids
+            out[i] = array("H", ids).tobytes()
         return out
 
     def _places(self, pieces: list[str]) -> np.ndarray:
@@ -146,8 +148,8 @@ class Encoder:
         at = self._places(pieces)
         lengths, starts = self.memo.lengths[at], self.memo.starts[at]
         piece_lengths = lengths[codes]
-        ends = np.concatenate([[0], np.cumsum(piece_lengths)])
-        out = self.memo.flat[np.repeat(starts[codes] - ends[:-1], piece_lengths) + np.arange(ends[-1])]
+        ends = np.concatenate([[0], np.cumsum(piece_lengths, dtype=np.int64)])
+        out = self.memo.flat[np.repeat((starts[codes] - ends[:-1]).astype(np.int32), piece_lengths) + np.arange(ends[-1], dtype=np.int32)]
         places = ends[bounds]
         if not whole.any():
             return out, places

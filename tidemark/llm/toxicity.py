@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, steps, written
+from .common import bounded_batches, id_and_text, steps, written
 from .fingerprints import bin_minima
 from .shingles import hash_words
 from .shingles import words_of as shingle_words
@@ -220,6 +220,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     """``docs`` without the rows that the model rejects; rows of a null text stay."""
+    bounded_batches(docs.sparkSession)
     schema, at = docs.schema, docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
