@@ -135,6 +135,27 @@ def test_near_duplicates_are_found_and_others_stay(spark, monkeypatch):
     assert None in ids and set(got.values()) == {d for d in ids if d is not None}
 
 
+def test_near_duplicate_classes_are_chains_of_exact_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_MOST", 16)
+    rng = random.Random(21)
+    texts = ["", "one", "one two", "some five words of text"]
+    for i in range(60):
+        words = [str(rng.random()) for _ in range(200)]
+        texts.append(" ".join(words))
+        # Replacing every word from some place on leaves similarities from 0.66 to 0.9.
+        for _ in range(2):
+            kept = 196 * 2 * (s := 0.66 + 0.24 * i / 59) / (1 + s)
+            n = round(kept) + 4
+            texts.append(" ".join(words[:n] + [str(rng.random()) for _ in range(200 - n)]))
+    words = texts[4].split()
+    texts += [" ".join([*words[:at], "changed", *words[at + 1 :]]) for at in range(20, 180, 4)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n int")
+    links = [(a, b) for a, s in rows for b, t in rows if a < b and jaccard(s, t) >= 0.8]
+    root = plain_classes(links, range(len(texts)))
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(docs).collect()} == root
+
+
 def test_fingerprints_match_texts(spark):
     docs = frame(spark, sample())
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)

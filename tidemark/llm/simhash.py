@@ -6,8 +6,9 @@
 Jaccard similarity of their sets of five-word shingles is 0.8 or more. At that similarity
 64-bit SimHashes differ in 3 to 14 bits, a radius at which the triangle bound prunes nothing,
 so SimHash neighbours alone would miss most pairs. Its candidates are therefore the SimHash
-neighbours and, beside them, texts that share a band of MinHash values; both kinds of
-candidates are decided by the MinHash estimate of the similarity.
+neighbours and, beside them, texts that share a band of MinHash values; both kinds are kept
+if the MinHash estimate of the similarity, with slack, allows it. Within each component of
+the candidates the pairs are then decided by the exact similarity of their shingle sets.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ SIMILARITY = 0.8
 SKETCH_BINS = 256
 SKETCH_BITS = 16
 BANDS, ROWS = 20, 5
-#: Two standard errors of the estimate at SIMILARITY: (0.8 * 0.2 / 256) ** 0.5 * 2.
-SLACK = 0.05
+#: Four standard errors of the estimate at SIMILARITY: (0.8 * 0.2 / 256) ** 0.5 * 4.
+SLACK = 0.1
 CELL_MOST = 2048
+#: Shingles of a part whose sets are compared, which bounds a cell's memory for long texts.
+CELL_SHINGLES = 1 << 20
 
 
 def fingerprints(docs: DataFrame, words: int = FINGERPRINT_WORDS) -> DataFrame:
@@ -65,24 +68,29 @@ def simhash_classes(docs: DataFrame, words: int = FINGERPRINT_WORDS, radius: int
     return own.join(classes, "word", "left").select("doc_id", F.lower(F.lpad(F.hex("word"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest of the words, simhash, sketch): of equal digests the words are equal."""
+    """(doc_id, digest of the words, simhash, sketch, shingles): of equal digests the words are equal."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            digests, simhashes, sketches = [], [], []
+            digests, simhashes, sketches, counts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 hashes = hash_words(words, WORDS)
-                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                digests.append(_digest(words))
+                counts.append(len(hashes))
                 simhashes.append(simhash(hashes))
                 sketches.append(low_bits(bin_minima(hashes, SKETCH_BINS), SKETCH_BITS).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(np.array(simhashes, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())],
-                names=["doc_id", "digest", "word", "sketch"],
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(np.array(simhashes, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(counts, pa.int64())],
+                names=["doc_id", "digest", "word", "sketch", "shingles"],
             )
 
-    return id_and_text(docs).filter("doc_id IS NOT NULL").mapInArrow(compute, "doc_id long, digest binary, word long, sketch binary")
+    return id_and_text(docs).filter("doc_id IS NOT NULL").mapInArrow(compute, "doc_id long, digest binary, word long, sketch binary, shingles long")
 
 
 def _estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -180,13 +188,96 @@ def _simhash_links(sketches: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
 
 
+def _shingle_sets(docs: DataFrame) -> DataFrame:
+    """(id, digest, found): the distinct shingle hashes of each row's text."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            found = pa.array([np.unique(hash_words(w, WORDS)).tobytes() for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_digest, words), pa.binary()), found], names=["id", "digest", "found"])
+
+    return docs.mapInArrow(compute, "id long, digest binary, found binary")
+
+
+def exact_links(ids: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], first: np.ndarray, least: float, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, root) that connect what the pairs of an exact Jaccard ``similarity`` or more connect.
+
+    Rows of the ``first`` part are compared with those of the other part, or with each other if there is no other;
+    pairs whose estimate is below ``least`` or whose rows are in one class already are not compared.
+    """
+    label, size = np.arange(len(ids)), np.array([len(s) for s in sets])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    flat, ends = flat.astype(np.int32), np.cumsum(size)
+    own = [flat[end - n : end] for n, end in zip(size.tolist(), ends.tolist(), strict=True)]
+    marked, second = np.zeros(len(values), bool), np.flatnonzero(~first)
+    for i in np.flatnonzero(first & (size > 0)).tolist():
+        rest = second if len(second) else np.arange(i + 1, len(ids))
+        marked[own[i]] = True
+        for at in range(0, len(rest), 256):
+            part = rest[at : at + 256]
+            part = part[(label[part] != label[i]) & (np.minimum(size[part], size[i]) / np.maximum(size[part], size[i]) >= similarity)]
+            if len(part):
+                part = part[_estimate(sketches[i], sketches[part]) >= least]
+            if not len(part):
+                continue
+            starts = np.cumsum(size[part]) - size[part]
+            both = np.add.reduceat(marked[np.concatenate([own[j] for j in part])], starts, dtype=np.int64)
+            near = part[both / (size[part] + size[i] - both) >= similarity]
+            if len(near):
+                joined = np.unique(np.append(label[near], label[i]))
+                label[np.isin(label, joined)] = joined[0]
+        marked[own[i]] = False
+    other = label != np.arange(len(ids))
+    return ids[other], ids[label[other]]
+
+
+def _exact_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, least: float, similarity: float) -> DataFrame:
+    """Links of the pairs at ``similarity`` or more within each component of the ``candidates``."""
+    spark = docs.sparkSession
+    found = components(candidates)
+    members = written(found.unionByName(found.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("id"), F.col("b").alias("root")), "candidates")
+    placed = members.join(nodes.select("id", "digest", "sketch", "shingles"), "id")
+    # Large components are cut into parts; each cell holds one part or a pair of them.
+    crowd = F.greatest(F.count("*") / CELL_MOST, F.sum("shingles") / CELL_SHINGLES)
+    parts = placed.groupBy("root").agg(F.ceil(crowd).cast("int").alias("parts"))
+    placed = placed.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")).drop("shingles")
+    texts = id_and_text(docs).withColumnRenamed("doc_id", "id").join(members.select("id"), "id", "left_semi")
+    cells = placed.join(_shingle_sets(texts), ["id", "digest"])
+    cells = cells.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("root", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "id", "digest", (F.col("part") <= F.col("with")).alias("first"), "sketch", "found")
+    dealt = cells.repartition(shuffle_partitions(spark), "root", "x", "y").sortWithinPartitions("root", "x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cells_of() -> Iterator[dict[bytes, tuple]]:
+            key, rows = None, {}
+            for batch in batches:
+                for *at, id_, digest, first, sketch, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if key != at:
+                        yield rows
+                        key, rows = at, {}
+                    rows.setdefault(digest, (id_, first, sketch, np.frombuffer(shingles, np.uint64)))
+            yield rows
+
+        for rows in cells_of():
+            if len(rows) > 1:
+                ids, first, data, sets = zip(*rows.values(), strict=True)
+                sketch = np.frombuffer(b"".join(data), np.uint16).reshape(len(rows), SKETCH_BINS)
+                a, b = exact_links(np.array(ids), sketch, list(sets), np.array(first), least, similarity)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of each row with a doc_id: near copies share the smallest doc_id among them."""
     own = written(_sketches(docs), "sketches")
-    nodes = written(own.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("word").alias("word"), F.first("sketch").alias("sketch")), "sketch-nodes")
+    nodes = own.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("word", "sketch", "shingles")))
+    nodes = written(nodes, "sketch-nodes")
     least = similarity - SLACK
-    links = _band_links(nodes, least).unionByName(_simhash_links(nodes, least))
-    roots = components(links).withColumnRenamed("a", "id").withColumnRenamed("b", "root")
+    candidates = _band_links(nodes, least).unionByName(_simhash_links(nodes, least))
+    roots = components(_exact_links(docs, nodes, candidates, least, similarity)).withColumnRenamed("a", "id").withColumnRenamed("b", "root")
     classes = nodes.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
     return own.select("doc_id", "digest").join(classes, "digest").select("doc_id", "component_id")
 
