@@ -156,6 +156,17 @@ def test_near_duplicate_classes_are_chains_of_exact_pairs(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(docs).collect()} == root
 
 
+@pytest.mark.parametrize("fake", [lambda hashes: len(hashes) - 96, lambda hashes: 0])
+def test_simhash_neighbours_need_not_resemble_their_first(spark, monkeypatch, fake):
+    monkeypatch.setattr(simhash, "simhash", fake)
+    monkeypatch.setattr(simhash, "BANDS", 0)
+    rng = random.Random(2)
+    words = [str(rng.random()) for _ in range(102)]
+    texts = [" ".join(str(rng.random()) for _ in range(100)), " ".join(words[:101]), " ".join(words)]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n int")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(docs).collect()} == {0: 0, 1: 1, 2: 1}
+
+
 def test_fingerprints_match_texts(spark):
     docs = frame(spark, sample())
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)

@@ -6,9 +6,9 @@
 Jaccard similarity of their sets of five-word shingles is 0.8 or more. At that similarity
 64-bit SimHashes differ in 3 to 14 bits, a radius at which the triangle bound prunes nothing,
 so SimHash neighbours alone would miss most pairs. Its candidates are therefore the SimHash
-neighbours and, beside them, texts that share a band of MinHash values; both kinds are kept
-if the MinHash estimate of the similarity, with slack, allows it. Within each component of
-the candidates the pairs are then decided by the exact similarity of their shingle sets.
+neighbours and, beside them, texts that share a band of MinHash values if the MinHash estimate
+of the similarity, with slack, allows it. Within each component of the candidates all pairs
+that the estimate allows are then decided by the exact similarity of their shingle sets.
 """
 
 from __future__ import annotations
@@ -170,22 +170,14 @@ def _band_links(sketches: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _simhash_links(sketches: DataFrame, least: float) -> DataFrame:
-    """Neighbours by SimHash whose sketches agree; equal SimHashes are compared with their first text."""
+def _simhash_links(sketches: DataFrame) -> DataFrame:
+    """Links that connect the neighbours by SimHash; texts of an equal SimHash hang on their first.
+
+    They are bent to stars, so nothing may be decided by the two ends of such a link.
+    """
     nodes = sketches.groupBy("word").agg(F.min("id").alias("id"))
-    linked = links_within(nodes, RADIUS).distinct()
     same = sketches.join(nodes.withColumnRenamed("id", "b"), "word").filter("id <> b").select(F.col("id").alias("a"), "b")
-    pairs = linked.unionByName(same)
-    left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x"))
-    right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, SKETCH_BINS) for c in ("x", "y"))
-            keep = pa.array((x == y).mean(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
+    return links_within(nodes, RADIUS).distinct().unionByName(same)
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
@@ -276,7 +268,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     nodes = own.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("word", "sketch", "shingles")))
     nodes = written(nodes, "sketch-nodes")
     least = similarity - SLACK
-    candidates = _band_links(nodes, least).unionByName(_simhash_links(nodes, least))
+    candidates = _band_links(nodes, least).unionByName(_simhash_links(nodes))
     roots = components(_exact_links(docs, nodes, candidates, least, similarity)).withColumnRenamed("a", "id").withColumnRenamed("b", "root")
     classes = nodes.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
     return own.select("doc_id", "digest").join(classes, "digest").select("doc_id", "component_id")
