@@ -62,7 +62,8 @@ _GENERATORS = {
     "card": re.compile(r"(?<![0-9])[0-9]{4}[./_\x20-]{1,3}[0-9]{4}[./_\x20-]{1,3}[0-9]{4}[./_\x20-]{1,3}[0-9]{4}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,4}\)|00[0-9]{1,3}|[0-9]{2,4})[\x20./-]{1,2}[0-9]{3,4}(?:[\x20./-]{1,2}[0-9]{2,4}){1,3}(?![0-9A-Za-z])"),
 }
-_MAY_BE_CANDIDATE = r"(?i)[\[({ ]at[\])} ]|@|\[\.\]|\(\.\)|\[dot\]|:[0-9a-f]{1,4}:|[0-9][)./_ -]{1,3}[0-9]{2}"
+#: In which texts any generator can match; white space in RE2 lacks \v.
+_MAY_BE_CANDIDATE = r"(?i)[\[({\s\x0b]at[\])}\s\x0b]|@|\[\.\]|\(\.\)|\[dot\]|:[0-9a-f]{1,4}:|[0-9][)./_ -]{1,3}[0-9]{2}"
 _CUES = {
     "email": ("mail", "contact", "write", "reach", "schreib", "correo", "courriel"),
     "ip": ("ip", "host", "server", "address", "addr", "login", "from"),
