@@ -36,6 +36,16 @@ def test_languages_on_odd_rows(spark):
     assert {r.lang_pred for r in language.identify_languages(docs.filter("doc_id > 99")).collect()} <= {"und", "en"}
 
 
+def test_rare_languages_are_learned_however_many(spark, monkeypatch):
+    monkeypatch.setattr(language, "FIT_ROWS", 300)
+    rows = [(900 * k + i, f"l{k}", f"{chr(0x4E00 + 7 * k)}{chr(0x5E00 + 11 * k)} " * 20) for k in range(230) for i in range(30 if k < 200 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    codes = language.fit(docs)
+    assert set(codes.languages) == {r.lang for r in docs.filter(~language.held_out()).select("lang").distinct().collect()}
+    got = language.identify(docs, codes).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+
+
 def test_toxicity_on_unseen_labels(spark):
     docs, labels = (spark.read.parquet(f"{LABELLED}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels.filter("doc_id % 2 = 0"))

@@ -20,11 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, steps
+from .common import id_and_text, steps, written
 
 BUCKETS = 4096
 ROWS_PER_LANGUAGE = 250  # the classifiers are fitted on about so many labelled rows of each language
-MOST_LANGUAGES = 200  # the most frequent labels that are learned, against labels that are noise
+FIT_ROWS = 10_000  # and, where languages are many, on about so many of all, but at least one of each
 RIDGE = 0.05
 AMBIGUOUS = 0.6  # a best probability below this is flagged
 UNDETERMINED = "und"
@@ -64,12 +64,23 @@ def codewords(n: int) -> np.ndarray:
     best, far = None, -1
     for _ in range(50):
         code = rng.choice((-1, 1), (n, bits))
-        distance = (code[:, None, :] != code[None, :, :]).sum(axis=2) + bits * np.eye(n, dtype=int)
-        if distance.min() > far and (np.abs(code.sum(axis=0)) < n).all():
-            best, far = code, distance.min()
+        distance = _least_distance(code)
+        if distance > far and (np.abs(code.sum(axis=0)) < n).all():
+            best, far = code, distance
     return best
 
 
+def _least_distance(code: np.ndarray) -> float:
+    """The fewest bits in which two rows differ."""
+    n, bits = code.shape
+    signs, least = code.astype(np.float32), float(bits)
+    for at in range(0, n, 1024):
+        distance = (bits - signs[at : at + 1024] @ signs.T) / 2
+        distance[np.arange(len(distance)), np.arange(at, at + len(distance))] = bits
+        least = min(least, float(distance.min()))
+    return least
+
+
 @dataclass
 class Codes:
     languages: list[str]
@@ -81,17 +92,32 @@ class Codes:
     def fit(cls, x: np.ndarray, labels: list[str]) -> Codes:
         languages = sorted(set(labels))
         code = codewords(len(languages))
-        at = np.array([languages.index(v) for v in labels])
+        place = {v: i for i, v in enumerate(languages)}
+        at = np.array([place[v] for v in labels])
         y = code[at].astype(np.float64)
         # Each language counts alike, however many rows it has.
         row = np.sqrt(1 / np.bincount(at)[at])
 
         def ridge(keep: np.ndarray) -> np.ndarray:
+            if keep.sum() > x.shape[1]:
+                return in_features(np.flatnonzero(keep))
             scaled = x[keep] * row[keep, None]
             gram = scaled @ scaled.T
             gram[np.diag_indices_from(gram)] += RIDGE * gram.diagonal().mean() + 1e-6
             return scaled.T @ np.linalg.solve(gram, y[keep] * row[keep, None])
 
+        def in_features(keep: np.ndarray) -> np.ndarray:
+            """The same weights from a system of the features' size, however many rows there are."""
+            gram, target, norm = np.zeros((x.shape[1],) * 2), np.zeros((x.shape[1], y.shape[1])), 0.0
+            for start in range(0, len(keep), 1024):
+                part = keep[start : start + 1024]
+                scaled = x[part] * row[part, None]
+                gram += scaled.T @ scaled
+                target += scaled.T @ (y[part] * row[part, None])
+                norm += (scaled**2).sum()
+            gram[np.diag_indices_from(gram)] += RIDGE * norm / len(keep) + 1e-6
+            return np.linalg.solve(gram, target)
+
         inner = np.arange(len(labels)) % 4 != 0
         accuracy = np.full(code.shape[1], 0.99)
         if inner.any() and not inner.all():
@@ -102,8 +128,9 @@ class Codes:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row the nearest language's place and its probability."""
         margin = np.clip(x @ self.weights, -1, 1)
-        loss = np.exp(-2 * margin[:, None, :] * self.code[None, :, :])
-        distance = (loss * self.bit_weight).sum(axis=2) / self.bit_weight.sum()
+        # The loss exp(-2 * margin * bit) summed over the bits, for bits of +1 and of -1.
+        loss = (np.exp(-2 * margin) * self.bit_weight) @ (self.code > 0).T + (np.exp(2 * margin) * self.bit_weight) @ (self.code < 0).T
+        distance = loss / self.bit_weight.sum()
         p = np.exp(-4 * (distance - distance.min(axis=1, keepdims=True)))
         p /= p.sum(axis=1, keepdims=True)
         return p.argmax(axis=1), p.max(axis=1)
@@ -116,15 +143,20 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame) -> Codes | None:
     """Codes learned from rows that are not held out and have a lang; None if there are none.
 
-    The sample is drawn by a hash of the row, at a rate that makes about ROWS_PER_LANGUAGE rows of
-    each language; features are made on the executors, so the driver gets bounded rows.
+    Every language is learned. The sample is drawn by a hash of the row, at a rate that makes about
+    ROWS_PER_LANGUAGE rows of each language, or fewer where languages are so many that this would
+    exceed FIT_ROWS; the row of the least hash is always drawn. Features are made on the executors, so the driver gets bounded rows.
     """
     usable = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not frequent:
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
+    languages = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min(drawn).alias("least"))
+    languages = written(languages, "languages")
+    known = languages.count()
+    if not known:
         return None
-    rates = F.create_map(*[F.lit(x) for r in frequent for x in (r.lang, min(1.0, ROWS_PER_LANGUAGE / r["count"]))])
-    sample = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < F.coalesce(rates[F.col("lang")], F.lit(0.0)) * (1 << 20))
+    each = min(ROWS_PER_LANGUAGE, max(1, FIT_ROWS // known))
+    below = F.greatest(F.least(F.lit(1.0), F.lit(each) / F.col("n")) * (1 << 20), F.col("least") + 1)
+    sample = usable.join(F.broadcast(languages.select("lang", below.alias("below"))), "lang").filter(drawn < F.col("below")).select("doc_id", "lang", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
