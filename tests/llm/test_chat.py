@@ -42,3 +42,13 @@ def test_sql_gives_the_same_rows(spark):
     result = chat.reply_conversations(frame)
     assert result.columns == want.columns
     assert sorted(map(str, map(tuple, result.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def replies(spark, rows):
+    return {(r.conv_id, r.turn): r for r in chat.reply_conversations(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_short_passages_link_within_their_conversation(spark):
+    got = replies(spark, [(1, 0, "user", "Thanks!", 0), (1, 1, "user", "long enough to tell", 0), (1, 2, "user", "> Thanks!\nok", 0), (2, 0, "user", "> Thanks!", 0)])
+    assert (got[1, 2].n_linked, got[1, 2].reply_turn, got[1, 2].reply_order) == (1, 0, 0)
+    assert got[2, 0].reply_turn is None

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST_CHARS = 8  # shorter passages, such as "yes.", tell no original
+LEAST_CHARS = 8  # shorter passages, such as "yes.", tell no original in another conversation
 
 _MARKS = r"^([ \t]*>)+"
 
@@ -38,7 +38,7 @@ def message_lines(messages: DataFrame) -> DataFrame:
     marks = F.regexp_extract("raw", _MARKS, 0)
     lines = lines.withColumn("level", F.length(F.regexp_replace(marks, "[ \t]", "")).cast("int"))
     lines = lines.withColumn("body", F.regexp_replace("raw", _MARKS, "")).withColumn("normal", _normal(F.col("body")))
-    return lines.withColumn("passage", F.when(F.length("normal") >= LEAST_CHARS, F.md5("normal"))).drop("raw", "normal")
+    return lines.withColumn("passage", F.when(F.length("normal") > 0, F.md5("normal"))).withColumn("telling", F.length("normal") >= LEAST_CHARS).drop("raw", "normal")
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     lines = message_lines(messages).filter("passage IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL")
     said = lines.filter("level = 0")
     here = said.groupBy("conv_id", "passage").agg(F.min("turn").alias("here_turn"))
-    anywhere = said.groupBy("passage").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    anywhere = said.filter("telling").groupBy("passage").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     quotes = lines.filter("level > 0").select("conv_id", "turn", "message_md5", "line", "level", "passage")
     found = quotes.join(here, ["conv_id", "passage"], "left").join(anywhere, "passage", "left")
     local = F.col("here_turn") < F.col("turn")
@@ -91,7 +91,7 @@ def reply_conversations(messages: DataFrame) -> DataFrame:
     )
 
 
-#: The same rows in DuckDB's SQL.
+#: The same rows in DuckDB's SQL, but for what README.md lists.
 ORACLE = rf"""
 WITH messages AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 raw AS (
