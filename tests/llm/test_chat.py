@@ -52,3 +52,8 @@ def test_short_passages_link_within_their_conversation(spark):
     got = replies(spark, [(1, 0, "user", "Thanks!", 0), (1, 1, "user", "long enough to tell", 0), (1, 2, "user", "> Thanks!\nok", 0), (2, 0, "user", "> Thanks!", 0)])
     assert (got[1, 2].n_linked, got[1, 2].reply_turn, got[1, 2].reply_order) == (1, 0, 0)
     assert got[2, 0].reply_turn is None
+
+
+def test_another_conversation_is_found_if_the_own_is_first(spark):
+    got = replies(spark, [(1, 3, "user", "> said over there", 0), (1, 4, "user", "said over there", 0), (7, 2, "user", "said over there", 0), (9, 0, "user", "said over there", 0)])
+    assert (got[1, 3].reply_conv, got[1, 3].reply_turn) == (7, 2)

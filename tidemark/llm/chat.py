@@ -46,15 +46,19 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     lines = message_lines(messages).filter("passage IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL")
     said = lines.filter("level = 0")
     here = said.groupBy("conv_id", "passage").agg(F.min("turn").alias("here_turn"))
-    anywhere = said.filter("telling").groupBy("passage").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    spoken = said.filter("telling").groupBy("passage", "conv_id").agg(F.min("turn").alias("turn"))
+    anywhere = spoken.groupBy("passage").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    # The first of the next conversation, for quotes in the first one.
+    beyond = spoken.join(anywhere, "passage").filter("conv_id <> first.conv_id").groupBy("passage").agg(F.min(F.struct("conv_id", "turn")).alias("second"))
+    anywhere = anywhere.join(beyond, "passage", "left")
     quotes = lines.filter("level > 0").select("conv_id", "turn", "message_md5", "line", "level", "passage")
     found = quotes.join(here, ["conv_id", "passage"], "left").join(anywhere, "passage", "left")
     local = F.col("here_turn") < F.col("turn")
-    other = F.col("first.conv_id") != F.col("conv_id")
+    other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
     return found.select(
         "conv_id", "turn", "message_md5", "line", "level", "passage",
-        F.when(local, F.col("conv_id")).when(other, F.col("first.conv_id")).alias("origin_conv"),
-        F.when(local, F.col("here_turn")).when(other, F.col("first.turn")).alias("origin_turn"),
+        F.when(local, F.col("conv_id")).otherwise(other["conv_id"]).alias("origin_conv"),
+        F.when(local, F.col("here_turn")).otherwise(other["turn"]).alias("origin_turn"),
     ).filter("origin_turn IS NOT NULL")
 
 
