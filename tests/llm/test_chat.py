@@ -57,3 +57,9 @@ def test_short_passages_link_within_their_conversation(spark):
 def test_another_conversation_is_found_if_the_own_is_first(spark):
     got = replies(spark, [(1, 3, "user", "> said over there", 0), (1, 4, "user", "said over there", 0), (7, 2, "user", "said over there", 0), (9, 0, "user", "said over there", 0)])
     assert (got[1, 3].reply_conv, got[1, 3].reply_turn) == (7, 2)
+
+
+def test_deeper_levels_choose_the_reply_where_level_one_has_none(spark):
+    got = replies(spark, [(1, 0, "user", "the inner passage", 0), (1, 1, "user", "the outer passage", 0), (1, 2, "user", ">> the inner passage", 0), (1, 3, "user", ">> the inner passage\n> the outer passage", 0)])
+    assert (got[1, 2].reply_turn, got[1, 2].n_linked) == (0, 1)
+    assert (got[1, 3].reply_turn, got[1, 3].n_linked) == (1, 1)

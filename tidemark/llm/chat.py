@@ -4,7 +4,8 @@ A line that starts with ``>`` marks is a quote; the number of marks is its level
 one line without its marks, normalised (lower case, blanks collapsed) and hashed. The original
 of a quoted passage of level n is the first message that says it itself (level 0): the first
 before the quoting message in the same conversation, else the first of all others. A message
-answers the original of most of its level-1 passages (ties: the earliest turn).
+answers the original of most of its passages of the lowest level that has any known one (ties:
+the earliest turn); ``n_linked`` counts the known passages of that level.
 
 Everything is DataFrame operations. The sides that are joined to have one row for each hash, or
 for each conversation and hash, made by partial minima, so a passage that many messages
@@ -76,12 +77,13 @@ def reply_conversations(messages: DataFrame) -> DataFrame:
         F.count_if(F.col("level") > 0).alias("n_quoted"),
         F.max("level").cast("int").alias("max_level"),
     )
-    links = link_quotations(messages.select("conv_id", "turn", "role", "text").distinct()).filter("level = 1")
-    votes = links.groupBy("conv_id", "turn", "message_md5", "origin_conv", "origin_turn").agg(F.count("*").alias("n"))
-    best = votes.groupBy("conv_id", "turn", "message_md5").agg(
+    links = link_quotations(messages.select("conv_id", "turn", "role", "text").distinct())
+    votes = links.groupBy("conv_id", "turn", "message_md5", "level", "origin_conv", "origin_turn").agg(F.count("*").alias("n"))
+    best = votes.groupBy("conv_id", "turn", "message_md5", "level").agg(
         F.max_by(F.struct("origin_conv", "origin_turn"), F.struct("n", (-F.col("origin_turn")).alias("t"), (-F.col("origin_conv")).alias("c"))).alias("origin"),
         F.sum("n").alias("n_linked"),
     )
+    best = best.groupBy("conv_id", "turn", "message_md5").agg(F.min_by(F.struct("origin", "n_linked"), "level").alias("b")).select("conv_id", "turn", "message_md5", "b.origin", "b.n_linked")
     best = best.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("message_md5").alias("m"), "origin", "n_linked")
     joined = texts.join(best, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")) & (F.col("message_md5") == F.col("m")), "left")
     inside = F.col("origin.origin_conv") == F.col("conv_id")
