@@ -314,3 +314,13 @@ def test_avro_schema_maps_to_the_event_schema():
     got = schemas.from_avro_json(json.dumps({"type": "record", "name": "UserEvent", "fields": fields}))
     assert [(f.name, f.dataType) for f in got] == [(f.name, f.dataType) for f in schemas.EVENT]
     assert [f.name for f in got if f.nullable] == ["page_url", "product_id", "amount_cents"]
+
+
+def test_gbt_scores_are_of_the_whole_model(spark, monkeypatch):
+    from tidemark.operators import ml
+    from tidemark.plans import queries
+
+    asked, train = [], ml.train
+    monkeypatch.setattr(ml, "train", lambda frame, **sizes: asked.append(sizes) or train(frame, trees=1, depth=1))
+    assert queries.gbt_scores(spark, "/root/testdata/sf0.001").count() > 0
+    assert asked == [{"trees": 300, "depth": 4, "rate": 0.05}]

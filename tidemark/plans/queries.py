@@ -585,7 +585,7 @@ def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = ml.training_frame(features.compute_features(bronze(spark, sf_dir), as_of_ms=MID_MS))
-    model = ml.train(frame, trees=5, depth=3)
+    model = ml.train(frame, trees=300, depth=4, rate=0.05)
     return ml.score(model, frame)
 
 
