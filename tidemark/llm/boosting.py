@@ -83,14 +83,15 @@ class Isotonic:
 
     @classmethod
     def fit(cls, score: np.ndarray, y: np.ndarray) -> Isotonic:
-        order = np.argsort(score, kind="stable")
+        """Rows of an equal score are one point; a pooled block has one value from its first to its last score."""
+        scores, at = np.unique(score, return_inverse=True)
         blocks: list[list[float]] = []
-        for s, target in zip(score[order].tolist(), y[order].tolist(), strict=True):
-            blocks.append([target, 1.0, s])
+        for s, total, count in zip(scores.tolist(), np.bincount(at, y).tolist(), np.bincount(at).tolist(), strict=True):
+            blocks.append([total, count, s, s])
             while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
-                total, count, last = blocks.pop()
-                blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + count, last]
-        return cls(np.array([b[2] for b in blocks]), np.array([b[0] / b[1] for b in blocks]))
+                total, count, _, last = blocks.pop()
+                blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + count, blocks[-1][2], last]
+        return cls(np.array([x for b in blocks for x in b[2:]]), np.array([b[0] / b[1] for b in blocks for _ in range(2)]))
 
     def __call__(self, score: np.ndarray) -> np.ndarray:
         return np.interp(score, self.at, self.value)

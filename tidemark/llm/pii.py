@@ -4,20 +4,23 @@ Three steps for each text:
 
 1. the base rules (email, ip, card, phone) give spans that always stay;
 2. generators of high recall propose further, overlapping candidates: written-out or
-   bracketed addresses, defanged or version 6 addresses, card numbers with other separators,
-   telephone numbers without a leading plus;
+   bracketed addresses of any length, defanged addresses, version 6 addresses in full or with
+   ``::``, card numbers with other separators and groups, telephone numbers without a leading
+   plus. Of a run of digit groups several stretches are proposed;
 3. boosted trees score each candidate from its format and its context, an isotonic map makes
    the score a probability, and a candidate is taken at the threshold of its kind.
 
 The trees are fitted on candidates found in sentences composed from a fixed seed
 (``TRAIN_SENTENCES`` of them), so the model needs no labelled corpus, is the same on every
-run, and is a few kilobytes in size. A third of the sentences is held out for calibration
-and for the thresholds: the lowest at which held-out precision reaches ``PRECISION``.
+run, and is a few kilobytes in size. A half of the sentences is for the trees, a quarter for
+the isotonic map, and a quarter, which neither has seen, for the thresholds: the lowest
+probability at which precision reaches ``PRECISION``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import random
 import re
 from collections.abc import Iterator
@@ -30,10 +33,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .boosting import BoostedTrees, Isotonic
-from .common import bounded_batches, id_and_text, steps
+from .common import id_and_text, steps
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_SENTENCES = 3000
+TRAIN_SENTENCES = 4000
 PRECISION = 0.98
 CONTEXT = 32
 
@@ -56,14 +59,17 @@ _MAY = {
     "card": r"[0-9](?:[ -]?[0-9]){15}",
     "phone": r"\+[0-9]",
 }
-_GENERATORS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:@|\(at\)|\[at\]|\{at\}|\sat\s)\s?[A-Za-z0-9-]{1,64}\s?(?:(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z0-9-]{1,64}){1,4}", re.IGNORECASE | re.ASCII),
-    "ip": re.compile(r"(?<![0-9A-Za-z.:])(?:[0-9]{1,3}(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\.)[0-9]{1,3}){2}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7})(?![0-9A-Za-z:])", re.ASCII),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}[./_\x20-]{1,3}[0-9]{4}[./_\x20-]{1,3}[0-9]{4}[./_\x20-]{1,3}[0-9]{4}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,4}\)|00[0-9]{1,3}|[0-9]{2,4})[\x20./-]{1,2}[0-9]{3,4}(?:[\x20./-]{1,2}[0-9]{2,4}){1,3}(?![0-9A-Za-z])"),
-}
+#: The sign between the two parts of an address, and a domain with its dots written in any way.
+_AT = re.compile(r"\s?(?:@|\(at\)|\[at\]|\{at\})\s?|\s{1,2}at\s{1,2}", re.IGNORECASE | re.ASCII)
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z0-9-]+)+", re.IGNORECASE | re.ASCII)
+_DEFANGED = re.compile(r"(?<![0-9A-Za-z.:])[0-9]{1,3}(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\.)[0-9]{1,3}){2}(?![0-9A-Za-z:])", re.ASCII)
+_COLONS = re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]+(?:\.[0-9]{1,3}){0,3}(?![0-9A-Za-z])")
+#: Digit groups with up to three signs between them; the first may stand in brackets.
+_GROUPS = re.compile(r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,5}\)|[0-9]{2,8})(?:[\x20./_-]{1,3}[0-9]{2,8})+(?![0-9A-Za-z])")
+_GROUP = re.compile(r"\(?[0-9]+\)?")
+CARD_DIGITS, PHONE_DIGITS = (13, 19), (7, 15)
 #: In which texts any generator can match; white space in RE2 lacks \v.
-_MAY_BE_CANDIDATE = r"(?i)[\[({\s\x0b]at[\])}\s\x0b]|@|\[\.\]|\(\.\)|\[dot\]|:[0-9a-f]{1,4}:|[0-9][)./_ -]{1,3}[0-9]{2}"
+_MAY_BE_CANDIDATE = r"(?i)[\[({\s\x0b]at[\])}\s\x0b]|@|\[\.\]|\(\.\)|\[dot\]|:[0-9a-f]{0,4}:|[0-9][)./_ -]{1,4}[0-9]{2}"
 _CUES = {
     "email": ("mail", "contact", "write", "reach", "schreib", "correo", "courriel"),
     "ip": ("ip", "host", "server", "address", "addr", "login", "from"),
@@ -110,8 +116,61 @@ def base_spans(text: str, may: frozenset[str] = frozenset(("ip", "card", "phone"
     return found
 
 
+def _addresses(text: str) -> Iterator[Span]:
+    free = 0
+    for sign in _AT.finditer(text):
+        if sign.start() < free:
+            continue
+        start = sign.start()
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _DOMAIN.match(text, sign.end()) if start < sign.start() else None
+        # The text between two signs is walked once; a sign within a domain is part of it.
+        free = domain.end() if domain else sign.end()
+        if domain:
+            yield "email", start, free
+
+
+def _hosts(text: str) -> Iterator[Span]:
+    for m in _DEFANGED.finditer(text):
+        yield "ip", m.start(), m.end()
+    for m in _COLONS.finditer(text):
+        run = m.group()
+        if run.endswith(":") and not run.endswith("::"):
+            run = run[:-1]
+        if 2 < len(run) <= 45 and run.count(":") >= 2:
+            try:
+                ipaddress.IPv6Address(run)
+            except ValueError:
+                continue
+            yield "ip", m.start(), m.start() + len(run)
+
+
+def _numbers(text: str) -> Iterator[Span]:
+    """Stretches of each run of digit groups: with a card's digits, of groups of three and more, anywhere in the
+    run; with a telephone number's digits at the run's start or end, so that one beside another is found."""
+    for m in _GROUPS.finditer(text):
+        groups = [(g.start(), g.end(), g.end() - g.start() - 2 * (g.group()[0] == "(")) for g in _GROUP.finditer(text, m.start(), m.end())]
+        for own in (groups, groups[::-1]):
+            digits = 0
+            for i, (start, end, more) in enumerate(own):
+                digits += more
+                if digits > PHONE_DIGITS[1]:
+                    break
+                whole = i == len(own) - 1
+                if digits >= PHONE_DIGITS[0] and i and not (whole and own is not groups):
+                    yield "phone", min(start, own[0][0]), max(end, own[0][1])
+        for i, (start, _, digits) in enumerate(groups):
+            j = i + 1
+            while 3 <= digits and j < len(groups) and groups[j][2] >= 3 and digits + groups[j][2] <= CARD_DIGITS[1] and text[start] != "(":
+                digits += groups[j][2]
+                if digits >= CARD_DIGITS[0]:
+                    yield "card", start, groups[j][1]
+                j += 1
+
+
 def candidates(text: str) -> list[Span]:
-    return [(kind, m.start(), m.end()) for kind, expression in _GENERATORS.items() for m in expression.finditer(text)]
+    return [*_addresses(text), *_hosts(text), *_numbers(text)]
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -123,6 +182,7 @@ def features(text: str, span: Span) -> list[float]:
     before, after = text[max(0, start - CONTEXT) : start].lower(), text[end : end + CONTEXT].lower()
     near = before + " " + after
     word_tail = re.split(r"[^a-z]+", inside.lower())[-1]
+    gaps = re.findall(r"[^0-9()]+", inside) if kind in ("card", "phone") else []
     return [
         float(KINDS.index(kind)),
         float(len(inside)),
@@ -137,7 +197,17 @@ def features(text: str, span: Span) -> list[float]:
         float(bool(re.search(r"\s(?:at|dot)\s", inside, re.IGNORECASE))),
         float(len(word_tail)),
         float(luhn(digits) if digits else 0),
-        float(all(int(g) <= 255 for g in groups[:8]) if groups else 0),
+        float(all(len(g) < 4 and int(g) <= 255 for g in groups) if groups else 0),
+        float("::" in inside),
+        float(sum(c in "abcdefABCDEF" for c in inside) if kind == "ip" else 0),
+        float(inside.count(":")),
+        float(len(set(gaps))),
+        float(max(map(len, gaps), default=0)),
+        float(len(groups[-1]) if groups else 0),
+        float(before.rstrip(" ./_-")[-1:].isdigit()),
+        float(after.lstrip(" ./_-")[:1].isdigit()),
+        float(len(re.findall(r"\.\s+[A-Z]", inside))),
+        float(sum(c.isupper() for c in inside.split("@")[-1][-8:])),
         float(inside.startswith("(")),
         float(inside.startswith("00")),
         float(inside.startswith(("19", "20")) and len(groups[0]) == 4 if groups else 0),
@@ -157,29 +227,40 @@ def _sentence(rng: random.Random) -> tuple[str, Span | None]:
     tld = rng.choice(("com", "org", "net", "de", "fr", "es", "io"))
     if kind == "email":
         if real:
-            at = rng.choice((" (at) ", "[at]", " [at] ", "(at)", " at ", "{at}", " @ "))
-            dot = rng.choice((".", " dot ", "[dot]", "(dot)"))
-            dot = " dot " if at == " at " else dot
-            item = f"{word()}{rng.choice('._-')}{word()}{at}{word()}{dot}{tld}"
+            at = rng.choice((" (at) ", "[at]", " [at] ", "(at)", " at ", "{at}", " @ ", "@ "))
+            dot = rng.choice((".", " dot ", "[dot]", "(dot)", " [dot] "))
+            dot = " dot " if at == " at " else "[dot]" if at == "@ " else dot
+            item = rng.choice("._-").join(word() + rng.choice(("", digits(2))) for _ in range(rng.choice((1, 2, 2, 3, 8)))) + at + dot.join([*(word() for _ in range(rng.choice((1, 1, 1, 2, 5)))), tld])
         else:
-            item = rng.choice((f"{word()} at {word()}. {word().title()}", f"{word()} at {word()} . {word()}", f"{word()}@ {word()}.{word()}{word()}x", f"{word()} at {word()}.{word().title()}", f"{digits(2)} at {digits(1)}.{digits(2)}"))
+            item = rng.choice((f"{word()} at {word()}. {word().title()}", f"{word()} at {word()} . {word()}", f"{word()}@ {word()}.{word()}{word()}x", f"{word()} at {word()}.{word().title()}", f"{digits(2)} at {digits(1)}.{digits(2)}", f"{word()} at {word()}. " + ". ".join(word().title() for _ in range(rng.randint(2, 5))), f"{word()}{rng.choice('-_')}{word()} at {word()}.{rng.choice((' ', chr(10)))}{word().title()}"))
     elif kind == "ip":
         if real:
-            gap = rng.choice(("[.]", "(.)", "[dot]"))
-            item = gap.join(str(rng.randint(1, 255)) for _ in range(4)) if rng.random() < 0.6 else ":".join(f"{rng.randrange(1, 65536):x}" for _ in range(8))
+            gap, short = rng.choice(("[.]", "(.)", "[dot]")), lambda: f"{rng.randrange(1, 1 << rng.choice((1, 4, 8, 16, 16))):x}"
+            head = rng.choice(("2001:db8", f"fe80:{short()}", f"{rng.randrange(8192, 16384):x}:{short()}"))
+            item = rng.choice((
+                gap.join(str(rng.randint(1, 255)) for _ in range(4)),
+                ":".join(f"{rng.randrange(1, 65536):x}" for _ in range(8)),
+                ":".join([head, *(rng.choice(("0", "0000", short())) for _ in range(5)), short()]),
+                f"{head}::{short()}",
+                f"{head}::{short()}:{short()}",
+                f"::ffff:{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}",
+            ))
         else:
-            item = rng.choice(("[.]".join(str(rng.randint(256, 999)) for _ in range(4)), ":".join(str(rng.randint(0, 59)) for _ in range(8)), "(.)".join(str(rng.randint(300, 999)) for _ in range(4))))
+            item = rng.choice(("[.]".join(str(rng.randint(256, 999)) for _ in range(4)), ":".join(f"{rng.randint(0, 59):02}" for _ in range(8)), "(.)".join(str(rng.randint(300, 999)) for _ in range(4)), f"{rng.choice('abcdef')}::{rng.choice('abcdef')}", f"{rng.choice(('add', 'dec', 'ab', 'fade'))}::{rng.choice(('bad', 'ace', 'fed', 'be'))}", f"{digits(1)}::{digits(1)}"))
     elif kind == "card":
-        body = rng.choice("3456") + digits(14)
+        size = rng.choice((16, 16, 16, 15, 19))
+        body = rng.choice("3456") + digits(size - 2)
         body += next(c for c in "0123456789" if luhn(body + c))
         if not real:
             body = body[:-1] + rng.choice([c for c in "0123456789" if c != body[-1]])
-        item = rng.choice((".", "/", "_", " - ", "  ", " . ")).join(body[i : i + 4] for i in range(0, 16, 4))
+        cuts = (0, 4, 10, 15) if size == 15 else (*range(0, size, 4), size)
+        item = rng.choice((".", "/", "_", " - ", "  ", " . ", " ", "-")).join(body[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
     else:
         if real:
-            item = rng.choice((f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"00{rng.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}"))
+            gap = rng.choice(" .-/")
+            item = rng.choice((f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"00{rng.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", gap.join(["0" + digits(rng.randint(1, 4)), *(digits(rng.randint(2, 4)) for _ in range(rng.randint(2, 4)))]), f"0{digits(3)}/{digits(rng.randint(5, 8))}", f"({digits(3)}){rng.choice((' ', '-', '.'))}{digits(3)}{gap}{digits(4)}"))
         else:
-            item = rng.choice((f"{rng.randint(1900, 2030)}-{digits(4)}-{digits(2)}", f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}", f"{digits(2)}.{digits(3)}.{digits(3)}", f"{digits(2)} {digits(3)} {digits(2)} {digits(2)} {digits(2)}", f"{digits(3)} {digits(3)} {digits(3)}"))
+            item = rng.choice((f"{rng.randint(1900, 2030)}-{digits(4)}-{digits(2)}", f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"{rng.randint(1, 28):02}.{rng.randint(1, 12):02}.{rng.randint(1900, 2030)}", f"{rng.randint(1, 28):02}/{rng.randint(1, 12):02}/{rng.randint(1900, 2030)}", f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}", f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}", f"{digits(2)}.{digits(3)}.{digits(3)}", f"{digits(2)} {digits(3)} {digits(2)} {digits(2)} {digits(2)}", f"{digits(3)} {digits(3)} {digits(3)}"))
     cue = ""
     if rng.random() < (0.6 if real else 0.1):
         cue = rng.choice(_CUES[kind]) + rng.choice((" ", ": ", " is "))
@@ -215,20 +296,21 @@ class Selector:
 @cache
 def selector(sentences: int = TRAIN_SENTENCES, seed: int = 17) -> Selector:
     rng = random.Random(seed)
-    rows, targets, kinds = [], [], []
-    for _ in range(sentences):
+    rows, targets, kinds, sentence = [], [], [], []
+    for i in range(sentences):
         text, true = _sentence(rng)
         for span in candidates(text):
             rows.append(features(text, span))
-            hit = true is not None and span[0] == true[0] and min(span[2], true[2]) - max(span[1], true[1]) >= 0.8 * (max(span[2], true[2]) - min(span[1], true[1]))
+            hit = true is not None and span[0] == true[0] and min(span[2], true[2]) - max(span[1], true[1]) >= 0.95 * (max(span[2], true[2]) - min(span[1], true[1]))
             targets.append(float(hit))
             kinds.append(span[0])
+            sentence.append(i)
     x, y, kind = np.array(rows), np.array(targets), np.array(kinds)
-    held = np.arange(len(y)) % 3 == 0
-    trees = BoostedTrees.fit(x[~held], y[~held])
-    margins = trees.margin(x[held])
-    calibrated = Isotonic.fit(margins, y[held])
-    p, threshold = calibrated(margins), {}
+    quarter = np.array(sentence) % 4
+    trees = BoostedTrees.fit(x[quarter < 2], y[quarter < 2])
+    calibrated = Isotonic.fit(trees.margin(x[quarter == 2]), y[quarter == 2])
+    held, threshold = quarter == 3, {}
+    p = calibrated(trees.margin(x[held]))
     for k in KINDS:
         own = kind[held] == k
         cuts = [c for c in np.unique(p[own]) if c >= 0.5 and y[held][own][p[own] >= c].mean() >= PRECISION]
@@ -282,7 +364,6 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns, with personal data masked in ``text_col``; null stays null."""
-    bounded_batches(docs.sparkSession)
     chooser, schema = selector(), docs.schema
     at = docs.columns.index(text_col)
 
