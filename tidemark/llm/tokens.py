@@ -9,6 +9,9 @@ the ``tokenizers`` library once and then looked up:
   is encoded whole.
 * ``white``: vocabularies that drop white space, cut at any run of ASCII white space.
 
+A text that holds the string of an added token, such as an end-of-text mark, is encoded whole by
+the library, which gives the token's own id, as it does by default.
+
 The memo lives in the Python worker and is emptied before a step once it has ``MEMO_PIECES``
 pieces, which take about 60 MB. A new piece of plain Latin letters is cut into pre-tokens, with a
 memo of their own (``MEMO_WORDS``, as large), and the library's model encodes each; any other
@@ -77,7 +80,7 @@ class Memo:
 class Encoder:
     def __init__(self, path: str, cut: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a text cannot forge control ids
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.cut = cut
@@ -128,12 +131,13 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the n + 1 places between texts. No nulls."""
         n = len(texts)
-        if self.cut == "white":
-            lists = pc.ascii_split_whitespace(texts)
-            whole = np.zeros(n, dtype=bool)
-        else:
-            whole = pc.match_substring_regex(texts, _WHITE_PAIR).to_numpy(zero_copy_only=False)
-            lists = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        whole = np.zeros(n, dtype=bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if self.cut == "space":
+            whole |= pc.match_substring_regex(texts, _WHITE_PAIR).to_numpy(zero_copy_only=False)
+        cut = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
+        lists = pc.ascii_split_whitespace(cut) if self.cut == "white" else pc.split_pattern(cut, " ")
         coded = lists.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
         pieces = coded.dictionary.to_pylist()
