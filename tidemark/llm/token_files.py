@@ -14,8 +14,6 @@ counts, and the place of a shard in the whole is the prefix sum of the counts be
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -45,7 +43,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, cut: str, end_id
     """Encode ``docs`` into shards below ``folder``, ascending by doc_id; the manifest, a row for each shard.
 
     Rows are dealt by ranges of (doc_id, hash of text), so equal ids, however many, are still
-    spread. A shard is written under a name of its own attempt and renamed when whole, so a
+    spread, unless their texts are equal too. A shard is written under a name of its own attempt and renamed when whole, so a
     lost executor leaves no half file behind the manifest.
     """
     spark = docs.sparkSession
@@ -89,30 +87,36 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, cut: str, end_id
 
 
 class Shard:
-    """A shard mapped into memory: ``ids``, ``offsets`` and ``doc_ids`` are views of the file."""
+    """A shard: ``offsets`` and ``doc_ids`` of any range of documents, and the ids of any document.
+
+    A local file is mapped into memory. Of a store without mapping only the ranges that are asked for are read.
+    """
 
     def __init__(self, path: str, folder: str):
         store, _ = _opened(folder)
-        self._copy = None
-        if not isinstance(store, fs.LocalFileSystem):  # mapping needs a file; the copy goes with the object
-            self._copy = tempfile.NamedTemporaryFile(suffix=".tok")
-            with store.open_input_stream(path) as source:
-                shutil.copyfileobj(source, self._copy)
-            self._copy.flush()
-            path = self._copy.name
-        data = np.memmap(path, dtype=np.uint8, mode="r")
-        n_docs, n_ids, width = data[-FOOT:-8].view("<i8").tolist()
-        if bytes(data[-8:]) != MAGIC:
+        if isinstance(store, fs.LocalFileSystem):
+            self._data = np.memmap(path, dtype=np.uint8, mode="r")
+            size, self._at = len(self._data), lambda start, n: self._data[start : start + n]
+        else:
+            self._file = store.open_input_file(path)
+            size, self._at = self._file.size(), lambda start, n: np.frombuffer(self._file.read_at(n, start), np.uint8)
+        foot = self._at(size - FOOT, FOOT)
+        if bytes(foot[-8:]) != MAGIC:
             raise ValueError(f"not a token shard: {path}")
-        at = n_ids * width
-        self.ids = data[:at].view(f"<u{width}")
-        at += -at % 8
-        self.offsets = data[at : at + 8 * (n_docs + 1)].view("<i8")
-        at += 8 * (n_docs + 1)
-        self.doc_ids = data[at : at + 8 * n_docs].view("<i8")
+        self.n_docs, self.n_ids, self.width = foot[:-8].view("<i8").tolist()
+        self._offsets = self.n_ids * self.width + -self.n_ids * self.width % 8
+
+    def offsets(self, a: int, b: int) -> np.ndarray:
+        return self._at(self._offsets + 8 * a, 8 * (b - a)).view("<i8")
+
+    def doc_ids(self, a: int, b: int) -> np.ndarray:
+        return self._at(self._offsets + 8 * (self.n_docs + 1 + a), 8 * (b - a)).view("<i8")
+
+    def ids(self, start: int, end: int) -> np.ndarray:
+        return self._at(start * self.width, (end - start) * self.width).view(f"<u{self.width}")
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.offsets[i] : self.offsets[i + 1]]
+        return self.ids(*self.offsets(i, i + 2).tolist())
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
@@ -130,10 +134,11 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row["path"], folder)
-                for at in range(0, len(shard.doc_ids), 4096):
-                    ends = shard.offsets[at : at + 4097]
-                    sums = [zlib.crc32(shard.ids[a:b].astype("<u4")) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                    doc_ids = np.array(shard.doc_ids[at : at + 4096])
+                for at in range(0, shard.n_docs, 4096):
+                    upto = min(at + 4096, shard.n_docs)
+                    ends = shard.offsets(at, upto + 1)
+                    sums = [zlib.crc32(shard.ids(a, b).astype("<u4")) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                    doc_ids = np.array(shard.doc_ids(at, upto))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(ends[:-1] + row["base"]), pa.array(np.diff(ends)), pa.array(sums, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
