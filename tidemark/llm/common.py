@@ -10,6 +10,8 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 #: Characters of text that one vectorised step takes at most, unless a single document is longer.
 STEP_CHARS = 4 << 20
 
-#: Bytes of an Arrow batch between the JVM and Python, so that buffers do not grow with the rows' length.
-BATCH_BYTES = 8 << 20
+#: A key of a join's left side is frequent if it has at least one in so many of its rows; so there are no more such keys.
+FREQUENT = 1000
 
 _own_dirs: dict[str, str] = {}
 
@@ -33,13 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset (local tests)."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one of a local session (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
             spark.sparkContext.setCheckpointDir(_own_dirs[app])
+            atexit.register(shutil.rmtree, _own_dirs[app].removeprefix("file://"), ignore_errors=True)
         place = _own_dirs[app]
     return place.rstrip("/")
 
@@ -53,19 +58,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's bytes of an Arrow batch to ``BATCH_BYTES`` if they are more or unbounded."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, None)
-    if now is not None and not 0 < int(now.strip().rstrip("bB")) <= BATCH_BYTES:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once nothing reads them any more."""
+    for found in tables:
+        spark, jvm = found.sparkSession, found.sparkSession.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(found._written_to)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined (inner or left) with ``right``, which has at most one row for each ``key``; null keys match nothing.
+
+    A key may hold any share of ``left``'s rows. Keys with at least 1 / ``FREQUENT`` of them, of which there are
+    at most ``FREQUENT``, are broadcast; the rest is shuffled. ``left`` is read twice: give a written table.
+    """
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    least = max(FREQUENT, -(-left.count() // FREQUENT))
+    frequent = written(counts.filter(F.col("_n") >= least).select(key, F.lit(True).alias("_frequent")), "frequent")
+    marked = left.join(F.broadcast(frequent), key, "left")  # at most FREQUENT rows
+    theirs = right.join(F.broadcast(frequent), key, "left")
+    some = marked.filter("_frequent").drop("_frequent").join(F.broadcast(theirs.filter("_frequent").drop("_frequent")), key, how)
+    rest = marked.filter("_frequent IS NULL").drop("_frequent").join(theirs.filter("_frequent IS NULL").drop("_frequent"), key, how)
+    return some.unionByName(rest)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    bounded_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),

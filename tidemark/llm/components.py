@@ -1,7 +1,7 @@
 """Connected components of a graph given as a table of links, by large-star and small-star.
 
-Each round is two shuffles of the links and leaves a written table, so no lineage builds up
-and nothing but counts reaches the driver. The number of rounds grows with the logarithm of
+Each round leaves a written table in place of the one before it, so no lineage builds up and
+nothing but counts reaches the driver. The number of rounds grows with the logarithm of
 the longest path.
 """
 
@@ -11,24 +11,32 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import FREQUENT, forget, written
 
 MOST_ROUNDS = 60
+#: Links of a node that make it a hub, at the least; with FREQUENT it bounds the number of hubs.
+HUB_LEAST = 256
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, n_links: int) -> DataFrame:
     """Each node's links, bent to the smallest node around it.
 
     Large star sees both directions and bends the links to larger neighbours; small star sees
-    the smaller neighbours only. The minimum is an aggregate with partial sums, joined back, so
-    a node with many links is not gathered in one place.
+    the smaller neighbours only. The minimum is an aggregate with partial sums. It is joined back
+    by a shuffle for most nodes; those with at least 1 / FREQUENT of all links, at most FREQUENT
+    nodes, are broadcast, so a hub's links stay where they are.
     """
     flipped = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
     around = links.unionByName(flipped)
     if not large:
         around = around.filter("b <= a")
-    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    bent = around.join(least, "a").filter("b > a" if large else "true")
+    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    many = max(HUB_LEAST, -(-2 * n_links // FREQUENT))
+    hubs = F.broadcast(least.filter(F.col("n") >= many).select("a", F.col("m").alias("hub_m")))
+    marked = around.join(hubs, "a", "left")
+    near_hubs = marked.filter("hub_m IS NOT NULL").select("a", "b", F.col("hub_m").alias("m"))
+    others = marked.filter("hub_m IS NULL").select("a", "b").join(least.filter(F.col("n") < many).select("a", "m"), "a")
+    bent = near_hubs.unionByName(others).filter("b > a" if large else "true")
     bent = bent.select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         bent = bent.unionByName(least.select("a", F.col("m").alias("b")))
@@ -38,14 +46,19 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(a, b): every node of ``links`` (columns a and b) that isn't the smallest of its component, and that smallest."""
     held = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    before = None
+    before, n_links = None, held.count()
     for _ in range(MOST_ROUNDS):
-        held = written(_star(_star(held, large=True), large=False), "links")
+        if not n_links:
+            return held
+        large = written(_star(held, True, n_links), "links-large")
+        small = written(_star(large, False, n_links), "links")
+        forget(held, large)
+        held = small
         # The links are settled when every node hangs directly on a root and nothing has changed.
         state = held.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return held
-        before = state
+        before, n_links = state, state[0]
     raise RuntimeError(f"components have not settled in {MOST_ROUNDS} rounds")
 
 

@@ -9,6 +9,11 @@ so SimHash neighbours alone would miss most pairs. Its candidates are therefore
 neighbours and, beside them, texts that share a band of MinHash values if the MinHash estimate
 of the similarity, with slack, allows it. Within each component of the candidates all pairs
 that the estimate allows are then decided by the exact similarity of their shingle sets.
+
+Crowds are cut into parts of about ``CELL_MOST`` texts, and pairs of parts are compared in cells of
+their own. In a component of the candidates each part is first compared within itself and with
+the component's smallest text, which joins most of a group of near copies at a cost in
+proportion to its size; only texts that this leaves apart are then compared with all parts.
 """
 
 from __future__ import annotations
@@ -21,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, shuffle_partitions, steps, written
-from .components import components, local_stars
+from .common import id_and_text, shuffle_partitions, spread_join, steps, written
+from .components import components
 from .fingerprints import bin_minima, low_bits
 from .shingles import hash_words, simhash, words_of
 from .vantage import links_within
@@ -43,7 +48,10 @@ CELL_SHINGLES = 1 << 20
 
 
 def fingerprints(docs: DataFrame, words: int = FINGERPRINT_WORDS) -> DataFrame:
-    """(doc_id, word): the SimHash of every whole text, as a signed 64-bit word."""
+    """(doc_id, word): the SimHash of every whole text, as a signed 64-bit word; a row for each row, repeated or not.
+
+    A bit of which exactly half of the hashes are set is 0.
+    """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -61,11 +69,11 @@ def simhash_classes(docs: DataFrame, words: int = FINGERPRINT_WORDS, radius: int
     fingerprint's other documents, or null. Repeated rows repeat in the result. Equal
     fingerprints are one node, so copies, however many, make no pairs.
     """
-    own = written(fingerprints(docs, words), "simhash")
+    own = written(fingerprints(docs, words), "simhash")  # a word, such as the empty text's, may be most rows'
     nodes = written(own.filter("doc_id IS NOT NULL").groupBy("word").agg(F.min("doc_id").alias("id")), "simhash-nodes")
     roots = components(links_within(nodes, radius)).withColumnRenamed("a", "id").withColumnRenamed("b", "root")
     classes = nodes.join(roots, "id", "left").select("word", F.coalesce("root", "id").alias("component_id"))
-    return own.join(classes, "word", "left").select("doc_id", F.lower(F.lpad(F.hex("word"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(own, written(classes, "simhash-classes"), "word", "left").select("doc_id", F.lower(F.lpad(F.hex("word"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -98,20 +106,23 @@ def _estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return ((many == one).mean(axis=1) - chance) / (1 - chance)
 
 
-def similar_links(ids: np.ndarray, sketches: np.ndarray, home: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, root) that connect what the similar pairs of a ``home`` row and another row connect.
+def _others(first: np.ndarray, i: int, second: np.ndarray) -> np.ndarray:
+    """The rows that row ``i`` of the ``first`` part is compared with: the other part, or later ones if there is none."""
+    return second if len(second) else np.arange(i + 1, len(first))
+
 
-    A pair is compared only while its rows are in different parts: comparing it later cannot
-    change the parts. So a crowd of copies costs about its size, not its square.
+def similar_links(ids: np.ndarray, sketches: np.ndarray, first: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, root) that connect what the pairs of an estimate of ``least`` or more connect.
+
+    Rows of the ``first`` part are compared with those of the other part, or with each other if there is no other.
+    A pair is compared only while its rows are in different classes: comparing it later cannot
+    change the classes. So a crowd of copies costs about its size, not its square.
     """
-    label = np.arange(len(ids))
-    at_home = np.flatnonzero(home)
-    for i in range(len(ids)):
-        rest = at_home if not home[i] else np.arange(len(ids))
-        at = 0
-        while at < len(rest):
+    label, second = np.arange(len(ids)), np.flatnonzero(~first)
+    for i in np.flatnonzero(first).tolist():
+        rest = _others(first, i, second)
+        for at in range(0, len(rest), 256):
             part = rest[at : at + 256]
-            at += 256
             part = part[label[part] != label[i]]
             if not len(part):
                 continue
@@ -123,8 +134,8 @@ def similar_links(ids: np.ndarray, sketches: np.ndarray, home: np.ndarray, least
     return ids[other], ids[label[other]]
 
 
-def _band_links(sketches: DataFrame, least: float) -> DataFrame:
-    spark = sketches.sparkSession
+def _band_cells(sketches: DataFrame) -> DataFrame:
+    """(band, x, y, id, first): the texts of each shared band, dealt to cells of one part or of two."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,46 +148,56 @@ def _band_links(sketches: DataFrame, least: float) -> DataFrame:
                         key ^= key >> np.uint64(29)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key.view(np.int64))], names=["id", "band"])
 
-    bands = sketches.select("id", "sketch").mapInArrow(cut, "id long, band long")
-    bands = written(bands, "bands")
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / CELL_MOST).cast("int").alias("parts"))
-    # Only bands that several texts share need sketches; crowded ones are cut into parts, and each part is
-    # compared with itself and all later ones.
-    members = bands.join(shared, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    cells = members.select("band", "id", "part", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("cell"))
-    # The cell's own part is at home in it; later parts come to be compared with it.
-    cells = cells.join(sketches.select("id", "sketch"), "id").withColumn("home", F.col("part") == F.col("cell"))
-    dealt = cells.select("band", "cell", "id", "home", "sketch").repartition(shuffle_partitions(spark), "band", "cell").sortWithinPartitions("band", "cell")
+    bands = written(sketches.select("id", "sketch").mapInArrow(cut, "id long, band long"), "bands")
+    # Only bands that several texts share need sketches.
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = written(sizes.select("band", F.ceil(F.col("n") / F.lit(0.75 * CELL_MOST)).cast("int").alias("parts")), "shared-bands")
+    members = spread_join(bands, shared, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    return _in_cells(members, "part", "parts", "band", "id")
+
+
+def _in_cells(members: DataFrame, part: str, parts: str, *columns: str) -> DataFrame:
+    """``columns`` of the members with x, y and ``first`` for every cell of their part with a part, itself included."""
+    spread = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+    return spread.select(*columns, F.least(part, "with").alias("x"), F.greatest(part, "with").alias("y"), (F.col(part) <= F.col("with")).alias("first"))
+
+
+def _band_links(sketches: DataFrame, least: float) -> DataFrame:
+    spark = sketches.sparkSession
+    cells = _band_cells(sketches).join(sketches.select("id", "sketch"), "id").select("band", "x", "y", "id", "first", "sketch")
+    dealt = cells.repartition(shuffle_partitions(spark), "band", "x", "y").sortWithinPartitions("band", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cells_of() -> Iterator[list[tuple]]:
-            key, rows = None, []
-            for batch in batches:
-                for band, cell, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if key != (band, cell):
-                        yield rows
-                        key, rows = (band, cell), []
-                    rows.append(row)
-            yield rows
-
-        for rows in cells_of():
+        for rows in _grouped(batches, 3):
             if len(rows) > 1:
-                ids, home, data = zip(*rows, strict=True)
+                ids, first, data = zip(*rows, strict=True)
                 sketch = np.frombuffer(b"".join(data), np.uint16).reshape(len(rows), SKETCH_BINS)
-                a, b = similar_links(np.array(ids), sketch, np.array(home), least)
+                a, b = similar_links(np.array(ids), sketch, np.array(first), least)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
+    """Rows, without their first ``n_keys`` columns, of each stretch of equal keys."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != row[:n_keys]:
+                yield rows
+                key, rows = row[:n_keys], []
+            rows.append(row[n_keys:])
+    yield rows
+
+
 def _simhash_links(sketches: DataFrame) -> DataFrame:
     """Links that connect the neighbours by SimHash; texts of an equal SimHash hang on their first.
 
     They are bent to stars, so nothing may be decided by the two ends of such a link.
     """
-    nodes = sketches.groupBy("word").agg(F.min("id").alias("id"))
-    same = sketches.join(nodes.withColumnRenamed("id", "b"), "word").filter("id <> b").select(F.col("id").alias("a"), "b")
+    nodes = written(sketches.groupBy("word").agg(F.min("id").alias("id")), "words")
+    same = spread_join(sketches.select("id", "word"), nodes.withColumnRenamed("id", "b"), "word").filter("id <> b").select(F.col("id").alias("a"), "b")
     return links_within(nodes, RADIUS).distinct().unionByName(same)
 
 
@@ -192,19 +213,24 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(compute, "id long, digest binary, found binary")
 
 
-def exact_links(ids: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], first: np.ndarray, least: float, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def exact_links(ids: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], first: np.ndarray, least: float, similarity: float, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, root) that connect what the pairs of an exact Jaccard ``similarity`` or more connect.
 
     Rows of the ``first`` part are compared with those of the other part, or with each other if there is no other;
     pairs whose estimate is below ``least`` or whose rows are in one class already are not compared.
+    ``classes`` are those known from before.
     """
-    label, size = np.arange(len(ids)), np.array([len(s) for s in sets])
+    size = np.array([len(s) for s in sets])
+    label = np.arange(len(ids))
+    if classes is not None:
+        _, at, back = np.unique(classes, return_index=True, return_inverse=True)
+        label = at[back]
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     flat, ends = flat.astype(np.int32), np.cumsum(size)
     own = [flat[end - n : end] for n, end in zip(size.tolist(), ends.tolist(), strict=True)]
     marked, second = np.zeros(len(values), bool), np.flatnonzero(~first)
     for i in np.flatnonzero(first & (size > 0)).tolist():
-        rest = second if len(second) else np.arange(i + 1, len(ids))
+        rest = _others(first, i, second)
         marked[own[i]] = True
         for at in range(0, len(rest), 256):
             part = rest[at : at + 256]
@@ -224,42 +250,54 @@ def exact_links(ids: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], f
     return ids[other], ids[label[other]]
 
 
-def _exact_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, least: float, similarity: float) -> DataFrame:
-    """Links of the pairs at ``similarity`` or more within each component of the ``candidates``."""
-    spark = docs.sparkSession
-    found = components(candidates)
-    members = written(found.unionByName(found.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("id"), F.col("b").alias("root")), "candidates")
-    placed = members.join(nodes.select("id", "digest", "sketch", "shingles"), "id")
-    # Large components are cut into parts; each cell holds one part or a pair of them.
-    crowd = F.greatest(F.count("*") / CELL_MOST, F.sum("shingles") / CELL_SHINGLES)
-    parts = placed.groupBy("root").agg(F.ceil(crowd).cast("int").alias("parts"))
-    placed = placed.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")).drop("shingles")
-    texts = id_and_text(docs).withColumnRenamed("doc_id", "id").join(members.select("id"), "id", "left_semi")
-    cells = placed.join(_shingle_sets(texts), ["id", "digest"])
-    cells = cells.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("root", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "id", "digest", (F.col("part") <= F.col("with")).alias("first"), "sketch", "found")
-    dealt = cells.repartition(shuffle_partitions(spark), "root", "x", "y").sortWithinPartitions("root", "x", "y")
+def _compared(cells: DataFrame, least: float, similarity: float) -> DataFrame:
+    """Links (a, b) found in ``cells`` of (root, x, y, id, digest, first, class, sketch, found)."""
+    dealt = cells.repartition(shuffle_partitions(cells.sparkSession), "root", "x", "y").sortWithinPartitions("root", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cells_of() -> Iterator[dict[bytes, tuple]]:
-            key, rows = None, {}
-            for batch in batches:
-                for *at, id_, digest, first, sketch, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if key != at:
-                        yield rows
-                        key, rows = at, {}
-                    rows.setdefault(digest, (id_, first, sketch, np.frombuffer(shingles, np.uint64)))
-            yield rows
-
-        for rows in cells_of():
-            if len(rows) > 1:
-                ids, first, data, sets = zip(*rows.values(), strict=True)
-                sketch = np.frombuffer(b"".join(data), np.uint16).reshape(len(rows), SKETCH_BINS)
-                a, b = exact_links(np.array(ids), sketch, list(sets), np.array(first), least, similarity)
+        for group in _grouped(batches, 3):
+            if len(group) > 1:
+                ids, _, first, known, data, sets = zip(*group, strict=True)
+                sets = [np.frombuffer(x, np.uint64) for x in sets]
+                sketch = np.frombuffer(b"".join(data), np.uint16).reshape(len(group), SKETCH_BINS)
+                a, b = exact_links(np.array(ids), sketch, sets, np.array(first), least, similarity, np.array(known))
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.select("root", "x", "y", "id", "digest", "first", "class", "sketch", "found").mapInArrow(compare, "a long, b long").filter("a <> b").distinct()
+
+
+def _exact_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, least: float, similarity: float) -> DataFrame:
+    """Links of the pairs at ``similarity`` or more within each component of the ``candidates``."""
+    found = components(candidates)
+    members = found.unionByName(found.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("id"), F.col("b").alias("root"))
+    placed = written(members.join(nodes.select("id", "digest", "sketch", "shingles"), "id"), "candidates")
+    crowd = F.greatest(F.count("*") / F.lit(0.75 * CELL_MOST), F.sum("shingles") / CELL_SHINGLES)
+    parts = written(placed.groupBy("root").agg(F.ceil(crowd).cast("int").alias("parts")), "crowds")
+    part = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
+    placed = spread_join(placed, parts, "root").withColumn("part", part).drop("shingles")
+    texts = id_and_text(docs).withColumnRenamed("doc_id", "id").join(placed.select("id"), "id", "left_semi")
+    placed = written(placed.join(_shingle_sets(texts).dropDuplicates(["id", "digest"]), ["id", "digest"]), "candidate-sets")
+
+    # The root stands in every part of its component.
+    everywhere = F.when(F.col("id") == F.col("root"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    cells = placed.withColumn("x", F.explode(everywhere)).withColumns({"y": F.col("x"), "first": F.lit(True), "class": F.col("id")})
+    near = written(_compared(cells, least, similarity), "exact-links")
+    if not parts.filter("parts > 1").limit(1).count():
+        return near
+
+    # What the first pass leaves apart from the root of a component of several parts, against all of it.
+    crowded = placed.filter("parts > 1")
+    classes = components(near).withColumnRenamed("a", "id").withColumnRenamed("b", "class")
+    crowded = crowded.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))  # the root is its class's smallest
+    apart = crowded.filter(F.col("class") != F.col("root"))
+    crowd = F.greatest(F.count("*") / F.lit(0.75 * CELL_MOST), F.sum(F.octet_length("found") / 8) / CELL_SHINGLES)
+    open_parts = written(apart.groupBy("root").agg(F.ceil(crowd).cast("int").alias("open_parts")), "open")
+    crowded = spread_join(written(crowded, "crowded"), open_parts, "root")
+    open_part = F.pmod(F.xxhash64("digest", F.lit(1)), F.col("open_parts"))
+    first = crowded.filter(F.col("class") != F.col("root")).withColumn("x", open_part.cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("first", F.lit(True))
+    second = crowded.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("open_parts") - 1))).withColumn("y", F.col("part")).withColumn("first", F.lit(False))
+    return near.unionByName(_compared(first.unionByName(second), least, similarity))
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -271,13 +309,13 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     candidates = _band_links(nodes, least).unionByName(_simhash_links(nodes))
     roots = components(_exact_links(docs, nodes, candidates, least, similarity)).withColumnRenamed("a", "id").withColumnRenamed("b", "root")
     classes = nodes.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
-    return own.select("doc_id", "digest").join(classes, "digest").select("doc_id", "component_id")
+    return spread_join(own.select("doc_id", "digest"), written(classes, "near-classes"), "digest").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the rows whose near copy with a smaller doc_id stays; rows of a null doc_id stay.
+    """``docs`` without the rows that are not the smallest doc_id of their class of near copies; rows of a null doc_id stay.
 
-    Of rows that repeat a doc_id all stay if that id does.
+    A null or empty text is like any other empty text. Of equal texts, and of classes, the smallest doc_id stays. Of rows that repeat a doc_id all stay if that id does.
     """
     gone = near_duplicate_classes(docs, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
