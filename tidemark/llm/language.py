@@ -9,14 +9,13 @@ as far is flagged as ambiguous.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +24,14 @@ from .common import id_and_text, steps, written
 BUCKETS = 4096
 ROWS_PER_LANGUAGE = 250  # the classifiers are fitted on about so many labelled rows of each language
 FIT_ROWS = 10_000  # and, where languages are many, on about so many of all, but at least one of each
+BITS_PER_LOG = 16  # classifiers for each doubling of the number of languages, at most
 RIDGE = 0.05
 AMBIGUOUS = 0.6  # a best probability below this is flagged
 UNDETERMINED = "und"
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII letters stay, other ASCII is a blank, bytes of other characters stay.
 _FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
@@ -55,22 +55,22 @@ def features(text: str) -> np.ndarray:
 
 
 def codewords(n: int) -> np.ndarray:
-    """A row of +1 and -1 for each of ``n`` languages: all splits if they are few, else well-spread random ones."""
+    """A row of +1 and -1 for each of ``n`` languages: rows of a simplex code, of which every two differ in half of the bits.
+
+    Language i has a vector of k = log2(n) + 1 bits, zero and the unit vectors first; a bit of its codeword is the
+    parity of what the vector shares with one of the 2^k - 1 others. Up to four languages that is every split.
+    At most BITS_PER_LOG k of these bits are kept, drawn from a fixed seed; ``least_distance`` tells what distance is left.
+    """
     if n <= 1:
         return np.ones((n, 1))
-    if n <= 6:
-        return np.array([(1, *bits) for bits in product((1, -1), repeat=n - 1) if -1 in bits]).T
-    rng, bits = np.random.default_rng(5), 15 * int(np.ceil(np.log2(n)))
-    best, far = None, -1
-    for _ in range(50):
-        code = rng.choice((-1, 1), (n, bits))
-        distance = _least_distance(code)
-        if distance > far and (np.abs(code.sum(axis=0)) < n).all():
-            best, far = code, distance
-    return best
-
-
-def _least_distance(code: np.ndarray) -> float:
+    k = int(np.ceil(np.log2(n))) + 1
+    vectors = np.array(sorted(range(1 << k), key=lambda v: (v.bit_count(), v))[:n])
+    splits = np.random.default_rng(5).permutation(np.arange(1, 1 << k))[: BITS_PER_LOG * k]
+    code = 1 - 2 * (np.bitwise_count(vectors[:, None] & splits[None, :]).astype(np.int64) & 1)
+    return np.unique(code[:, np.abs(code.sum(axis=0)) < n], axis=1)
+
+
+def least_distance(code: np.ndarray) -> float:
     """The fewest bits in which two rows differ."""
     n, bits = code.shape
     signs, least = code.astype(np.float32), float(bits)
@@ -156,7 +156,7 @@ def fit(docs: DataFrame) -> Codes | None:
         return None
     each = min(ROWS_PER_LANGUAGE, max(1, FIT_ROWS // known))
     below = F.greatest(F.least(F.lit(1.0), F.lit(each) / F.col("n")) * (1 << 20), F.col("least") + 1)
-    sample = usable.join(F.broadcast(languages.select("lang", below.alias("below"))), "lang").filter(drawn < F.col("below")).select("doc_id", "lang", "text")
+    sample = usable.join(F.broadcast(languages.select("lang", below.alias("below"))), "lang").filter(drawn < F.col("below")).select("doc_id", "lang", "text").distinct()  # a drawn row that repeats is one
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +172,8 @@ def fit(docs: DataFrame) -> Codes | None:
 def identify(docs: DataFrame, codes: Codes | None) -> DataFrame:
     """A row for each document: held_out, predicted language, score in [0, 1], ambiguous.
 
-    ``und`` with score 0 for a null text, a text without a letter, and without a model.
+    ``und`` with score 0 for a null text, a text without a letter (Unicode category L), and without a model.
+    Equal rows have equal predictions; of languages at an equal distance the first by name wins.
     """
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
