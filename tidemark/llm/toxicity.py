@@ -8,11 +8,12 @@ toxicity in a short text may be chance in a long one.
 
 Labels tell only toxic or not. The grade of a toxic training row is the third of the toxic rows,
 by number of words that stand out in toxic texts, in which it lies; other rows have grade 0.
-A document is rejected if P(y >= 1) reaches a threshold: the middle of those that tell the
-training rows apart best.
+A document is rejected if P(y >= 1) reaches a threshold: the middle of those that best tell apart
+rows scored by models that were fitted without them (``FOLDS``).
 
 Fitting uses a sample of at most about ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` other labelled
-rows; the features are the ``FEATURES`` that separate the two best.
+rows. A feature is used if the lower confidence bound of its log-odds ratio, toxic against
+clean, exceeds ``LEAST_BOUND``; there is no other limit to the vocabulary.
 """
 
 from __future__ import annotations
@@ -33,10 +34,9 @@ from .shingles import hash_words
 from .shingles import words_of as shingle_words
 
 TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
-FEATURES = 400
-LEAST_ROWS = 4  # toxic rows that must have a feature
-LEAST_BOUND = 1.0  # lower bound of its log-odds ratio
+LEAST_BOUND = 1.0  # of the log-odds ratio of a feature, at 95 % confidence
 GRADES = 3
+FOLDS = 3
 
 RESULT = "doc_id long, severity double, grade int, p_toxic double, toxic boolean"
 
@@ -54,8 +54,10 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     data = np.frombuffer(lower.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if lower.buffers()[2] else np.empty(0, np.uint8)
     folded = pa.Array.from_buffers(pa.string(), len(lower), [None, pa.py_buffer(np.ascontiguousarray(offsets - offsets[0])), pa.py_buffer(_FOLD[data])])
     lists = pc.ascii_split_whitespace(folded)
-    bounds = lists.offsets.to_numpy().astype(np.int64)
-    return lists.flatten(), bounds - bounds[0]
+    parts, bounds = lists.flatten(), lists.offsets.to_numpy()
+    real = pc.not_equal(pc.binary_length(parts), 0)  # blanks at an end leave an empty part
+    ends = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return parts.filter(real), ends[bounds - bounds[0]]
 
 
 def word_features(word: str) -> list[str]:
@@ -73,6 +75,27 @@ def _best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
     return float((held[k] + held[k + 1]) / 2)
 
 
+@dataclass
+class Sparse:
+    """A matrix of n rows as (row, column, value) triples, by row and column."""
+
+    n: int
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.n)
+
+    def transposed_times(self, r: np.ndarray, columns: int) -> np.ndarray:
+        return np.bincount(self.column, self.value * r[self.row], columns)
+
+    def rows(self, chosen: np.ndarray) -> Sparse:
+        place = np.cumsum(chosen) - 1
+        own = chosen[self.row]
+        return Sparse(int(chosen.sum()), place[self.row[own]], self.column[own], self.value[own])
+
+
 @dataclass
 class Ordinal:
     """Cumulative-link model over named features."""
@@ -83,48 +106,48 @@ class Ordinal:
     reject: float = 0.5
 
     @classmethod
-    def fit(cls, features: list[str], x: np.ndarray, grade: np.ndarray, l2: float = 10.0, rounds: int = 600, rate: float = 0.05) -> Ordinal:
-        n, k = len(grade), GRADES
+    def fit(cls, features: list[str], x: Sparse, grade: np.ndarray, l2: float = 10.0, rounds: int = 600, rate: float = 0.05) -> Ordinal:
+        n, k, d = len(grade), GRADES, len(features)
         target = grade[:, None] > np.arange(k)[None, :]
         # Toxic and other rows weigh alike.
         weight = np.where(grade > 0, 0.5 / max(1, (grade > 0).sum()), 0.5 / max(1, (grade == 0).sum())) * n
         # Parameters: weights, first threshold, logarithms of the steps between thresholds.
-        p = np.concatenate([np.zeros(x.shape[1]), [0.0], np.zeros(k - 1)])
+        p = np.zeros(d + k)
         m, v = np.zeros_like(p), np.zeros_like(p)
         for t in range(1, rounds + 1):
-            w, first, gaps = p[: x.shape[1]], p[x.shape[1]], np.exp(p[x.shape[1] + 1 :])
+            w, first, gaps = p[:d], p[d], np.exp(p[d + 1 :])
             theta = first + np.concatenate([[0.0], np.cumsum(gaps)])
-            residual = (1 / (1 + np.exp(-np.clip((x @ w)[:, None] - theta[None, :], -30, 30))) - target) * weight[:, None] / n
+            residual = (1 / (1 + np.exp(-np.clip(x.times(w)[:, None] - theta[None, :], -30, 30))) - target) * weight[:, None] / n
             by_threshold = -residual.sum(axis=0)
-            gradient = np.concatenate([x.T @ residual.sum(axis=1) + l2 * w / n, [by_threshold.sum()], [by_threshold[j + 1 :].sum() * g for j, g in enumerate(gaps)]])
+            gradient = np.concatenate([x.transposed_times(residual.sum(axis=1), d) + l2 * w / n, [by_threshold.sum()], [by_threshold[j + 1 :].sum() * g for j, g in enumerate(gaps)]])
             m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
             p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, theta = p[: x.shape[1]], p[x.shape[1]] + np.concatenate([[0.0], np.cumsum(np.exp(p[x.shape[1] + 1 :]))])
-        model = cls(features, w, theta)
-        model.reject = _best_cut(model.at_least(x)[:, 0], grade > 0)
-        return model
+        return cls(features, p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))]))
 
-    def at_least(self, x: np.ndarray) -> np.ndarray:
+    def at_least(self, x: Sparse) -> np.ndarray:
         """P(y >= 1), P(y >= 2), ... for each row."""
-        return 1 / (1 + np.exp(-np.clip((x @ self.weights)[:, None] - self.thresholds[None, :], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(x.times(self.weights)[:, None] - self.thresholds[None, :], -30, 30)))
 
 
-def design(texts: pa.Array, features: list[str]) -> np.ndarray:
+def design(texts: pa.Array, features: list[str]) -> Sparse:
     """log(1 + count) of each feature in each text."""
     place = {f: i for i, f in enumerate(features)}
     words, bounds = words_of(texts)
     coded = words.dictionary_encode()
     own = [[place[f] for f in word_features(w) if f in place] for w in coded.dictionary.to_pylist()]
-    known = np.array([bool(o) for o in own], bool)
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    x = np.zeros((len(texts), len(features)), np.float32)
-    at = np.flatnonzero(known[codes]) if len(codes) else np.empty(0, np.int64)
-    rows = np.searchsorted(bounds, at, side="right") - 1
-    for row, code in zip(rows.tolist(), codes[at].tolist(), strict=True):
-        x[row, own[code]] += 1
+    sizes = np.array([len(o) for o in own], np.int64)
+    flat, starts = np.array([i for o in own for i in o], np.int64), np.cumsum(sizes) - sizes
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.flatnonzero(sizes[codes]) if len(codes) else np.empty(0, np.int64)
+    code = codes[at]
+    n = sizes[code] if len(code) else np.empty(0, np.int64)
+    row = np.repeat(np.searchsorted(bounds, at, side="right") - 1, n)
+    column = flat[np.repeat(starts[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(code) else np.empty(0, np.int64)
     if LENGTH in place:
-        x[:, place[LENGTH]] = np.diff(bounds)
-    return np.log1p(x)
+        length = np.diff(bounds)
+        row, column = np.append(row, np.repeat(np.arange(len(texts)), length)), np.append(column, np.full(length.sum(), place[LENGTH]))
+    keys, counts = np.unique(row * len(features) + column, return_counts=True)
+    return Sparse(len(texts), keys // len(features), keys % len(features), np.log1p(counts))
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,34 +195,49 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal | None:
     # The lower confidence bound of the log-odds ratio of having the feature, toxic against clean.
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(a / (sizes[True] - F.col("toxic") + 0.5)) - F.log(b / (sizes[False] - F.col("clean") + 0.5))
-    ranked = _feature_counts(sample).filter(F.col("toxic") >= LEAST_ROWS).withColumn("bound", odds - 1.64 * F.sqrt(1 / a + 1 / b))
-    features = [r.feature for r in ranked.filter(F.col("bound") > LEAST_BOUND).orderBy(F.desc("bound"), "feature").limit(FEATURES).collect()]
+    ranked = _feature_counts(sample).withColumn("bound", odds - 1.64 * F.sqrt(1 / a + 1 / b))
+    features = [r.feature for r in ranked.filter(F.col("bound") > LEAST_BOUND).select("feature").collect()]
     if not features:
         return None
-    features.append(LENGTH)
+    features = [*sorted(features), LENGTH]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             x = design(batch.column(1), features)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "toxic", "x"])
+            bounds = np.searchsorted(x.row, np.arange(x.n + 1)).tolist()
+            cut = lambda v, kind: pa.array([v[a:b].astype(kind).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), cut(x.column, np.int32), cut(x.value, np.float32)], names=["doc_id", "toxic", "at", "value"])
+
+    rows = sorted(sample.mapInArrow(extract, "doc_id long, toxic int, at binary, value binary").collect(), key=lambda r: (r.doc_id, r.at, r.value))
+    sizes = np.array([len(r.at) // 4 for r in rows])
+    x = Sparse(len(rows), np.repeat(np.arange(len(rows)), sizes), np.frombuffer(b"".join(r.at for r in rows), np.int32).astype(np.int64), np.frombuffer(b"".join(r.value for r in rows), np.float32).astype(np.float64))
+    return fit_rows(features, x, np.array([r.toxic > 0 for r in rows]))
+
 
-    rows = sorted(sample.mapInArrow(extract, "doc_id long, toxic int, x binary").collect(), key=lambda r: (r.doc_id, r.x))
-    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, len(features)).astype(np.float64)
-    toxic = np.array([r.toxic > 0 for r in rows])
-    strength = np.expm1(x[:, :-1]).sum(axis=1)
+def fit_rows(features: list[str], x: Sparse, toxic: np.ndarray) -> Ordinal:
+    words = x.column < len(features) - 1
+    strength = np.bincount(x.row[words], np.expm1(x.value[words]), x.n)
     cuts = np.quantile(strength[toxic], [i / GRADES for i in range(1, GRADES)])
     grade = np.where(toxic, 1 + (strength[:, None] > cuts[None, :]).sum(axis=1), 0)
-    return Ordinal.fit(features, x, grade)
+    model, fold = Ordinal.fit(features, x, grade), np.arange(x.n) % FOLDS
+    p = model.at_least(x)[:, 0]
+    for k in range(FOLDS):
+        rest, own = fold != k, fold == k
+        if toxic[rest].any() and not toxic[rest].all() and own.any():
+            p[own] = Ordinal.fit(features, x.rows(rest), grade[rest]).at_least(x.rows(own))[:, 0]
+    model.reject = _best_cut(p, toxic)
+    return model
 
 
 def _scores(texts: pa.Array, model: Ordinal | None) -> np.ndarray:
-    return model.at_least(design(texts, model.features).astype(np.float64)) if model else np.zeros((len(texts), GRADES))
+    return model.at_least(design(texts, model.features)) if model else np.zeros((len(texts), GRADES))
 
 
 def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     """A row for each document: expected severity (0 to 3), likeliest grade, P(y >= 1), toxic.
 
-    A null or empty text has no features. Without a model all is 0 and false.
+    A null or empty text has no features. Without a model all is 0 and false. Equal texts, and so
+    repeated rows, have equal results; of equally likely grades the lowest is given.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
