@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import id_and_text, shared_path, shuffle_partitions, steps
+from .common import id_and_text, opened, shared_path, shuffle_partitions, steps
 
 MAGIC = b"TOKSHRD1"
 FOOT = 32
@@ -35,15 +35,11 @@ MANIFEST = "shard int, path string, n_docs long, n_ids long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def _opened(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-
-
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, cut: str, end_id: int, width: int = 2) -> DataFrame:
     """Encode ``docs`` into shards below ``folder``, ascending by doc_id; the manifest, a row for each shard.
 
-    Rows are dealt by ranges of (doc_id, hash of text), so equal ids, however many, are still
-    spread, unless their texts are equal too. A shard is written under a name of its own attempt and renamed when whole, so a
+    Rows are dealt by ranges of (doc_id, hash of text, place in the input), so equal ids or rows,
+    however many, are still spread. A shard is written under a name of its own attempt and renamed when whole, so a
     lost executor leaves no half file behind the manifest.
     """
     spark = docs.sparkSession
@@ -51,7 +47,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, cut: str, end_id
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, encoder = TaskContext.get().partitionId(), tokens.encoder(vocabulary, cut)
-        store, root = _opened(folder)
+        store, root = opened(folder)
         store.create_dir(root, recursive=True)
         path, temporary = f"{root}/shard-{shard:06d}.tok", f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
         lengths, doc_ids, total = [], [], 0
@@ -81,9 +77,9 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, cut: str, end_id
         store.move(temporary, path)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [n_docs], "n_ids": pa.array([total], pa.int64())})
 
-    dealt = id_and_text(docs).withColumn("tie", F.xxhash64("text"))
+    dealt = id_and_text(docs).withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     n = shuffle_partitions(spark)
-    return dealt.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie").mapInArrow(write, MANIFEST)
+    return dealt.repartitionByRange(n, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie").select("doc_id", "text").mapInArrow(write, MANIFEST)
 
 
 class Shard:
@@ -93,7 +89,7 @@ class Shard:
     """
 
     def __init__(self, path: str, folder: str):
-        store, _ = _opened(folder)
+        store, _ = opened(folder)
         if isinstance(store, fs.LocalFileSystem):
             self._data = np.memmap(path, dtype=np.uint8, mode="r")
             size, self._at = len(self._data), lambda start, n: self._data[start : start + n]
