@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import components, fingerprints, shingles, simhash, vantage
+from tidemark.llm import common, components, fingerprints, shingles, simhash, vantage
 
 
 def plain_shingles(text, size):
@@ -79,6 +79,56 @@ def test_links_within_finds_exactly_what_brute_force_finds(spark, monkeypatch, r
     assert {(a, b) for a, b in zip(q.tolist(), m.tolist()) if a > b} == set(links)
 
 
+@pytest.mark.parametrize("radius, blocks", [(3, 4), (3, 5), (3, 6), (2, 4), (0, 4)])
+def test_routes_meet_for_all_neighbours(radius, blocks):
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    near = np.array([w ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, radius, replace=False))) for w in words])
+    shards = [{(int(r), int(k)) for rows, keys, _ in vantage.routes(x, radius, blocks) for r, k in zip(rows, keys)} for x in (words, near)]
+    assert {r for r, _ in shards[0] & shards[1]} == set(range(400))
+
+
+def test_more_fingerprints_use_more_blocks():
+    assert [vantage.blocks_for(n, 3) for n in (1, 1 << 26, 1 << 28, 1 << 40)] == [4, 4, 5, 6]
+    assert vantage.blocks_for(1 << 40, 5) == vantage.BLOCKS
+
+
+@pytest.mark.parametrize("radius", [3, 5])
+def test_a_crowded_shard_makes_cells_of_two_parts(spark, monkeypatch, radius):
+    monkeypatch.setattr(vantage, "SHARD_MOST", 100)
+    rng = np.random.default_rng(9)
+    centre = int(rng.integers(0, 1 << 63))
+    words = sorted({centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(1500)})
+    frame = spark.createDataFrame([(i, w - (1 << 64) if w >> 63 else w) for i, w in enumerate(words)], "id long, word long")
+    sizes = vantage.cells(frame, radius, 4).groupBy("shard", "cell").count().agg({"count": "max"}).first()[0]
+    assert sizes <= 2 * 100
+
+
+def test_a_crowded_band_makes_cells_of_two_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_MOST", 100)
+    sketch = np.zeros(simhash.SKETCH_BINS, np.uint16).tobytes()
+    frame = spark.createDataFrame([(i, sketch) for i in range(600)], "id long, sketch binary")
+    cells = simhash._band_cells(frame)
+    assert cells.groupBy("band", "x", "y").count().agg({"count": "max"}).first()[0] <= 2 * 100
+    met = cells.alias("p").join(cells.alias("q"), ["band", "x", "y"]).filter("p.id < q.id").selectExpr("p.id", "q.id").distinct().count()
+    assert met == 600 * 599 // 2
+
+
+def test_hubs_and_frequent_keys_are_joined_like_others(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_LEAST", 3)
+    monkeypatch.setattr(components, "FREQUENT", 20)
+    links = [(0, x) for x in range(1, 400)] + [(x, x + 1000) for x in range(1, 300, 3)] + [(5000 + i, 5001 + i) for i in range(30)]
+    got = {r.a: r.b for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {a: b for a, b in plain_classes(links, {n for l in links for n in l}).items() if a != b}
+    monkeypatch.setattr(common, "FREQUENT", 10)
+    left = spark.createDataFrame([(i, None if i % 7 == 0 else i % 3 if i < 900 else i) for i in range(1000)], "i long, k long")
+    right = spark.createDataFrame([(k, k * 2) for k in (0, 1, 905, 906)], "k long, v long")
+    for how in ("inner", "left"):
+        want = left.join(right, "k", how).select("i", "k", "v")
+        got = common.spread_join(left, right, "k", how).select("i", "k", "v")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_components_of_paths_stars_and_rings(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, x) for x in range(200, 260)] + [(1, 2), (2, 3), (3, 1), (5, 5)]
     got = {r.a: r.b for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -9,6 +9,8 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyarrow import fs
+from tokenizers import Tokenizer
 
 from tidemark.llm import packing, token_files, tokens
 
@@ -20,23 +22,51 @@ PARTS = ["the", "Thntble", " ", "  ", "\n", "\n ", " \n", "\t", "é", "é", "́
 @settings(max_examples=150, deadline=None)
 @given(texts=st.lists(st.lists(st.sampled_from(PARTS), max_size=10).map("".join), min_size=1, max_size=6))
 def test_pieces_give_the_ids_of_whole_texts(cut, texts):
-    encoder = tokens.encoder(VOCABULARIES[cut], cut)
-    ids, places = encoder.encode(pa.array(texts))
-    assert [ids[a:b].tolist() for a, b in zip(places[:-1], places[1:])] == encoder.encode_whole(texts)
+    ids, places = tokens.encoder(VOCABULARIES[cut], cut).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(places[:-1], places[1:])] == whole(cut, texts)
+
+
+LIBRARY = {cut: Tokenizer.from_file(path) for cut, path in VOCABULARIES.items()}
+
+
+def whole(cut, texts):
+    """Ids from the library alone, as it comes."""
+    return [LIBRARY[cut].encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_added_tokens_in_a_text_have_their_own_ids():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|endoftext|", "plain"]
+    for cut, known in (("space", {50256}), ("white", {49406, 49407})):
+        ids, places = tokens.encoder(VOCABULARIES[cut], cut).encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(places[:-1], places[1:])] == whole(cut, texts)
+        assert known <= set(ids.tolist())
+
+
+def test_ranges_of_a_shard_are_read_alike_with_and_without_mapping(spark, tmp_path, monkeypatch):
+    manifest = token_files.write_shards(rows_of(spark).repartition(3), f"file://{tmp_path}/t", VOCABULARIES["white"], "white", 1).collect()
+    for row in manifest:
+        mapped = token_files.Shard(row.path, f"file://{tmp_path}/t")
+        store = fs.SubTreeFileSystem("/", fs.LocalFileSystem())
+        monkeypatch.setattr(token_files, "opened", lambda folder, store=store: (store, folder))
+        ranged = token_files.Shard(row.path, "")
+        monkeypatch.undo()
+        assert (mapped.n_docs, mapped.n_ids, mapped.width) == (ranged.n_docs, ranged.n_ids, ranged.width) == (row.n_docs, row.n_ids, 2)
+        assert mapped.doc_ids(0, row.n_docs).tolist() == ranged.doc_ids(0, row.n_docs).tolist()
+        for i in range(row.n_docs):
+            assert mapped.document(i).tolist() == ranged.document(i).tolist() and mapped.document(i)[-1] == 1
 
 
 def rows_of(spark):
-    texts = [None, "", "one two three " * 900, "Él dijo:  hola", "same", "same"]
+    texts = [None, "", "one two three " * 900, "Él dijo:  hola <|endoftext|> x", "same", "same"]
     return spark.createDataFrame([(i if i < 5 else 4, t, 0) for i, t in enumerate(texts)] + [(None, "lost id", 0)], "doc_id long, text string, start int")
 
 
 def test_token_files_round_trip(spark):
     got = token_files.tokenize_to_files(rows_of(spark), VOCABULARIES["white"]).collect()
-    encoder = tokens.encoder(VOCABULARIES["white"], "white")
     rows = sorted(((r.doc_id, r.text or "") for r in rows_of(spark).collect()), key=lambda x: (x[0] is not None, x[0]))
     want, start = [], 0
     for doc_id, text in rows:
-        ids = np.append(encoder.encode_whole([text])[0], 1).astype("<u4")
+        ids = np.append(whole("white", [text])[0], 1).astype("<u4")
         want.append((doc_id, start, len(ids), zlib.crc32(ids)))
         start += len(ids)
     key = lambda r: (r[1], r[2])
@@ -56,8 +86,7 @@ def test_packing_is_gapless_and_whole(spark):
         assert sum(r.length for r in own) <= 64
     long = sorted((r for r in rows if r.doc_id == 2), key=lambda r: r.piece)
     assert all(r.length == 64 for r in long[1:]) and [r.start for r in long] == np.cumsum([0] + [r.length for r in long])[:-1].tolist()
-    whole = tokens.encoder(VOCABULARIES["space"], "space").encode_whole(["one two three " * 900])[0]
-    assert sum((r.ids for r in long), []) == [*whole, 0]
+    assert sum((r.ids for r in long), []) == [*whole("space", ["one two three " * 900])[0], 0]
     assert packing.pack(rows_of(spark).limit(0), VOCABULARIES["space"]).count() == 0
 
 
