@@ -77,13 +77,15 @@ def opened(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined (inner or left) with ``right``, which has at most one row for each ``key``; null keys match nothing.
 
     A key may hold any share of ``left``'s rows. Keys with at least 1 / ``FREQUENT`` of them, of which there are
     at most ``FREQUENT``, are broadcast; the rest is shuffled. ``left`` is read twice: give a written table.
+    ``counts``: (key, _n), the rows of ``left`` for each key, or for each that may be frequent, if they are known.
     """
-    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    if counts is None:
+        counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     least = max(FREQUENT, -(-left.count() // FREQUENT))
     frequent = written(counts.filter(F.col("_n") >= least).select(key, F.lit(True).alias("_frequent")), "frequent")
     marked = left.join(F.broadcast(frequent), key, "left")  # at most FREQUENT rows

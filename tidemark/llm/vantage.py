@@ -169,9 +169,9 @@ def cells(fingerprints: DataFrame, radius: int, blocks: int) -> DataFrame:
 
     routed = written(fingerprints.select("id", "word").mapInArrow(route, "id long, word long, shard long, asked boolean"), "routed")
     parts = lambda n: F.ceil(n / F.lit(0.75 * SHARD_MOST)).cast("int")  # noqa: E731  # a hash deals the parts unevenly
-    sizes = routed.groupBy("shard").agg(parts(F.count_if(~F.col("asked"))).alias("parts"), parts(F.count_if(F.col("asked"))).alias("guest_parts"))
-    crowded = sizes.filter("parts > 1 OR guest_parts > 1")
-    placed = spread_join(routed, written(crowded, "crowded"), "shard", "left").withColumn("crowded", F.col("parts").isNotNull())
+    sizes = routed.groupBy("shard").agg(F.count("*").alias("n"), parts(F.count_if(~F.col("asked"))).alias("parts"), parts(F.count_if(F.col("asked"))).alias("guest_parts"))
+    crowded = written(sizes.filter("parts > 1 OR guest_parts > 1"), "crowded")
+    placed = spread_join(routed, crowded.drop("n"), "shard", "left", crowded.select("shard", F.col("n").alias("_n"))).withColumn("crowded", F.col("parts").isNotNull())
     placed = placed.withColumns({"parts": F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1)), "guest_parts": F.coalesce("guest_parts", F.lit(int(radius >= blocks)))})
     own = F.pmod(F.xxhash64("word"), F.when(F.col("asked"), F.greatest("guest_parts", F.lit(1))).otherwise(F.col("parts"))).cast("int")
     placed = placed.withColumn("part", own)
