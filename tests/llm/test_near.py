@@ -104,14 +104,25 @@ def test_a_crowded_shard_makes_cells_of_two_parts(spark, monkeypatch, radius):
     assert sizes <= 2 * 100
 
 
-def test_a_crowded_band_makes_cells_of_two_parts(spark, monkeypatch):
+@pytest.mark.parametrize("apart", [1, 0, 250])
+def test_a_crowd_is_compared_in_cells_of_two_parts(spark, monkeypatch, apart):
+    """Of 600 texts of one band the first 600 - ``apart`` are alike, the others are so in pairs."""
     monkeypatch.setattr(simhash, "CELL_MOST", 100)
-    sketch = np.zeros(simhash.SKETCH_BINS, np.uint16).tobytes()
-    frame = spark.createDataFrame([(i, sketch) for i in range(600)], "id long, sketch binary")
-    cells = simhash._band_cells(frame)
-    assert cells.groupBy("band", "x", "y").count().agg({"count": "max"}).first()[0] <= 2 * 100
-    met = cells.alias("p").join(cells.alias("q"), ["band", "x", "y"]).filter("p.id < q.id").selectExpr("p.id", "q.id").distinct().count()
-    assert met == 600 * 599 // 2
+    alike = np.zeros(simhash.SKETCH_BINS, np.uint16)
+    other = [np.append(alike[:200], np.full(56, 1 + i // 2, np.uint16)) for i in range(apart)]
+    rows = [(i, s.astype(np.uint16).tobytes()) for i, s in enumerate([alike] * (600 - apart) + other)]
+    sketches = spark.createDataFrame(rows, "id long, sketch binary")
+    dealt, plain = [], simhash._dealt
+
+    def seen(cells, *columns):
+        dealt.append(cells.groupBy("group", "x", "y").count().agg({"count": "max"}).first()[0] or 0)
+        return plain(cells, *columns)
+
+    monkeypatch.setattr(simhash, "_dealt", seen)
+    links = [tuple(r) for r in simhash._band_links(sketches, 0.9).collect()]
+    want = [(0, i) for i in range(600 - apart)] + [(i, i + 1) for i in range(600 - apart, 599, 2)]
+    assert plain_classes(links, range(600)) == plain_classes(want, range(600))
+    assert max(dealt) <= 2 * 100
 
 
 def test_hubs_and_frequent_keys_are_joined_like_others(spark, monkeypatch):
