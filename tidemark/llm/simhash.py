@@ -10,20 +10,20 @@ neighbours and, beside them, texts that share a band of MinHash values if the Mi
 of the similarity, with slack, allows it. Within each component of the candidates all pairs
 that the estimate allows are then decided by the exact similarity of their shingle sets.
 
-Crowds are cut into parts of about ``CELL_MOST`` texts, and pairs of parts are compared in cells of
-their own. In a component of the candidates each part is first compared within itself and with
-the component's smallest text, which joins most of a group of near copies at a cost in
-proportion to its size; only texts that this leaves apart are then compared with all parts.
+Crowds, of a band or of a component of the candidates, are cut into parts of about ``CELL_MOST``
+texts. Each part is first compared within itself and with the crowd's smallest text, which joins
+most of a group of near copies at a cost in proportion to its size; only texts that this leaves
+apart from the smallest are then compared with all parts, in cells of two parts.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, shuffle_partitions, spread_join, steps, written
@@ -42,7 +42,7 @@ SKETCH_BITS = 16
 BANDS, ROWS = 20, 5
 #: Four standard errors of the estimate at SIMILARITY: (0.8 * 0.2 / 256) ** 0.5 * 4.
 SLACK = 0.1
-CELL_MOST = 2048
+CELL_MOST = 512
 #: Shingles of a part whose sets are compared, which bounds a cell's memory for long texts.
 CELL_SHINGLES = 1 << 20
 
@@ -111,14 +111,20 @@ def _others(first: np.ndarray, i: int, second: np.ndarray) -> np.ndarray:
     return second if len(second) else np.arange(i + 1, len(first))
 
 
-def similar_links(ids: np.ndarray, sketches: np.ndarray, first: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _labels(classes: np.ndarray) -> np.ndarray:
+    """For each row the first row of its class."""
+    _, at, back = np.unique(classes, return_index=True, return_inverse=True)
+    return at[back]
+
+
+def similar_links(ids: np.ndarray, sketches: np.ndarray, first: np.ndarray, classes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, root) that connect what the pairs of an estimate of ``least`` or more connect.
 
     Rows of the ``first`` part are compared with those of the other part, or with each other if there is no other.
-    A pair is compared only while its rows are in different classes: comparing it later cannot
-    change the classes. So a crowd of copies costs about its size, not its square.
+    A pair is compared only while its rows are in different classes, of which ``classes`` are known from
+    before: comparing it later cannot change the classes. So a crowd of copies costs about its size, not its square.
     """
-    label, second = np.arange(len(ids)), np.flatnonzero(~first)
+    label, second = _labels(classes), np.flatnonzero(~first)
     for i in np.flatnonzero(first).tolist():
         rest = _others(first, i, second)
         for at in range(0, len(rest), 256):
@@ -134,8 +140,31 @@ def similar_links(ids: np.ndarray, sketches: np.ndarray, first: np.ndarray, leas
     return ids[other], ids[label[other]]
 
 
-def _band_cells(sketches: DataFrame) -> DataFrame:
-    """(band, x, y, id, first): the texts of each shared band, dealt to cells of one part or of two."""
+def _linked(members: DataFrame, crowd: Column, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links of the members of each group that ``compare`` finds in cells of (group, x, y), in two passes.
+
+    ``members``: a written table of (group, root, id, part, parts, ...), where ``root`` is the group's smallest id. ``compare`` sees
+    them with x, y, ``first`` (of which part a row is) and ``class`` (rows of one class need no comparison).
+    """
+    everywhere = F.when(F.col("id") == F.col("root"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    cells = members.withColumn("x", F.explode(everywhere)).withColumns({"y": F.col("x"), "first": F.lit(True), "class": F.col("id")})
+    near = written(compare(cells), "near-links")
+    if not members.filter("parts > 1").limit(1).count():
+        return near
+    classes = components(near).withColumnRenamed("a", "id").withColumnRenamed("b", "class")
+    crowded = written(members.filter("parts > 1").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")), "crowded")
+    roots = crowded.filter("id = root").select("group", F.col("class").alias("root_class")).distinct()
+    crowded = written(spread_join(crowded, written(roots, "roots"), "group"), "crowded-roots")
+    open_parts = crowded.filter("class <> root_class").groupBy("group").agg(F.ceil(crowd).cast("int").alias("open_parts"))
+    crowded = spread_join(crowded, written(open_parts, "open"), "group")
+    open_part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("open_parts")).cast("int")
+    first = crowded.filter("class <> root_class").withColumns({"x": open_part, "first": F.lit(True)}).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    second = crowded.withColumns({"y": F.col("part"), "first": F.lit(False)}).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("open_parts") - 1)))
+    return near.unionByName(compare(first.unionByName(second)))
+
+
+def _bands(sketches: DataFrame) -> DataFrame:
+    """(group, root, id, part, parts): the texts of each band that several share."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,37 +175,37 @@ def _band_cells(sketches: DataFrame) -> DataFrame:
                     for value in rows[:, band * ROWS : (band + 1) * ROWS].T:
                         key = (key ^ value) * np.uint64(0x9E3779B97F4A7C15)
                         key ^= key >> np.uint64(29)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key.view(np.int64))], names=["id", "band"])
-
-    bands = written(sketches.select("id", "sketch").mapInArrow(cut, "id long, band long"), "bands")
-    # Only bands that several texts share need sketches.
-    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = written(sizes.select("band", F.ceil(F.col("n") / F.lit(0.75 * CELL_MOST)).cast("int").alias("parts")), "shared-bands")
-    members = spread_join(bands, shared, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    return _in_cells(members, "part", "parts", "band", "id")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key.view(np.int64))], names=["id", "group"])
 
-
-def _in_cells(members: DataFrame, part: str, parts: str, *columns: str) -> DataFrame:
-    """``columns`` of the members with x, y and ``first`` for every cell of their part with a part, itself included."""
-    spread = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
-    return spread.select(*columns, F.least(part, "with").alias("x"), F.greatest(part, "with").alias("y"), (F.col(part) <= F.col("with")).alias("first"))
+    bands = written(sketches.select("id", "sketch").mapInArrow(cut, "id long, group long"), "bands")
+    sizes = bands.groupBy("group").agg(F.count("*").alias("n"), F.min("id").alias("root")).filter("n > 1")
+    shared = written(sizes.withColumn("parts", F.ceil(F.col("n") / F.lit(0.75 * CELL_MOST)).cast("int")), "shared-bands")
+    members = spread_join(bands, shared.drop("n"), "group", counts=shared.select("group", F.col("n").alias("_n")))
+    return members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
 
 def _band_links(sketches: DataFrame, least: float) -> DataFrame:
-    spark = sketches.sparkSession
-    cells = _band_cells(sketches).join(sketches.select("id", "sketch"), "id").select("band", "x", "y", "id", "first", "sketch")
-    dealt = cells.repartition(shuffle_partitions(spark), "band", "x", "y").sortWithinPartitions("band", "x", "y")
+    """Links of texts that share a band and whose estimate is ``least`` or more."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 3):
             if len(rows) > 1:
-                ids, first, data = zip(*rows, strict=True)
+                ids, first, known, data = zip(*rows, strict=True)
                 sketch = np.frombuffer(b"".join(data), np.uint16).reshape(len(rows), SKETCH_BINS)
-                a, b = similar_links(np.array(ids), sketch, np.array(first), least)
+                a, b = similar_links(np.array(ids), sketch, np.array(first), np.array(known), least)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    def compared(cells: DataFrame) -> DataFrame:
+        with_sketch = cells.select("group", "x", "y", "id", "first", "class").join(sketches.select("id", "sketch"), "id")
+        return _dealt(with_sketch, "id", "first", "class", "sketch").mapInArrow(compare, "a long, b long").filter("a <> b").distinct()
+
+    return _linked(written(_bands(sketches), "band-members"), F.count("*") / F.lit(0.75 * CELL_MOST), compared)
+
+
+def _dealt(cells: DataFrame, *columns: str) -> DataFrame:
+    key = ["group", "x", "y"]
+    return cells.select(*key, *columns).repartition(shuffle_partitions(cells.sparkSession), *key).sortWithinPartitions(*key)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
@@ -213,18 +242,12 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(compute, "id long, digest binary, found binary")
 
 
-def exact_links(ids: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], first: np.ndarray, least: float, similarity: float, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def exact_links(ids: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], first: np.ndarray, classes: np.ndarray, least: float, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, root) that connect what the pairs of an exact Jaccard ``similarity`` or more connect.
 
-    Rows of the ``first`` part are compared with those of the other part, or with each other if there is no other;
-    pairs whose estimate is below ``least`` or whose rows are in one class already are not compared.
-    ``classes`` are those known from before.
+    As ``similar_links``, but pairs whose estimate reaches ``least`` are decided by their ``sets``.
     """
-    size = np.array([len(s) for s in sets])
-    label = np.arange(len(ids))
-    if classes is not None:
-        _, at, back = np.unique(classes, return_index=True, return_inverse=True)
-        label = at[back]
+    size, label = np.array([len(s) for s in sets]), _labels(classes)
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     flat, ends = flat.astype(np.int32), np.cumsum(size)
     own = [flat[end - n : end] for n, end in zip(size.tolist(), ends.tolist(), strict=True)]
@@ -250,54 +273,31 @@ def exact_links(ids: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], f
     return ids[other], ids[label[other]]
 
 
-def _compared(cells: DataFrame, least: float, similarity: float) -> DataFrame:
-    """Links (a, b) found in ``cells`` of (root, x, y, id, digest, first, class, sketch, found)."""
-    dealt = cells.repartition(shuffle_partitions(cells.sparkSession), "root", "x", "y").sortWithinPartitions("root", "x", "y")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, 3):
-            if len(group) > 1:
-                ids, _, first, known, data, sets = zip(*group, strict=True)
-                sets = [np.frombuffer(x, np.uint64) for x in sets]
-                sketch = np.frombuffer(b"".join(data), np.uint16).reshape(len(group), SKETCH_BINS)
-                a, b = exact_links(np.array(ids), sketch, sets, np.array(first), least, similarity, np.array(known))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return dealt.select("root", "x", "y", "id", "digest", "first", "class", "sketch", "found").mapInArrow(compare, "a long, b long").filter("a <> b").distinct()
-
-
 def _exact_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, least: float, similarity: float) -> DataFrame:
     """Links of the pairs at ``similarity`` or more within each component of the ``candidates``."""
     found = components(candidates)
-    members = found.unionByName(found.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("id"), F.col("b").alias("root"))
+    members = found.unionByName(found.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("id"), F.col("b").alias("group"))
     placed = written(members.join(nodes.select("id", "digest", "sketch", "shingles"), "id"), "candidates")
     crowd = F.greatest(F.count("*") / F.lit(0.75 * CELL_MOST), F.sum("shingles") / CELL_SHINGLES)
-    parts = written(placed.groupBy("root").agg(F.ceil(crowd).cast("int").alias("parts")), "crowds")
-    part = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
-    placed = spread_join(placed, parts, "root").withColumn("part", part).drop("shingles")
-    texts = id_and_text(docs).withColumnRenamed("doc_id", "id").join(placed.select("id"), "id", "left_semi")
+    parts = written(placed.groupBy("group").agg(F.ceil(crowd).cast("int").alias("parts"), F.count("*").alias("n")), "crowds")
+    placed = spread_join(placed, parts.drop("n"), "group", counts=parts.select("group", F.col("n").alias("_n")))
+    placed = placed.withColumns({"root": F.col("group"), "part": F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")})
+    texts = id_and_text(docs).withColumnRenamed("doc_id", "id").join(members.select("id"), "id", "left_semi")
     placed = written(placed.join(_shingle_sets(texts).dropDuplicates(["id", "digest"]), ["id", "digest"]), "candidate-sets")
 
-    # The root stands in every part of its component.
-    everywhere = F.when(F.col("id") == F.col("root"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    cells = placed.withColumn("x", F.explode(everywhere)).withColumns({"y": F.col("x"), "first": F.lit(True), "class": F.col("id")})
-    near = written(_compared(cells, least, similarity), "exact-links")
-    if not parts.filter("parts > 1").limit(1).count():
-        return near
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, 3):
+            if len(rows) > 1:
+                ids, first, known, data, sets = zip(*rows, strict=True)
+                sketch = np.frombuffer(b"".join(data), np.uint16).reshape(len(rows), SKETCH_BINS)
+                a, b = exact_links(np.array(ids), sketch, [np.frombuffer(x, np.uint64) for x in sets], np.array(first), np.array(known), least, similarity)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    # What the first pass leaves apart from the root of a component of several parts, against all of it.
-    crowded = placed.filter("parts > 1")
-    classes = components(near).withColumnRenamed("a", "id").withColumnRenamed("b", "class")
-    crowded = crowded.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))  # the root is its class's smallest
-    apart = crowded.filter(F.col("class") != F.col("root"))
-    crowd = F.greatest(F.count("*") / F.lit(0.75 * CELL_MOST), F.sum(F.octet_length("found") / 8) / CELL_SHINGLES)
-    open_parts = written(apart.groupBy("root").agg(F.ceil(crowd).cast("int").alias("open_parts")), "open")
-    crowded = spread_join(written(crowded, "crowded"), open_parts, "root")
-    open_part = F.pmod(F.xxhash64("digest", F.lit(1)), F.col("open_parts"))
-    first = crowded.filter(F.col("class") != F.col("root")).withColumn("x", open_part.cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("first", F.lit(True))
-    second = crowded.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("open_parts") - 1))).withColumn("y", F.col("part")).withColumn("first", F.lit(False))
-    return near.unionByName(_compared(first.unionByName(second), least, similarity))
+    def compared(cells: DataFrame) -> DataFrame:
+        return _dealt(cells, "id", "first", "class", "sketch", "found").mapInArrow(compare, "a long, b long").filter("a <> b").distinct()
+
+    return _linked(placed, crowd, compared)
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
