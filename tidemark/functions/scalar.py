@@ -18,20 +18,34 @@ def half_even(x: Column, digits: int = 0) -> Column:
 
 
 def nan_to_null(x: Column) -> Column:
+    """Null for NaN, which array libraries write for a missing number."""
     return F.when(~F.isnan(x), x)
 
 
+def json_text(value: Column) -> Column:
+    """The text of a JSON value (a variant), or null where it counts as absent: null, false, the number 0, an empty text.
+
+    The text "0" is a value like any other.
+    """
+    kind, text = F.schema_of_variant(value), value.cast("string")
+    zero = ~kind.isin("STRING", "BOOLEAN") & (text.try_cast("double") == 0)
+    return F.when(~F.coalesce(zero | (text == "") | ((kind == "BOOLEAN") & (text == "false")), F.lit(False)), text)
+
+
 def parse_ts_ms(value: Column, now_ms: Column | int) -> Column:
-    """Epoch milliseconds of a text: null is now; a number below 1e12 is seconds; else an ISO time, UTC unless it says."""
+    """Epoch milliseconds of a text: null is now; a number below 1e12 is seconds; else an ISO time, UTC unless it says.
+
+    Null for anything else, such as NaN or a number beyond 64 bits.
+    """
     text = value.cast("string")
     number = text.try_cast("double")
     parsed = F.unix_millis(F.try_to_timestamp(text))
-    return F.when(value.isNull(), F.lit(now_ms)).when(number < 1e12, (number * 1000).cast("long")).when(number.isNotNull(), number.cast("long")).otherwise(parsed)
+    return F.when(value.isNull(), F.lit(now_ms)).when(number < 1e12, (number * 1000).try_cast("long")).when(number.isNotNull(), number.try_cast("long")).otherwise(parsed)
 
 
 def money_to_cents(value: Column) -> Column:
-    """Cents of an amount, truncated toward zero; null if it is no number."""
-    return (value.try_cast("double") * 100).cast("long")
+    """Cents of an amount, truncated toward zero; null if it is no number that fits."""
+    return (value.try_cast("double") * 100).try_cast("long")
 
 
 def clean_amount(text: Column) -> Column:

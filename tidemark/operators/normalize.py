@@ -2,7 +2,8 @@
 
 Each function returns all input rows with ``error``: null, or why the row is rejected. The event
 type and device of the results are those that the feeds give, outside the data contract;
-``silver.canonicalize_enums`` maps them if asked. Cells of a CSV that are empty are rejected where a
+``silver.canonicalize_enums`` maps them if asked. A number that is none, is not finite or does not fit
+makes a "Bad amount" or "Bad time" row, never a failure of the job. Cells of a CSV that are empty are rejected where a
 value is required. ``now_ms`` stands for the time of ingestion.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clean_amount, event_date, first_alias, money_to_cents, parse_ts_ms
+from ..functions.scalar import clean_amount, event_date, first_alias, json_text, money_to_cents, parse_ts_ms
 from ..schemas import BRONZE
 
 # Fixed values of normalised events.
@@ -31,13 +32,13 @@ PRODUCT_KEYS = ("product_id", "item_id", "sku")
 COUNTRY_KEYS = ("country", "country_code", "billing_country", "ship_country")
 
 _ITEMS = "line_items array<struct<product_id: string>>"
-SHOPIFY = f"id string, customer_id string, customer struct<id: string>, created_at string, total_price string, subtotal_price string, landing_site string, billing_address struct<country_code: string, country: string>, shipping_address struct<country_code: string, country: string>, {_ITEMS}"
-WOOCOMMERCE = f"id string, customer_id string, date_created string, date_created_gmt string, total string, billing struct<country: string>, {_ITEMS}"
+SHOPIFY = f"id variant, customer_id variant, customer struct<id: variant>, created_at variant, total_price variant, subtotal_price string, landing_site string, billing_address struct<country_code: string, country: string>, shipping_address struct<country_code: string, country: string>, {_ITEMS}"
+WOOCOMMERCE = f"id variant, customer_id variant, date_created variant, date_created_gmt variant, total string, billing struct<country: string>, {_ITEMS}"
 
 
-def _truthy(x: Column) -> Column:
-    """Null in place of values that count as absent: empty, zero, false."""
-    return F.when(~x.isin("", "0", "0.0", "false"), x)
+def _full(x: Column) -> Column:
+    """Null in place of an empty text."""
+    return F.when(x != "", x)
 
 
 def _event(feed: str, order: Column, customer: Column, ts: Column, page: Column, product: Column, cents: Column, country: Column, now_ms: int) -> list[Column]:
@@ -73,11 +74,11 @@ def _parsed(payloads: DataFrame, column: str, schema: str) -> DataFrame:
 
 def shopify(payloads: DataFrame, now_ms: int, column: str = "value") -> DataFrame:
     p = _parsed(payloads, column, SHOPIFY)
-    order, customer = _truthy(F.col("p.id")), F.coalesce(_truthy(F.col("p.customer.id")), _truthy(F.col("p.customer_id")))
-    created = _truthy(F.col("p.created_at"))
-    total = F.coalesce(_truthy(F.col("p.total_price")), F.col("p.subtotal_price"), F.lit("0"))
+    order, customer = json_text(F.col("p.id")), F.coalesce(json_text(F.col("p.customer.id")), json_text(F.col("p.customer_id")))
+    created = json_text(F.col("p.created_at"))
+    total = F.coalesce(json_text(F.col("p.total_price")), F.col("p.subtotal_price"), F.lit("0"))
     place = F.coalesce(F.col("p.billing_address"), F.col("p.shipping_address"))
-    country = F.coalesce(_truthy(place["country_code"]), _truthy(place["country"]), F.lit(DEFAULT_COUNTRY))
+    country = F.coalesce(_full(place["country_code"]), _full(place["country"]), F.lit(DEFAULT_COUNTRY))
     product = F.try_element_at("p.line_items", F.lit(1))["product_id"]
     ts, cents = parse_ts_ms(created, now_ms), money_to_cents(total)
     error = _first_error((order.isNull(), "Missing 'id'"), (customer.isNull(), "Missing customer id"), (created.isNull(), "Missing 'created_at'"), (ts.isNull(), "Bad time"), (cents.isNull(), "Bad amount"))
@@ -86,9 +87,9 @@ def shopify(payloads: DataFrame, now_ms: int, column: str = "value") -> DataFram
 
 def woocommerce(payloads: DataFrame, now_ms: int, column: str = "value") -> DataFrame:
     p = _parsed(payloads, column, WOOCOMMERCE)
-    order, customer = _truthy(F.col("p.id")), _truthy(F.col("p.customer_id"))
-    created = F.coalesce(_truthy(F.col("p.date_created")), _truthy(F.col("p.date_created_gmt")))
-    country = F.coalesce(_truthy(F.col("p.billing.country")), F.lit(DEFAULT_COUNTRY))
+    order, customer = json_text(F.col("p.id")), json_text(F.col("p.customer_id"))
+    created = F.coalesce(json_text(F.col("p.date_created")), json_text(F.col("p.date_created_gmt")))
+    country = F.coalesce(_full(F.col("p.billing.country")), F.lit(DEFAULT_COUNTRY))
     product = F.try_element_at("p.line_items", F.lit(1))["product_id"]
     ts, cents = parse_ts_ms(created, now_ms), money_to_cents(F.coalesce("p.total", F.lit("0")))
     error = _first_error((order.isNull(), "Missing 'id'"), (customer.isNull(), "Missing 'customer_id'"), (created.isNull(), "Missing 'date_created'"), (ts.isNull(), "Bad time"), (cents.isNull(), "Bad amount"))
