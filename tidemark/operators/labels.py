@@ -12,28 +12,31 @@ def _last_seen(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max("timestamp_ms").alias("last_seen_ms"))
 
 
+def _judged(events: DataFrame, horizon_ms: int) -> DataFrame:
+    """(event_id, user_id, timestamp_ms) of the events that are at least the horizon old; of all events if none is."""
+    bounds = events.agg(F.max("timestamp_ms").alias("hi"), F.min("timestamp_ms").alias("lo"))
+    rows = events.select("event_id", "user_id", "timestamp_ms").crossJoin(F.broadcast(bounds))  # one row
+    return rows.filter((F.col("timestamp_ms") <= F.col("hi") - horizon_ms) | (F.col("lo") > F.col("hi") - horizon_ms)).drop("hi", "lo")
+
+
 def churn_labels(events: DataFrame, horizon_ms: int = 7 * DAY_MS) -> DataFrame:
     """Events old enough to be judged, with ``churned_7d``: the user's last event is less than the horizon later.
 
-    If no event is that old, all events are used.
+    If no event is that old, all events are used. A row for each event, repeated or not; without a user no label.
     """
-    bounds = events.agg(F.max("timestamp_ms").alias("hi"), F.min("timestamp_ms").alias("lo"))
-    rows = events.select("event_id", "user_id", "timestamp_ms").crossJoin(F.broadcast(bounds))  # one row
-    rows = rows.filter((F.col("timestamp_ms") <= F.col("hi") - horizon_ms) | (F.col("lo") > F.col("hi") - horizon_ms)).drop("hi", "lo")
-    joined = rows.join(_last_seen(events), "user_id", "left")
+    joined = _judged(events, horizon_ms).join(_last_seen(events), "user_id", "left")
     label = (F.col("last_seen_ms") - F.col("timestamp_ms") < horizon_ms).cast("int")
     return joined.select("event_id", "user_id", F.timestamp_millis("timestamp_ms").alias("event_timestamp"), label.alias("churned_7d"))
 
 
 def churn_labels_strict(events: DataFrame, horizon_ms: int = 7 * DAY_MS) -> DataFrame:
     """The same events, labelled by whether the user has no event within the horizon after the event."""
-    base = churn_labels(events, horizon_ms).select("event_id", "event_timestamp")
     # One row for each time at which a user was active, with the next such time.
-    times = events.select("user_id", "timestamp_ms").distinct()
+    times = events.filter("user_id IS NOT NULL").select("user_id", "timestamp_ms").distinct()
     following = times.withColumn("next_ms", F.lead("timestamp_ms").over(Window.partitionBy("user_id").orderBy("timestamp_ms")))
-    rows = events.select("event_id", "user_id", "timestamp_ms").join(following, ["user_id", "timestamp_ms"])
-    label = F.coalesce((F.col("next_ms") - F.col("timestamp_ms") > horizon_ms).cast("int"), F.lit(1))
-    return base.join(rows, "event_id").select("event_id", "user_id", "event_timestamp", label.alias("churned_7d_strict"))
+    rows = _judged(events, horizon_ms).join(following, ["user_id", "timestamp_ms"], "left")
+    label = F.when(F.col("user_id").isNotNull(), F.coalesce((F.col("next_ms") - F.col("timestamp_ms") > horizon_ms).cast("int"), F.lit(1)))
+    return rows.select("event_id", "user_id", F.timestamp_millis("timestamp_ms").alias("event_timestamp"), label.alias("churned_7d_strict"))
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:

@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalar import event_date
+from ..functions.scalar import event_date, nan_to_null
 from ..schemas import EVENT_COLUMNS
 from . import quality
 from .watermark import WatermarkConfig, classify, first_per_key
@@ -38,8 +39,9 @@ def outcomes(bronze: DataFrame, options: SilverOptions = SilverOptions()) -> Dat
     live = marked.filter("watermark_classification <> 'discard'")
     first = live.groupBy(F.col("event_id").alias("_id")).agg(F.min(F.struct(options.arrival, "timestamp_ms")).alias("_first"))
     joined = marked.join(first, marked["event_id"].eqNullSafe(first["_id"]), "left")
-    # Rows of one id that arrived together are few; all but one of them are duplicates.
-    together = Window.partitionBy("event_id", options.arrival, "timestamp_ms").orderBy("event_type", "user_id")
+    # Rows of one id that arrived together are few; all but one of them are duplicates. Ties as in ``first_per_key``.
+    ties = [c for c in marked.columns if c not in ("event_id", options.arrival, "timestamp_ms", "errors")]
+    together = Window.partitionBy("event_id", options.arrival, "timestamp_ms").orderBy(*ties)
     joined = joined.withColumn("_nth", F.row_number().over(together))
     is_first = (F.struct(F.col(options.arrival), F.col("timestamp_ms")) == F.col("_first")) & (F.col("_nth") == 1)
     checked = F.lit(options.validate_late) | (F.col("watermark_classification") == "on_time")
@@ -62,21 +64,42 @@ def to_silver(events: DataFrame, processed_ms: int) -> DataFrame:
     )
 
 
-def bronze_to_silver(bronze: DataFrame, processed_ms: int, options: SilverOptions = SilverOptions()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """The rows of the silver table (on time and late) and of the quarantine table."""
-    marked = classify(canonicalize_enums(bronze) if options.canonicalize else bronze, options.watermark, options.arrival)
+def checked_rows(bronze: DataFrame, options: SilverOptions = SilverOptions()) -> DataFrame:  # noqa: B008
+    """The first live row of each event with ``errors`` and ``quarantined``: one plan for both outputs."""
+    rows = canonicalize_enums(bronze) if options.canonicalize else bronze
+    if isinstance(rows.schema["amount_cents"].dataType, T.FractionalType):  # amounts from array libraries
+        rows = rows.withColumn("amount_cents", nan_to_null(F.col("amount_cents")).try_cast("long"))
+    marked = classify(rows, options.watermark, options.arrival)
     live = first_per_key(marked.filter("watermark_classification <> 'discard'"), "event_id", options.arrival, ("timestamp_ms",))
     checked = quality.with_errors(live)
     bad = F.size("errors") > 0
     if not options.validate_late:
         bad = bad & (F.col("watermark_classification") == "on_time")
-    good = checked.filter(~bad).drop("errors")
-    invalid = checked.filter(bad)
-    if "ingestion_date" in invalid.columns:
-        invalid = invalid.drop("ingestion_date")  # the silver candidate has no ingestion date
+    return checked.withColumn("quarantined", bad)
+
+
+def _outputs(checked: DataFrame, processed_ms: int) -> tuple[DataFrame, DataFrame]:
+    good = checked.filter(~F.col("quarantined")).drop("errors", "quarantined")
+    # The silver candidate has no ingestion date.
+    invalid = checked.filter("quarantined").drop("quarantined", "ingestion_date")
     return to_silver(good, processed_ms), quality.quarantine(invalid, processed_ms)
 
 
+def bronze_to_silver(bronze: DataFrame, processed_ms: int, options: SilverOptions = SilverOptions()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """The rows of the silver table (on time and late) and of the quarantine table.
+
+    Writing both from here runs the steps twice; ``write_silver`` runs them once.
+    """
+    return _outputs(checked_rows(bronze, options), processed_ms)
+
+
+def write_silver(bronze: DataFrame, root: str, processed_ms: int, options: SilverOptions = SilverOptions()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """Both outputs, read back from one table below ``root`` that is written once, partitioned by ``quarantined``."""
+    checked = checked_rows(bronze, options)
+    checked.write.mode("overwrite").partitionBy("quarantined").parquet(f"{root}/checked")
+    return _outputs(bronze.sparkSession.read.schema(checked.schema).parquet(f"{root}/checked"), processed_ms)
+
+
 def outcome_counts(bronze: DataFrame, options: SilverOptions = SilverOptions()) -> DataFrame:  # noqa: B008
     """One row of counters: total, on_time, late, discarded, duplicate, quarantined, silver."""
     marked = outcomes(bronze, options)
