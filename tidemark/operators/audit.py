@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
     """(value, n, pct) by descending count; ``top`` makes it a report of the most frequent values."""
@@ -36,7 +38,7 @@ def duplicate_count(df: DataFrame, key: str) -> DataFrame:
 def capped_histogram(df: DataFrame, column: str, quantile: float = 0.99, bins: int = 40) -> DataFrame:
     """(bin, lo, n) of the values up to the quantile, in equal bins; the last bin is closed."""
     values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
-    cap = values.agg(F.percentile("v", F.lit(quantile)).alias("cap"))
+    cap = exact_quantiles(values, "v", [], (quantile,)).withColumnRenamed("q0", "cap")
     kept = values.crossJoin(F.broadcast(cap)).filter("v <= cap").drop("cap")  # one row
     bounds = kept.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     rows = kept.crossJoin(F.broadcast(bounds))  # one row

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FEATURES
+from .quantiles import exact_quantiles
 
 BINS = 10
 FLOOR = 1e-6
@@ -39,13 +40,13 @@ def _bin(value: Column, edges: Column) -> Column:
 
 def _bin_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     """``bin_counts`` of ``bin`` (0 to 9): ten conditional counts of one aggregation."""
-    return rows.groupBy(*by).agg(
+    counts = rows.groupBy(*by).agg(
         F.array(*[F.count_if(F.col("bin") == i) for i in range(BINS)]).alias("bin_counts"),
         F.count("*").alias("n"),
         F.avg("value").alias("mean"),
         F.stddev_pop("value").alias("std"),
-        F.percentile("value", F.lit(0.5)).alias("p50"),
     )
+    return counts.join(F.broadcast(exact_quantiles(rows, "value", ["feature"], (0.5,)).withColumnRenamed("q0", "p50")), "feature")  # a row for each feature
 
 
 def baseline_histograms(features: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFrame:

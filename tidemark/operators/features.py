@@ -62,12 +62,14 @@ def feature_history(silver: DataFrame, as_of_ms: list[int]) -> DataFrame:
     refs = sorted(set(as_of_ms))
     times = F.array(*[F.lit(r).cast("long") for r in refs])
     rows = silver.select("user_id", "session_id", "event_type", "amount_cents", "timestamp_ms")
-    rows = rows.withColumn("later", F.filter(times, lambda r: r >= F.col("timestamp_ms"))).filter(F.size("later") > 0)
-    in_window = F.filter("later", lambda r: r - F.col("timestamp_ms") <= 7 * DAY_MS)
+    # Snapshots are in order, so the number of those not before an event tells which they are.
+    rows = rows.withColumn("left", F.size(F.filter(times, lambda r: r >= F.col("timestamp_ms")))).filter("left > 0")
+    later = F.slice(times, F.lit(len(refs) + 1) - F.col("left"), F.col("left"))
+    in_window = F.filter(later, lambda r: r - F.col("timestamp_ms") <= 7 * DAY_MS)
     windows = rows.select("user_id", "session_id", "event_type", "amount_cents", "timestamp_ms", F.explode(in_window).alias("ref_ms"))
     measures = windows.groupBy("user_id", "ref_ms").agg(*_window_measures(F.col("ref_ms"), "half_even")[:-1])
-    gaps = rows.groupBy("user_id", "later").agg(F.max(F.when(F.col("event_type") == "PURCHASE", F.col("timestamp_ms"))).alias("bought_ms"))
-    last = gaps.select("user_id", F.explode("later").alias("ref_ms"), "bought_ms").groupBy("user_id", "ref_ms").agg(F.max("bought_ms").alias("bought_ms"))
+    gaps = rows.groupBy("user_id", "left").agg(F.max(F.when(F.col("event_type") == "PURCHASE", F.col("timestamp_ms"))).alias("bought_ms"))
+    last = gaps.select("user_id", F.explode(later).alias("ref_ms"), "bought_ms").groupBy("user_id", "ref_ms").agg(F.max("bought_ms").alias("bought_ms"))
     days = half_even((F.col("ref_ms") - F.col("bought_ms")) / F.lit(float(DAY_MS))).cast("long")
     joined = last.join(measures, ["user_id", "ref_ms"], "left")
     return joined.select(

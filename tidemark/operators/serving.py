@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ab_bucket
+from .quantiles import exact_quantiles
 
 CHAMPION_SHARE = 0.90
 DECISION = 0.5
@@ -120,7 +121,8 @@ def rate_per_window(rows: DataFrame, ts: str, window: str = "1 day") -> DataFram
 
 
 def quantiles(rows: DataFrame, value: str, by: list[str], exact: bool = True) -> DataFrame:
-    """p50, p95 and p99 by group; ``exact=False`` keeps bounded sketches and suits very large groups."""
+    """p50, p95 and p99 by group, of few groups; ``exact=False`` is one pass, with ranks off by at most 1 in 10,000."""
     points = (0.5, 0.95, 0.99)
-    pick = (lambda p: F.percentile(value, F.lit(p))) if exact else (lambda p: F.percentile_approx(value, F.lit(p), F.lit(10000)))
-    return rows.groupBy(*by).agg(*[pick(p).alias(f"p{int(p * 100)}") for p in points])
+    if exact:
+        return exact_quantiles(rows, value, by, points).withColumnsRenamed({f"q{i}": f"p{int(p * 100)}" for i, p in enumerate(points)})
+    return rows.groupBy(*by).agg(*[F.percentile_approx(value, F.lit(p), F.lit(10000)).alias(f"p{int(p * 100)}") for p in points])
