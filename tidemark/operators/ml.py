@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import impute
@@ -68,11 +74,89 @@ def binary_metrics(scored: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
-def auc(scored: DataFrame, label: str = "label") -> float:
-    frame = scored.withColumn("rawPrediction", F.col("score"))
-    return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction").evaluate(frame)
+def auc(scored: DataFrame, label: str = "label", buckets: int = 1024) -> DataFrame:
+    """One row, ``auc``: the share of (positive, negative) pairs that the score in [0, 1] puts in order, ties as a half.
+
+    Exact. Negatives below a score are those in lower buckets of the score, from ``buckets`` sums, and
+    those below it in its own bucket. Null without both classes.
+    """
+    counts = scored.groupBy("score").agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    counts = counts.withColumn("bucket", F.floor(F.col("score") * buckets))
+    sums = counts.groupBy("bucket").agg(F.sum("neg").alias("bucket_neg"))
+    lower = F.coalesce(F.sum("bucket_neg").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("lower", lower).drop("bucket_neg")  # at most one row for each bucket
+    within = F.coalesce(F.sum("neg").over(Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ordered = counts.withColumn("within", within).join(F.broadcast(sums), "bucket")
+    pairs = F.sum(F.col("pos") * (F.col("lower") + F.col("within") + F.col("neg") / 2))
+    return ordered.agg((pairs / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("auc"))
 
 
 def feature_importance(model: PipelineModel, features: tuple[str, ...] = FEATURES) -> list[tuple[str, float]]:
     weights = model.stages[-1].featureImportances.toArray().tolist()
     return sorted(zip(features, weights, strict=True), key=lambda p: -p[1])
+
+
+@dataclass(frozen=True)
+class Leaf:
+    """A leaf's value, and for each feature on its path the range (low, high] that leads there and the share of rows it keeps."""
+
+    value: float
+    ranges: dict[int, tuple[float, float, float]]
+
+
+def leaves(model: PipelineModel) -> list[list[Leaf]]:
+    """The leaves of each tree, values times the tree's weight. Splits are on numbers."""
+    boosted = model.stages[-1]
+    found = []
+    for tree, weight in zip(boosted.trees, boosted.treeWeights, strict=True):
+        own: list[Leaf] = []
+
+        def walk(node, ranges: dict[int, tuple[float, float, float]], own: list[Leaf] = own, weight: float = weight) -> None:
+            if node.subtreeDepth() == 0:
+                own.append(Leaf(node.prediction() * weight, ranges))
+                return
+            split, count = node.split(), node.impurityStats().count()
+            feature, cut = split.featureIndex(), split.threshold()
+            low, high, share = ranges.get(feature, (-math.inf, math.inf, 1.0))
+            for child, bounds in ((node.leftChild(), (low, min(high, cut))), (node.rightChild(), (max(low, cut), high))):
+                walk(child, ranges | {feature: (*bounds, share * child.impurityStats().count() / count)})
+
+        walk(tree._call_java("rootNode"), {})
+        found.append(own)
+    return found
+
+
+def contributions(model: PipelineModel, frame: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """(user_id, base, margin, contributions): Shapley values of each row's margin, one for each feature in order.
+
+    Path-dependent values of trees (Lundberg and others, 2018): of a feature that is not known, a
+    split is followed both ways in proportion to the training rows. Each leaf is a product of one
+    factor for each feature on its path, so its Shapley values are sums over subsets of these few features.
+    ``base`` plus the contributions is ``margin``; the probability is the logistic function of twice the margin.
+    """
+    trees = [leaf for own in leaves(model) for leaf in own]
+    base = sum(leaf.value * math.prod(share for *_, share in leaf.ranges.values()) for leaf in trees)
+    names = list(features)
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(names))], axis=1)
+            phi, margin = np.zeros_like(x), np.zeros(len(x))
+            for leaf in trees:
+                own = list(leaf.ranges.items())
+                inside = [((x[:, f] > low) & (x[:, f] <= high)).astype(np.float64) for f, (low, high, _) in own]
+                share = [s for _, (*_, s) in own]
+                margin += leaf.value * np.prod(inside, axis=0) if own else leaf.value
+                n = len(own)
+                for i, (f, _) in enumerate(own):
+                    others = [j for j in range(n) if j != i]
+                    total = np.zeros(len(x))
+                    for size in range(n):
+                        weight = math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n)
+                        for known in combinations(others, size):
+                            total += weight * math.prod((inside[j] if j in known else share[j] for j in others), start=np.ones(len(x)))
+                    phi[:, f] += leaf.value * (inside[i] - share[i]) * total
+            rows = pa.ListArray.from_arrays(np.arange(0, phi.size + 1, len(names), dtype=np.int32), pa.array(phi.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(x), base)), pa.array(margin), rows], names=["user_id", "base", "margin", "contributions"])
+
+    return impute(frame, features).select("user_id", *(F.col(f).cast("double") for f in features)).mapInArrow(explain, "user_id string, base double, margin double, contributions array<double>")
