@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.operators import quality, silver, watermark
 from tidemark.plans.adapters import bronze
 from tidemark.sources import feeds, generator, tables
@@ -79,6 +80,33 @@ def test_stream_equals_batch(spark, tmp_path, files):
     assert spark.read.parquet(str(tmp_path / "out/silver")).count() == before
 
 
+def _events_in(spark, path, rows):
+    spark.createDataFrame(rows, "event_id string, arrival_seq long, timestamp_ms long").join(bronze(spark, SF).limit(1).drop("event_id", "arrival_seq", "timestamp_ms")).coalesce(1).write.mode("append").parquet(path)
+
+
+@pytest.mark.parametrize("share", [False, True])
+def test_a_late_copy_with_another_time_is_found(spark, tmp_path, share):
+    path, minute = str(tmp_path / "in"), 60_000
+    options = silver.SilverOptions(watermark.WatermarkConfig(5 * minute, 50 * minute))
+    stream = silver_stream.SilverStream(str(tmp_path / "out"), 7, options, copies_share_time=share)
+    day = 86_400_000
+    for rows in ([("dup", 1, 10 * day), ("a", 2, 10 * day + minute)], [("b", 3, 12 * day)], [("dup", 4, 12 * day)]):
+        _events_in(spark, path, rows)
+        stream.start(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)).awaitTermination()
+    got = sorted(r.event_id for name in ("silver", "quarantine") for r in spark.read.schema("event_id string").parquet(str(tmp_path / "out" / name)).collect())
+    assert got == (["a", "b", "dup", "dup"] if share else ["a", "b", "dup"])
+
+
+def test_messages_round_trip_without_a_queue(spark):
+    rows = bronze(spark, SF).select(*[f.name for f in schemas.EVENT]).limit(20)
+    sent = feeds.messages_of(rows).selectExpr("value", "'t' AS topic", "1 AS partition", "5L AS offset")
+    got = feeds.parsed_messages(sent)
+    assert got.columns[-3:] == ["kafka_topic", "kafka_partition", "kafka_offset"]
+    assert sorted(map(str, got.select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+    broken = spark.createDataFrame([(b"{", "t", 0, 1)], "value binary, topic string, partition int, offset long")
+    assert feeds.parsed_messages(broken).first().event_id is None
+
+
 def test_stateful_streams(spark, tmp_path):
     source = bronze(spark, SF, duplicates=True).orderBy("timestamp_ms").coalesce(1)
     source.write.parquet(str(tmp_path / "in"))

@@ -88,3 +88,10 @@ def from_avro_json(schema: str) -> T.StructType:
         return T.StructField(spec["name"], kinds[kind], null)
 
     return T.StructType([field(f) for f in json.loads(schema)["fields"]])
+
+
+def to_avro_json(schema: T.StructType, name: str) -> str:
+    """The Avro record schema of a StructType of plain types, as JSON; the inverse of ``from_avro_json``."""
+    kinds = {"string": "string", "bigint": "long", "int": "int", "double": "double", "float": "float", "boolean": "boolean", "binary": "bytes"}
+    kind = lambda f: ["null", kinds[f.dataType.simpleString()]] if f.nullable else kinds[f.dataType.simpleString()]
+    return json.dumps({"type": "record", "name": name, "fields": [{"name": f.name, "type": kind(f)} for f in schema]})

@@ -24,19 +24,33 @@ def kafka_events(spark: SparkSession, servers: str, topic: str, max_offsets: int
     query that reads it takes the place of committed offsets.
     """
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("maxOffsetsPerTrigger", max_offsets).load()
+    return parsed_messages(raw, avro)
+
+
+def parsed_messages(raw: DataFrame, avro: str | None = None) -> DataFrame:
+    """Events and their place from queue messages (value, topic, partition, offset); a message that is no event has nulls."""
     if avro:
         from pyspark.sql.avro.functions import from_avro
 
-        body = from_avro(F.col("value"), avro)
+        body = from_avro(F.col("value"), avro, {"mode": "PERMISSIVE"})
     else:
         body = F.from_json(F.col("value").cast("string"), EVENT)
     return raw.select(body.alias("e"), F.col("topic").alias("kafka_topic"), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset")).select("e.*", "kafka_topic", "kafka_partition", "kafka_offset")
 
 
-def to_kafka(events: DataFrame, servers: str, topic: str) -> None:
-    """Write events as JSON, keyed by user, acknowledged by all replicas."""
-    rows = events.select(F.col("user_id").alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))
-    rows.write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").option("kafka.enable.idempotence", "true").option("topic", topic).save()
+def messages_of(events: DataFrame, avro: str | None = None) -> DataFrame:
+    """(key, value) messages of events, keyed by user: JSON, or Avro of the given schema."""
+    row = F.struct(*events.columns)
+    if avro:
+        from pyspark.sql.avro.functions import to_avro
+
+        return events.select(F.col("user_id").alias("key"), to_avro(row, avro).alias("value"))
+    return events.select(F.col("user_id").alias("key"), F.to_json(row).alias("value"))
+
+
+def to_kafka(events: DataFrame, servers: str, topic: str, avro: str | None = None) -> None:
+    """Write events to a topic, acknowledged by all replicas. Needs the queue connector (and the Avro functions) on the class path."""
+    messages_of(events, avro).write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").option("kafka.enable.idempotence", "true").option("topic", topic).save()
 
 
 def with_ingest_metadata(events: DataFrame, now_ms: int, topic: str = "files") -> DataFrame:

@@ -2,18 +2,22 @@
 
 Each micro-batch is classified against the running maximum that the batches before it left, which
 is kept as a one-row table for each batch id, so a replayed batch starts from the same state and
-overwrites its own output. Ids seen before are read back only as far as the lateness bound reaches;
-copies of an event are taken to share its time. ``dedup_stream`` is the keyed-state alternative.
+overwrites its own output; only the state of the batch before is read. Ids are compared with all ids
+seen before, as in the batch path. ``copies_share_time`` says that copies of an event have its time;
+then ids are read back only as far as the lateness bound reaches, whose dates are partitions.
+``dedup_stream`` and ``dedup_ttl_stream`` are alternatives with keyed state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.scalar import event_date
 from ..operators import quality
 from ..operators.silver import SilverOptions, canonicalize_enums, to_silver
 from ..operators.watermark import classify, first_per_key
@@ -26,34 +30,36 @@ class SilverStream:
     root: str
     processed_ms: int
     options: SilverOptions = field(default_factory=SilverOptions)
+    copies_share_time: bool = False
 
     def _table(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _before(self, spark: SparkSession, name: str, batch_id: int, schema: str) -> DataFrame:
-        """What earlier batches wrote; batches are partitions, so the read is pruned."""
+    def _written(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
+        """What batches wrote; they are partitions, so a filter on batch_id prunes the read."""
         empty = spark.createDataFrame([], f"{schema}, batch_id long")
         try:
-            return spark.read.schema(empty.schema).parquet(self._table(name)).filter(F.col("batch_id") < batch_id)
+            return spark.read.schema(empty.schema).parquet(self._table(name))
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 return empty
             raise
 
-    def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
-        df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self._table(name))
+    def _write(self, df: DataFrame, name: str, batch_id: int, *partitions: str) -> None:
+        df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", *partitions).parquet(self._table(name))
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark, o = batch.sparkSession, self.options
         batch = canonicalize_enums(batch) if o.canonicalize else batch
         batch = batch.persist()
         try:
-            start = self._before(spark, "state", batch_id, "max_ms long").agg(F.max("max_ms")).first()[0]
+            # Batch ids follow one another, and every batch leaves its state.
+            start = self._written(spark, "state", "max_ms long").filter(F.col("batch_id") == batch_id - 1).agg(F.max("max_ms")).first()[0]
             marked = classify(batch, o.watermark, o.arrival, start)
             live = first_per_key(marked.filter("watermark_classification <> 'discard'"), "event_id", o.arrival, ("timestamp_ms",))
-            seen = self._before(spark, "seen", batch_id, "event_id string, timestamp_ms long")
-            if start is not None:  # copies of older events would be discarded, so their ids need not be read
-                seen = seen.filter(F.col("timestamp_ms") >= start - o.watermark.max_late_ms)
+            seen = self._written(spark, "seen", "event_id string, seen_date string").filter(F.col("batch_id") < batch_id)
+            if self.copies_share_time and start is not None:  # copies of older events are discarded
+                seen = seen.filter(F.col("seen_date") >= event_date(F.lit(start - o.watermark.max_late_ms)))
             seen = seen.select(F.col("event_id").alias("_id"))
             fresh = live.join(seen, live["event_id"].eqNullSafe(seen["_id"]), "left_anti").persist()
             bad = F.size("errors") > 0
@@ -65,7 +71,7 @@ class SilverStream:
             if "ingestion_date" in invalid.columns:
                 invalid = invalid.drop("ingestion_date")
             self._write(quality.quarantine(invalid, self.processed_ms), "quarantine", batch_id)
-            self._write(fresh.select("event_id", "timestamp_ms"), "seen", batch_id)
+            self._write(fresh.select("event_id", event_date(F.col("timestamp_ms")).alias("seen_date")), "seen", batch_id, "seen_date")
             top = batch.agg(F.max("timestamp_ms").alias("max_ms")).select(F.greatest("max_ms", F.lit(start).cast("long")).alias("max_ms"))
             self._write(top, "state", batch_id)
             fresh.unpersist()
@@ -84,6 +90,32 @@ def dedup_stream(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["event_id"]).drop("event_ts")
 
 
+def dedup_ttl_stream(events: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+    """First event of each id since the id was last forgotten, which is ``ttl_ms`` of processing time after it came.
+
+    A key's state is one flag with a timer. A later copy in the same or a following trigger is dropped, and
+    does not extend the time.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    schema = events.schema
+
+    def first(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = state.exists
+        for part in parts:
+            if not known and len(part):
+                known = True
+                state.update((True,))
+                state.setTimeoutDuration(ttl_ms)
+                yield part.head(1)
+
+    return events.groupBy("event_id").applyInPandasWithState(first, schema, "seen boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def funnel_stream(events: DataFrame, lateness: str = "5 minutes", window: str = "1 hour") -> DataFrame:
     """Counts of event types by window and country, with bounded lateness."""
     timed = events.withColumn("event_ts", F.timestamp_millis("timestamp_ms")).withWatermark("event_ts", lateness)
