@@ -5,13 +5,20 @@ Nothing here depends on the clock or on random numbers: times are literals, ids
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, drift, features, gold, labels, ml, normalize, orders, quality, serving, silver, watermark
-from ..schemas import DAY_MS, DEVICE_TYPES, EVENT_TYPES, FEATURES, REQUIRED, TS_MAX_MS, TS_MIN_MS
+from ..schemas import DAY_MS, DEVICE_TYPES, EVENT, EVENT_TYPES, FEATURES, REQUIRED, TS_MAX_MS, TS_MIN_MS, from_avro_json, to_avro_json
+from ..sources import feeds
+from ..sources.tables import TableIO
 from .adapters import BRONZE_SQL, DUPLICATED_SQL, ORDERS_SQL, bronze, order_tables, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +33,17 @@ LATENESS = watermark.WatermarkConfig(allowed_ms=300_000, max_late_ms=3_000_000)
 OPTIONS = silver.SilverOptions(watermark=LATENESS)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; a temporary one of a local session where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, shared.removeprefix("file://"), ignore_errors=True)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -491,14 +509,16 @@ def customer_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NORMAL_COLUMNS = ["event_id", "event_type", "user_id", "timestamp_ms", "page_url", "product_id", "amount_cents", "device_type", "country_code", "app_version", "kafka_topic"]
 _NORMAL_SQL = """WITH o AS (SELECT *, CAST(o_totalprice AS VARCHAR) AS price, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderkey % 977 AS VARCHAR) END AS product, ['US', 'de', 'Brazil', ''][o_orderkey % 4 + 1] AS place FROM orders)
 SELECT '{prefix}' || o_orderkey AS event_id, 'purchase' AS event_type, '{user}' || o_custkey AS user_id, epoch_us(o_orderdate) // 1000 AS timestamp_ms,
-{page} AS page_url, product AS product_id, CAST(trunc(o_totalprice * 100) AS BIGINT) AS amount_cents, 'web' AS device_type,
-CASE o_orderkey % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'DE' WHEN 2 THEN 'BR' ELSE 'US' END AS country_code, '{version}' AS app_version, '{topic}' AS kafka_topic FROM o WHERE o_orderkey % 13 <> 0 AND {real}"""
+{page} AS page_url, product AS product_id, CASE WHEN o_orderkey % 31 = 3 THEN 0 ELSE CAST(trunc(o_totalprice * 100) AS BIGINT) END AS amount_cents, 'web' AS device_type,
+CASE o_orderkey % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'DE' WHEN 2 THEN 'BR' ELSE 'US' END AS country_code, '{version}' AS app_version, '{topic}' AS kafka_topic FROM o WHERE o_orderkey % 13 <> 0 AND o_orderkey % 29 NOT IN (1, 2, 3) AND o_orderkey % 37 NOT IN (1, 2) AND {real}"""
 
 
 def _order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
-        "IF(o_orderkey % 13 = 0, NULL, CAST(o_orderkey AS string)) AS id", "CAST(o_custkey AS string) AS customer", "CAST(o_totalprice AS string) AS price",
-        "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") AS at", "IF(o_orderkey % 10 = 0, NULL, CAST(o_orderkey % 977 AS string)) AS product",
+        "IF(o_orderkey % 13 = 0, NULL, CAST(o_orderkey AS string)) AS id", "CAST(o_custkey AS string) AS customer",
+        # Texts that are no amounts or times, or none that fit, and the text "0", which is an amount.
+        "CASE o_orderkey % 29 WHEN 1 THEN 'NaN' WHEN 2 THEN '1e30' WHEN 3 THEN '-Infinity' ELSE IF(o_orderkey % 31 = 3, '0', CAST(o_totalprice AS string)) END AS price",
+        "CASE o_orderkey % 37 WHEN 1 THEN '-1e30' WHEN 2 THEN 'NaN' ELSE date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") END AS at", "IF(o_orderkey % 10 = 0, NULL, CAST(o_orderkey % 977 AS string)) AS product",
         "element_at(array('US', 'de', 'Brazil', ''), CAST(o_orderkey % 4 AS int) + 1) AS place",
     )
 
@@ -511,7 +531,7 @@ def _normal_sql(feed: str, page: str = "CAST(NULL AS VARCHAR)") -> str:
 @query(_normal_sql("shopify", "'/l/' || o_orderkey"))
 def normalize_shopify(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.expr("IF(product IS NULL, CAST(array() AS array<struct<product_id:string>>), array(struct(product AS product_id)))")
-    body = F.struct("id", F.struct(F.col("customer").cast("long").alias("id")).alias("customer"), F.col("at").alias("created_at"), F.col("price").alias("total_price"), F.concat(F.lit("/l/"), "id").alias("landing_site"), F.struct(F.col("place").alias("country_code")).alias("billing_address"), items.alias("line_items"))
+    body = F.struct("id", F.struct(F.col("customer").cast("long").alias("id")).alias("customer"), F.col("at").alias("created_at"), F.col("price").alias("total_price"), F.lit("50.00").alias("subtotal_price"), F.concat(F.lit("/l/"), "id").alias("landing_site"), F.struct(F.col("place").alias("country_code")).alias("billing_address"), items.alias("line_items"))
     good, _ = normalize.split_errors(normalize.shopify(_order_fields(spark, sf_dir).select(F.to_json(body).alias("value")), PROCESSED_MS))
     return good.select(*_NORMAL_COLUMNS)
 
@@ -531,13 +551,143 @@ def normalize_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select(*_NORMAL_COLUMNS)
 
 
-@query("SELECT 'No order_id' AS error, count(*) AS n FROM orders WHERE o_orderkey % 13 = 0 HAVING count(*) > 0")
+@query("""SELECT error, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'No order_id' WHEN o_orderkey % 29 IN (1, 2, 3) THEN 'Bad amount' END AS error FROM orders) WHERE error IS NOT NULL GROUP BY 1""")
 def normalize_csv_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _order_fields(spark, sf_dir).select(F.col("id").alias("order_id"), F.col("customer").alias("email"), "price")
     _, bad = normalize.split_errors(normalize.csv_rows(rows, PROCESSED_MS))
     return bad.groupBy("error").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT error, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'Missing ' || chr(39) || 'id' || chr(39) WHEN o_custkey = 0 THEN 'Missing ' || chr(39) || 'customer_id' || chr(39) WHEN o_orderkey % 37 IN (1, 2) THEN 'Bad time'
+WHEN o_orderkey % 29 IN (1, 2, 3) THEN 'Bad amount' END AS error FROM orders) WHERE error IS NOT NULL GROUP BY 1""")
+def normalize_woo_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.struct("id", F.col("customer").cast("long").alias("customer_id"), F.col("at").alias("date_created"), F.col("price").alias("total"))
+    _, bad = normalize.split_errors(normalize.woocommerce(_order_fields(spark, sf_dir).select(F.to_json(body).alias("value")), PROCESSED_MS))
+    return bad.groupBy("error").agg(F.count("*").alias("n"))
+
+
+# Tables and feeds
+
+
+@query(f"WITH {BRONZE_SQL} SELECT event_date AS ingestion_date, 'files' AS kafka_topic, count(*) AS n, CAST((SELECT count(*) FROM bronze) AS BIGINT) AS appended, 0 AS appended_empty FROM bronze GROUP BY 1")
+def table_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with ingest metadata, appended to a table by date, and nothing for an empty append."""
+    sink = TableIO(scratch(spark, "append"), partition_by=("ingestion_date",))
+    raw = bronze(spark, sf_dir).drop("kafka_topic", "kafka_partition", "kafka_offset", "ingestion_timestamp_ms")
+    rows = feeds.with_ingest_metadata(raw, PROCESSED_MS)
+    n, none = sink.append(rows), sink.append(rows.limit(0))
+    found = sink.read(spark).groupBy(F.col("ingestion_date").cast("string").alias("ingestion_date"), "kafka_topic").agg(F.count("*").alias("n"))
+    return found.withColumns({"appended": F.lit(n).cast("long"), "appended_empty": F.lit(none)})
+
+
+# In a CSV ids are texts, and are compared as such where an item number repeats.
+_TEXT_ORDERS_SQL = ORDERS_SQL.replace("ORDER BY l_linenumber, l_partkey, l_suppkey", "ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)")
+
+
+@query(f"""WITH {_TEXT_ORDERS_SQL} SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(customer_unique_id AS VARCHAR) AS customer_unique_id, epoch_us(order_purchase_timestamp) AS purchase_us,
+round(total_payment, 4) AS total_payment, CAST(first_product_id AS VARCHAR) AS first_product_id FROM rollup_""")
+def order_export_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order export written as CSV files, read back by role, and rolled up."""
+    root, t = scratch(spark, "export"), order_tables(spark, sf_dir)
+    paths = {role: f"{root}/{role}" for role in feeds.ORDER_FILES}
+    for role, path in paths.items():
+        t[role].write.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+    found = feeds.order_export(spark, paths)
+    rows = orders.order_rollup(found["orders"], found["customers"], found["payments"], found["items"])
+    return rows.select("order_id", "customer_unique_id", F.unix_micros("order_purchase_timestamp").alias("purchase_us"), F.round("total_payment", 4).alias("total_payment"), "first_product_id")
+
+
+@query("SELECT unnest(" + str([f.name for f in EVENT]) + ") AS field, unnest(" + str(["BIGINT" if f.dataType.simpleString() == "bigint" else "VARCHAR" for f in EVENT]) + ") AS type, unnest(" + str([f.nullable for f in EVENT]).lower() + ") AS nullable")
+def avro_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event schema through its registered Avro form and back."""
+    found = from_avro_json(to_avro_json(EVENT, "UserEvent"))
+    names = {"bigint": "BIGINT", "string": "VARCHAR"}
+    return spark.createDataFrame([(f.name, names[f.dataType.simpleString()], f.nullable) for f in found], "field string, type string, nullable boolean")
+
+
+@query(f"""WITH {BRONZE_SQL} SELECT 'dau' AS name, count(*) AS n FROM (SELECT DISTINCT event_date, country_code, device_type FROM bronze)
+UNION ALL SELECT 'revenue', count(*) FROM (SELECT DISTINCT event_date, country_code, product_id FROM bronze WHERE event_type = 'PURCHASE' AND amount_cents > 0)
+UNION ALL SELECT 'funnel', count(*) FROM (SELECT DISTINCT event_date, country_code FROM bronze) UNION ALL SELECT 'user_signals', count(DISTINCT user_id) FROM bronze""")
+def gold_run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in gold.run_all(bronze(spark, sf_dir)).items()]
+    return reduce(DataFrame.unionByName, tables)
+
+
+@query(f"WITH {DUPLICATED_SQL} SELECT count(DISTINCT event_id) AS n FROM arrived")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed-state deduplication by event time, whose state outlives every copy here."""
+    from ..streaming.silver_stream import dedup_stream
+
+    root, source = scratch(spark, "dedup"), bronze(spark, sf_dir, duplicates=True)
+    source.write.parquet(f"{root}/in")
+    kept = dedup_stream(spark.readStream.schema(source.schema).parquet(f"{root}/in"), "60 days").select("event_id")
+    kept.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kept.schema).parquet(f"{root}/out").agg(F.count("*").alias("n"))
+
+
+# Training frames and metrics
+
+_ENRICHED_SQL = f"""{_USER_FEATURES_SQL[5:].replace("SELECT * EXCLUDE (event_timestamp) FROM f", "")},
+x AS (SELECT 'USER-' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS user_id, round(c_acctbal, 2) AS avg_delivery_delay_days, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 5 + 0.5 END::DOUBLE AS avg_review_score, CAST(1 + c_custkey % 3 AS DOUBLE) AS avg_payment_installments FROM customer WHERE c_custkey % 4 <> 0),
+y AS (SELECT user_id, CAST(min(timestamp_ms) % 2 AS INTEGER) AS label FROM bronze GROUP BY 1 HAVING min(timestamp_ms) % 7 <> 0)"""
+
+
+def _frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").filter("c_custkey % 4 <> 0").selectExpr(
+        "concat('USER-', lpad(CAST(c_custkey AS string), 6, '0')) AS user_id", "round(c_acctbal, 2) AS avg_delivery_delay_days",
+        "CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 5 + 0.5 AS double) END AS avg_review_score", "CAST(1 + c_custkey % 3 AS double) AS avg_payment_installments",
+    )
+    events = bronze(spark, sf_dir)
+    labelled = events.groupBy("user_id").agg(F.min("timestamp_ms").alias("t")).filter("t % 7 <> 0").select("user_id", (F.col("t") % 2).cast("int").alias("label"))
+    return ml.training_frame(features.compute_features(events).drop("event_timestamp"), labelled, customers)
+
+
+@query(f"""WITH {_ENRICHED_SQL} SELECT f.* EXCLUDE (event_timestamp), label, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ml.ENRICHMENT)}
+FROM f JOIN y ON f.user_id = y.user_id LEFT JOIN x ON f.user_id = x.user_id""")
+def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frame(spark, sf_dir)
+
+
+_METRICS_SQL = f"""{_SCORES_SQL}, s AS (SELECT user_id, round(score, 3) AS score, CAST(substr(md5(user_id || tenant), 1, 1) < '6' OR score > 0.9 AS INTEGER) AS label FROM latest)"""
+
+
+def _labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = (F.substring(F.md5(F.concat("user_id", "tenant")), 1, 1) < "6") | (F.col("score") > 0.9)
+    return serving.upsert_scores(_scored(spark, sf_dir)).select("user_id", F.round("score", 3).alias("score"), label.cast("int").alias("label"))
+
+
+@query(f"""WITH {_METRICS_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn FROM s)
+SELECT n, tp, fp, fn, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS recall,
+CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1, (tp + fn) / n AS base_rate FROM c""")
+def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ml.binary_metrics(_labelled_scores(spark, sf_dir))
+
+
+@query(f"""WITH {_METRICS_SQL} SELECT round(avg(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0.0 END::DOUBLE), 9) AS auc
+FROM s p, s q WHERE p.label = 1 AND q.label = 0""")
+def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ml.auc(_labelled_scores(spark, sf_dir)).select(F.round("auc", 9).alias("auc"))
+
+
+@query(f"""WITH {_ENRICHED_SQL} SELECT f.user_id, CASE WHEN {_BUCKET_SQL.format(c="f.user_id")} < 0.9::DOUBLE THEN 'champion' ELSE 'challenger' END AS ab_group, true AS scored FROM f JOIN y ON f.user_id = y.user_id""")
+def routed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's group, and whether its model gave a probability."""
+    frame = _frame(spark, sf_dir)
+    champion, challenger = ml.train(frame, trees=3, depth=2), ml.train(frame, trees=1, depth=1, seed=7)
+    return ml.predict(champion, challenger, frame).select("user_id", "ab_group", F.col("score").between(0, 1).alias("scored"))
+
+
+@query(f"""WITH {_ENRICHED_SQL} SELECT f.user_id, CAST({len(FEATURES)} AS INTEGER) AS n_contributions, true AS adds_up FROM f JOIN y ON f.user_id = y.user_id""")
+def tree_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's Shapley values: how many, and whether base and values add up to the margin that gives the model's score."""
+    frame = _frame(spark, sf_dir)
+    model = ml.train(frame, trees=5, depth=3)
+    found = ml.contributions(model, frame).join(ml.score(model, frame), "user_id")
+    total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
+    logistic = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("margin")))
+    return found.select("user_id", F.size("contributions").alias("n_contributions"), ((F.abs(total - F.col("margin")) < 1e-9) & (F.abs(logistic - F.col("score")) < 1e-9)).alias("adds_up"))
+
+
 # Audits
 
 
@@ -599,13 +749,9 @@ def synthetic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_OUTCOME_SQL} SELECT outcome AS target, count(*) AS n FROM outcomes WHERE outcome IN ('silver', 'late', 'quarantined') GROUP BY 1""")
 def stream_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming path over the whole table, as one available batch, into scratch tables."""
-    import tempfile
-    import uuid
-
     from ..streaming.silver_stream import SilverStream
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
-    root = f"{shared}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     source = bronze(spark, sf_dir, duplicates=True)
     source.write.parquet(f"{root}/source")
     stream = SilverStream(root, PROCESSED_MS, OPTIONS)
