@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settled
+
 MINUTE_MS = 60_000
 
 
@@ -68,20 +70,44 @@ def first_per_key(events: DataFrame, key: str = "event_id", arrival: str = "arri
 
 
 def accepted_within_ttl(events: DataFrame, key: str = "event_id", ts: str = "timestamp_ms", seq: str = "arrival_seq", ttl_ms: int = 3_600_000) -> DataFrame:
-    """Rows that are at least ``ttl_ms`` after the last accepted row of their key, in order of event time.
-
-    A row more than the TTL after its predecessor is accepted whatever came before, so each key's
-    rows fall into independent runs, and only a run is gathered for the recursion.
+    """Rows that are at least ``ttl_ms`` after the last accepted row of their key, in order of event time; ties: the first to arrive.
+
+    A row that is the TTL or more after its predecessor is accepted whatever came before; it starts a
+    run. The row accepted after another is the first one that is the TTL later, so the accepted rows of
+    a run are a chain, which is followed by pointer doubling: as many rounds as the logarithm of the
+    longest run, counted in TTLs. Predecessors and successors are found within (key, time bucket), and
+    across buckets on one row for each, so a key that fires steadily is spread over its buckets. Rows
+    without a time are left out; a null key is a key.
     """
-    order = Window.partitionBy(key).orderBy(ts, seq)
-    gap = F.col(ts) - F.lag(ts).over(order)
-    runs = events.select(key, ts, seq).withColumn("_new", F.coalesce((gap >= ttl_ms).cast("int"), F.lit(1)))
-    runs = runs.withColumn("_run", F.sum("_new").over(order))
-    listed = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(seq).alias("s")))).alias("rows"))
-    kept = F.aggregate(
-        F.col("rows"),
-        F.expr("CAST(array() AS array<struct<t:bigint,s:bigint>>)"),
-        lambda done, row: F.when((F.size(done) == 0) | (row["t"] - F.try_element_at(done, F.lit(-1))["t"] >= ttl_ms), F.concat(done, F.array(F.struct(row["t"].cast("long").alias("t"), row["s"].cast("long").alias("s"))))).otherwise(done),
+    key_ = F.coalesce(F.concat(F.lit("1"), F.col(key).cast("string")), F.lit("0"))
+    rows = events.filter(F.col(ts).isNotNull()).groupBy(key_.alias("_k"), F.col(ts).alias("_t")).agg(F.min(F.struct(F.col(seq), F.col(key))).alias("_row"))
+    rows = settled(rows.withColumn("_b", F.floor(F.col("_t") / F.lit(ttl_ms))), "ttl-rows")
+    times = rows.select("_k", "_b", "_t", F.col("_t").alias("_real"), F.lit(None).cast("long").alias("_from"))
+    asked = rows.select("_k", (F.col("_b") + 1).alias("_b"), (F.col("_t") + ttl_ms).alias("_t"), F.lit(None).cast("long").alias("_real"), F.col("_t").alias("_from"))
+    both = times.unionByName(asked)
+    # The least time at or after each asked one, and the time before each real one, in the bucket or else beyond it.
+    down = Window.partitionBy("_k", "_b").orderBy(F.desc("_t"), F.col("_from").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("_k", "_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("_next", F.last("_real", ignorenulls=True).over(down)).withColumn("_prev", F.when(F.col("_real").isNotNull(), F.last("_real", ignorenulls=True).over(up)))
+    ends = both.groupBy("_k", "_b").agg(F.min("_real").alias("_lo"), F.max("_real").alias("_hi"))
+    by_bucket = Window.partitionBy("_k").orderBy("_b")
+    ends = ends.select(
+        "_k", "_b",
+        F.first("_lo", ignorenulls=True).over(by_bucket.rowsBetween(1, Window.unboundedFollowing)).alias("_beyond"),
+        F.last("_hi", ignorenulls=True).over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
     )
-    exploded = listed.select(key, F.explode(kept).alias("kept"))
-    return exploded.select(key, F.col("kept.t").alias(ts), F.col("kept.s").alias(seq))
+    found = settled(near.join(ends, ["_k", "_b"]).select("_k", "_real", "_from", F.coalesce("_next", "_beyond").alias("_next"), F.coalesce("_prev", "_earlier").alias("_prev")), "ttl-found")
+    starts = found.filter("_real IS NOT NULL").filter(F.col("_prev").isNull() | (F.col("_real") - F.col("_prev") >= ttl_ms)).select("_k", F.col("_real").alias("_t"))
+    starts = settled(starts, "ttl-starts")
+    # A chain ends where the next run starts.
+    jumps = found.filter("_from IS NOT NULL AND _next IS NOT NULL").select("_k", F.col("_from").alias("_t"), "_next")
+    jumps = settled(jumps.join(starts.withColumnRenamed("_t", "_next"), ["_k", "_next"], "left_anti").select("_k", "_t", "_next"), "ttl-jumps")
+    marked = starts
+    while True:
+        reached = settled(marked.join(jumps, ["_k", "_t"]).select("_k", F.col("_next").alias("_t")), "ttl-reached")
+        if reached.isEmpty():
+            break
+        marked = settled(marked.unionByName(reached), "ttl-marked")
+        further = jumps.select("_k", F.col("_t").alias("_next"), F.col("_next").alias("_after"))
+        jumps = settled(jumps.join(further, ["_k", "_next"]).select("_k", "_t", F.col("_after").alias("_next")), "ttl-jumps")
+    return rows.join(marked, ["_k", "_t"]).select(F.col(f"_row.{key}").alias(key), F.col("_t").alias(ts), F.col(f"_row.{seq}").alias(seq))

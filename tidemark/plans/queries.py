@@ -5,10 +5,6 @@ Nothing here depends on the clock or on random numbers: times are literals, ids
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, drift, features, gold, labels, ml, normalize, orders, quality, serving, silver, watermark
 from ..schemas import DAY_MS, DEVICE_TYPES, EVENT, EVENT_TYPES, FEATURES, REQUIRED, TS_MAX_MS, TS_MIN_MS, from_avro_json, to_avro_json
 from ..sources import feeds
-from ..sources.tables import TableIO
+from ..sources.tables import TableIO, scratch
 from .adapters import BRONZE_SQL, DUPLICATED_SQL, ORDERS_SQL, bronze, order_tables, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,17 +29,6 @@ LATENESS = watermark.WatermarkConfig(allowed_ms=300_000, max_late_ms=3_000_000)
 OPTIONS = silver.SilverOptions(watermark=LATENESS)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; a temporary one of a local session where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, shared.removeprefix("file://"), ignore_errors=True)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f

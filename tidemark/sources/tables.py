@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -44,6 +48,24 @@ class TableIO:
         return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(self.path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; a temporary one of a local session where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, shared.removeprefix("file://"), ignore_errors=True)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in a scratch folder: cuts the lineage and outlives any executor."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tenant_table(root: str, tenant: str) -> TableIO:
     """The raw table of a tenant: one table, partitioned by tenant and date."""
     if not tenant or "/" in tenant:
