@@ -13,9 +13,9 @@ A text that holds the string of an added token, such as an end-of-text mark, is
 the library, which gives the token's own id, as it does by default.
 
 The memo lives in the Python worker and is emptied before a step once it has ``MEMO_PIECES``
-pieces, which take about 60 MB. A new piece of plain Latin letters is cut into pre-tokens, with a
-memo of their own (``MEMO_WORDS``, as large), and the library's model encodes each; any other
-piece goes through the whole library.
+pieces, which take about 100 MB. A new piece of ASCII letters is one pre-token, which the library's
+model encodes; one of other plain Latin signs is cut into pre-tokens, with a memo of their own
+(``MEMO_WORDS``); any other piece goes through the whole library.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
-MEMO_PIECES = 300_000
-MEMO_WORDS = 300_000
+MEMO_PIECES = 500_000
+MEMO_WORDS = 200_000
 
 #: All that either engine takes for white space, and the controls that only one of them does.
 _WHITE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -48,6 +48,7 @@ _PRE_TOKENS = {
 #: Byte-level vocabularies write a byte as a character: itself if it is printable, else one from 256 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_BLANK = chr(_BYTE_CHARACTERS[32])
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
@@ -93,24 +94,32 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token, from the library's model."""
-        return array("H", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARACTERS))]).tobytes()
+        if word.isascii() and "\n" not in word:  # such bytes write themselves, but for the blank
+            written = word.replace(" ", _BLANK)
+        else:
+            written = word.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        return array("H", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def _encode_new(self, pieces: list[str]) -> list[bytes]:
         """16-bit ids. Pieces of plain Latin letters are cut into pre-tokens here; the library cuts all others."""
         out: list[bytes | None] = []
-        plain, cut, words = _PLAIN[self.cut].fullmatch, _PRE_TOKENS[self.cut].findall, self.words
+        plain, cut, words, word_of, white = _PLAIN[self.cut].fullmatch, _PRE_TOKENS[self.cut].findall, self.words, self._word, self.cut == "white"
         if len(words) > MEMO_WORDS:
             words.clear()
+        tokenize = self.model.tokenize
         for piece in pieces:
+            if piece.isascii() and (piece.isalpha() or not white and piece[0:1] == " " and piece[1:].isalpha()):  # one pre-token
+                out.append(array("H", [t.id for t in tokenize(piece.lower() if white else piece.replace(" ", _BLANK))]).tobytes())
+                continue
             if not plain(piece):
                 out.append(None)
                 continue
-            ids = b""
-            for word in cut(piece.lower() if self.cut == "white" else piece):
-                if (own := words.get(word)) is None:
-                    own = words[word] = self._word(word)
-                ids += own
-            out.append(ids)
+            own = b""
+            for word in cut(piece.lower() if white else piece):
+                if (ids := words.get(word)) is None:
+                    ids = words[word] = word_of(word)
+                own += ids
+            out.append(own)
         rest = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(rest, self.encode_whole([pieces[i] for i in rest]), strict=True):
             out[i] = array("H", ids).tobytes()
@@ -122,10 +131,12 @@ class Encoder:
         if len(memo.place) > MEMO_PIECES or memo.used > 8 * MEMO_PIECES:
             memo.clear()
         found = list(map(memo.place.get, pieces))
-        missing = list(dict.fromkeys(p for p, at in zip(pieces, found, strict=True) if at is None))
+        missing = [i for i, at in enumerate(found) if at is None]
         if missing:
-            memo.add(missing, self._encode_new(missing))
-            found = list(map(memo.place.__getitem__, pieces))
+            new = list(dict.fromkeys([pieces[i] for i in missing]))
+            memo.add(new, self._encode_new(new))
+            for i in missing:
+                found[i] = memo.place[pieces[i]]
         return np.array(found, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
