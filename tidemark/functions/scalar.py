@@ -28,8 +28,8 @@ def json_text(value: Column) -> Column:
     The text "0" is a value like any other.
     """
     kind, text = F.schema_of_variant(value), value.cast("string")
-    zero = ~kind.isin("STRING", "BOOLEAN") & (text.try_cast("double") == 0)
-    return F.when(~F.coalesce(zero | (text == "") | ((kind == "BOOLEAN") & (text == "false")), F.lit(False)), text)
+    number = F.when(F.coalesce(text.try_cast("double") != 0, F.lit(True)), text)
+    return F.when(kind == "STRING", F.nullif(text, F.lit(""))).when(kind == "BOOLEAN", F.nullif(text, F.lit("false"))).otherwise(number)
 
 
 def parse_ts_ms(value: Column, now_ms: Column | int) -> Column:

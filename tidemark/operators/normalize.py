@@ -67,16 +67,21 @@ def _first_error(*tests: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(bad, F.lit(message)) for bad, message in tests], F.lit(None).cast("string")).alias("error")
 
 
-def _parsed(payloads: DataFrame, column: str, schema: str) -> DataFrame:
-    """(p): each payload parsed once. A plain projection would be merged into its many uses and parsed in each."""
-    return payloads.select(F.explode(F.array(F.from_json(column, schema))).alias("p"))
+def _parsed(payloads: DataFrame, column: str, schema: str, *texts: str) -> DataFrame:
+    """(p, t): each payload parsed once, and the text or null of the JSON values ``texts`` of it, their dots as two underscores.
+
+    A plain projection would be merged into its many uses and evaluated in each.
+    """
+    p = payloads.select(F.explode(F.array(F.from_json(column, schema))).alias("p"))
+    found = F.struct(*[json_text(F.col(f"p.{name}")).alias(name.replace(".", "__")) for name in texts])
+    return p.select("p", F.explode(F.array(found)).alias("t"))
 
 
 def shopify(payloads: DataFrame, now_ms: int, column: str = "value") -> DataFrame:
-    p = _parsed(payloads, column, SHOPIFY)
-    order, customer = json_text(F.col("p.id")), F.coalesce(json_text(F.col("p.customer.id")), json_text(F.col("p.customer_id")))
-    created = json_text(F.col("p.created_at"))
-    total = F.coalesce(json_text(F.col("p.total_price")), F.col("p.subtotal_price"), F.lit("0"))
+    p = _parsed(payloads, column, SHOPIFY, "id", "customer.id", "customer_id", "created_at", "total_price")
+    order, customer = F.col("t.id"), F.coalesce(F.col("t.customer__id"), F.col("t.customer_id"))
+    created = F.col("t.created_at")
+    total = F.coalesce(F.col("t.total_price"), F.col("p.subtotal_price"), F.lit("0"))
     place = F.coalesce(F.col("p.billing_address"), F.col("p.shipping_address"))
     country = F.coalesce(_full(place["country_code"]), _full(place["country"]), F.lit(DEFAULT_COUNTRY))
     product = F.try_element_at("p.line_items", F.lit(1))["product_id"]
@@ -86,9 +91,9 @@ def shopify(payloads: DataFrame, now_ms: int, column: str = "value") -> DataFram
 
 
 def woocommerce(payloads: DataFrame, now_ms: int, column: str = "value") -> DataFrame:
-    p = _parsed(payloads, column, WOOCOMMERCE)
-    order, customer = json_text(F.col("p.id")), json_text(F.col("p.customer_id"))
-    created = F.coalesce(json_text(F.col("p.date_created")), json_text(F.col("p.date_created_gmt")))
+    p = _parsed(payloads, column, WOOCOMMERCE, "id", "customer_id", "date_created", "date_created_gmt")
+    order, customer = F.col("t.id"), F.col("t.customer_id")
+    created = F.coalesce(F.col("t.date_created"), F.col("t.date_created_gmt"))
     country = F.coalesce(_full(F.col("p.billing.country")), F.lit(DEFAULT_COUNTRY))
     product = F.try_element_at("p.line_items", F.lit(1))["product_id"]
     ts, cents = parse_ts_ms(created, now_ms), money_to_cents(F.coalesce("p.total", F.lit("0")))
