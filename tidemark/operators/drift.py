@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FEATURES
+from ..sources.tables import settled
 from .quantiles import exact_quantiles
 
 BINS = 10
@@ -51,7 +52,7 @@ def _bin_counts(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def baseline_histograms(features: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFrame:
     """A row for each feature: bin_edges, bin_counts, n, mean, std (of the population), p50."""
-    rows = long_form(features, names)
+    rows = settled(long_form(features, names), "baseline-rows")  # read for bounds, counts and quantiles
     bounds = rows.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     edges = bounds.select("feature", _edges(F.col("lo"), F.col("hi")).alias("bin_edges"))
     binned = rows.join(F.broadcast(edges), "feature")  # a row for each feature
@@ -64,7 +65,8 @@ def psi_by_feature(baseline: DataFrame, current: DataFrame, names: tuple[str, ..
     Values outside the baseline's edges count for the number of values only; empty bins count as
     a share of one millionth.
     """
-    rows = long_form(current, names).join(F.broadcast(baseline.select("feature", "bin_edges")), "feature")  # a row for each feature
+    baseline = settled(baseline, "baseline")
+    rows = settled(long_form(current, names), "current-rows").join(F.broadcast(baseline.select("feature", "bin_edges")), "feature")  # a row for each feature
     now = _bin_counts(rows.withColumn("bin", _bin(F.col("value"), F.col("bin_edges"))), ["feature"])
     now = now.select("feature", F.col("bin_counts").alias("now_counts"), F.col("n").alias("now_n"), F.col("mean").alias("current_mean"), F.col("p50").alias("current_p50"))
     joined = baseline.join(now, "feature")
