@@ -12,10 +12,11 @@ the ``tokenizers`` library once and then looked up:
 A text that holds the string of an added token, such as an end-of-text mark, is encoded whole by
 the library, which gives the token's own id, as it does by default.
 
-The memo lives in the Python worker and is emptied before a step once it has ``MEMO_PIECES``
-pieces, which take about 100 MB. A new piece of ASCII letters is one pre-token, which the library's
-model encodes; one of other plain Latin signs is cut into pre-tokens, with a memo of their own
-(``MEMO_WORDS``); any other piece goes through the whole library.
+The memo lives in the Python worker. Once it has ``MEMO_PIECES`` pieces, which take about 100 MB, only
+those that more than one step has used since the last time stay in it, less than half of them. A new
+piece of ASCII letters is one pre-token, which the library's model encodes; one of other plain Latin
+signs is cut into pre-tokens, looked up among the pieces and in a memo of their own (``MEMO_WORDS``);
+any other piece goes through the whole library.
 """
 
 from __future__ import annotations
@@ -47,8 +48,9 @@ _PRE_TOKENS = {
 }
 #: Byte-level vocabularies write a byte as a character: itself if it is printable, else one from 256 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_BLANK = chr(_BYTE_CHARACTERS[32])
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_BYTE_CHARACTERS = [chr(b) if b in _PRINTABLE else chr(256 + _OTHERS.index(b)) for b in range(256)]
+_BLANK = _BYTE_CHARACTERS[32]
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
@@ -61,21 +63,38 @@ class Memo:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.starts, self.lengths = np.empty(1024, np.int32), np.empty(1024, np.int32)
+        self.starts, self.lengths, self.uses = (np.zeros(1024, np.int32) for _ in range(3))
         self.flat, self.used = np.empty(8192, np.uint16), 0
 
-    def add(self, pieces: list[str], ids: list[bytes]) -> None:
-        n, lengths = len(self.place), np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-        total = int(lengths.sum())
-        while len(self.starts) < n + len(ids):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while len(self.flat) < self.used + total:
+    def add(self, pieces: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
+        n, m = len(self.place), len(self.place) + len(pieces)
+        while len(self.starts) < m:
+            self.starts, self.lengths, self.uses = (np.resize(x, 2 * len(x)) for x in (self.starts, self.lengths, self.uses))
+        while len(self.flat) < self.used + len(flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.starts[n : n + len(ids)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[n : n + len(ids)] = lengths
-        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(ids), np.uint16)
-        self.used += total
-        self.place.update(zip(pieces, range(n, n + len(ids)), strict=True))
+        self.starts[n:m] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n:m], self.uses[n:m] = lengths, 0
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.place.update(zip(pieces, range(n, m), strict=True))
+
+    def ids(self, at: int) -> bytes:
+        start = self.starts[at]
+        return self.flat[start : start + self.lengths[at]].tobytes()
+
+    def thin(self) -> None:
+        """Keep the pieces used more than once since the last time; of very many, the most used."""
+        pieces, half = list(self.place), MEMO_PIECES // 2  # in the order of their places
+        n = len(pieces)
+        least = 1 if n <= half else max(1, int(np.partition(self.uses[:n], n - half)[n - half]))
+        kept = np.flatnonzero(self.uses[:n] > least)
+        if self.lengths[kept].sum() > 4 * MEMO_PIECES:
+            kept = kept[:0]
+        lengths, starts = self.lengths[kept].astype(np.int64), self.starts[kept]
+        before = np.cumsum(lengths) - lengths
+        flat = self.flat[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+        self.clear()
+        self.add([pieces[i] for i in kept.tolist()], lengths, flat)
 
 
 class Encoder:
@@ -97,47 +116,66 @@ class Encoder:
         if word.isascii() and "\n" not in word:  # such bytes write themselves, but for the blank
             written = word.replace(" ", _BLANK)
         else:
-            written = word.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+            written = "".join(map(_BYTE_CHARACTERS.__getitem__, word.encode()))
         return array("H", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def _encode_new(self, pieces: list[str]) -> list[bytes]:
         """16-bit ids. Pieces of plain Latin letters are cut into pre-tokens here; the library cuts all others."""
-        out: list[bytes | None] = []
-        plain, cut, words, word_of, white = _PLAIN[self.cut].fullmatch, _PRE_TOKENS[self.cut].findall, self.words, self._word, self.cut == "white"
+        plain, cut, white = _PLAIN[self.cut].fullmatch, _PRE_TOKENS[self.cut].findall, self.cut == "white"
+        words, place, word_of = self.words, self.memo.place, self._word
         if len(words) > MEMO_WORDS:
             words.clear()
-        tokenize = self.model.tokenize
-        for piece in pieces:
+        fresh: dict[str, bytes] = {}  # pre-tokens that are pieces, and so will be in the memo of pieces
+
+        def known(word: str) -> bytes | None:
+            if (ids := words.get(word) or fresh.get(word)) is None and (at := place.get(word)) is not None:
+                ids = self.memo.ids(at)
+            return ids
+
+        out: list[bytes | None] = [None] * len(pieces)
+        others = []
+        for i, piece in enumerate(pieces):
             if piece.isascii() and (piece.isalpha() or not white and piece[0:1] == " " and piece[1:].isalpha()):  # one pre-token
-                out.append(array("H", [t.id for t in tokenize(piece.lower() if white else piece.replace(" ", _BLANK))]).tobytes())
-                continue
+                word = piece.lower() if white else piece
+                if (ids := known(word)) is None:
+                    ids = fresh[word] = word_of(word)
+                out[i] = ids
+            else:
+                others.append(i)
+        rest = []
+        for i in others:
+            piece = pieces[i]
             if not plain(piece):
-                out.append(None)
+                rest.append(i)
                 continue
+            cuts = cut(piece.lower() if white else piece)
             own = b""
-            for word in cut(piece.lower() if white else piece):
-                if (ids := words.get(word)) is None:
-                    ids = words[word] = word_of(word)
+            for word in cuts:
+                if (ids := words.get(word)) is None and (ids := known(word)) is None:
+                    ids = (fresh if len(cuts) == 1 else words)[word] = word_of(word)
                 own += ids
-            out.append(own)
-        rest = [i for i, ids in enumerate(out) if ids is None]
+            out[i] = own
         for i, ids in zip(rest, self.encode_whole([pieces[i] for i in rest]), strict=True):
             out[i] = array("H", ids).tobytes()
         return out
 
     def _places(self, pieces: list[str]) -> np.ndarray:
-        """The places of the pieces in the memo, which all are in it afterwards."""
+        """The places of the pieces, which differ, in the memo, which has them all afterwards."""
         memo = self.memo
         if len(memo.place) > MEMO_PIECES or memo.used > 8 * MEMO_PIECES:
-            memo.clear()
+            memo.thin()
         found = list(map(memo.place.get, pieces))
         missing = [i for i, at in enumerate(found) if at is None]
         if missing:
-            new = list(dict.fromkeys([pieces[i] for i in missing]))
-            memo.add(new, self._encode_new(new))
-            for i in missing:
-                found[i] = memo.place[pieces[i]]
-        return np.array(found, np.int64)
+            new = [pieces[i] for i in missing]
+            ids = self._encode_new(new)
+            n = len(memo.place)
+            memo.add(new, np.fromiter(map(len, ids), np.int64, len(ids)) // 2, np.frombuffer(b"".join(ids), np.uint16))
+            for at, i in enumerate(missing, n):
+                found[i] = at
+        places = np.array(found, np.int64)
+        memo.uses[places] += 1
+        return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the n + 1 places between texts. No nulls."""
@@ -151,7 +189,7 @@ class Encoder:
         lists = pc.ascii_split_whitespace(cut) if self.cut == "white" else pc.split_pattern(cut, " ")
         coded = lists.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         if self.cut == "space":
