@@ -34,6 +34,33 @@ def whole(cut, texts):
     return [LIBRARY[cut].encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("cut", ["space", "white"])
+def test_a_full_memo_keeps_what_is_used_often(cut, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 60)
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 20)
+    rng = random.Random(3)
+    encoder = tokens.Encoder(VOCABULARIES[cut], cut)
+    kept = []
+    for _ in range(60):
+        new = ["".join(rng.choice("abcéñ") for _ in range(6)) + rng.choice(["", ",", "'s", "9"]) for _ in range(15)]
+        texts = ["often seen, often", " ".join(rng.sample(new, 15)), "Often " + " ".join(new[:5]), ""]
+        ids, places = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(places[:-1], places[1:])] == whole(cut, texts)
+        assert len(encoder.memo.place) <= 60 + 40 and sorted(encoder.memo.place.values()) == list(range(len(encoder.memo.place)))
+        if encoder.memo.uses.max() > 1:
+            kept.append((" often" if cut == "space" else "often") in encoder.memo.place)
+    assert kept and all(kept)
+
+
+def test_a_memo_of_equally_used_pieces_gets_smaller_too():
+    memo = tokens.Memo()
+    memo.add([str(i) for i in range(tokens.MEMO_PIECES + 2)], np.ones(tokens.MEMO_PIECES + 2, np.int64), np.zeros(tokens.MEMO_PIECES + 2, np.uint16))
+    memo.uses[: tokens.MEMO_PIECES + 2] = 5
+    memo.uses[7], memo.flat[7] = 6, 77
+    memo.thin()
+    assert list(memo.place) == ["7"] and memo.ids(0) == np.uint16(77).tobytes()
+
+
 def test_added_tokens_in_a_text_have_their_own_ids():
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|endoftext|", "plain"]
     for cut, known in (("space", {50256}), ("white", {49406, 49407})):
