@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, contamination, fingerprints, language, packing, pii, secrets, simhash, token_files, toxicity
+from . import chat, contamination, fingerprints, language, packing, pii, secrets, simhash, token_counts, token_files, toxicity
 from .common import table
 
 #: Where the tokenizer files are; the installed module tells unless the environment does.
@@ -61,6 +61,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -72,5 +76,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
+    "op12_token_counts": op12_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {"op6_chat": chat.ORACLE}
