@@ -54,11 +54,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage and outlives any executor."""
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts the lineage and outlives any executor. ``options``: of the writer."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._written_to = path
     return found

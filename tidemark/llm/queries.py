@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, contamination, fingerprints, language, packing, pii, secrets, simhash, token_counts, token_files, toxicity
+from . import chat, contamination, fingerprints, hard_negatives, language, packing, pii, secrets, simhash, token_counts, token_files, toxicity, vector_codes
 from .common import table
 
 #: Where the tokenizer files are; the installed module tells unless the environment does.
@@ -61,10 +61,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -76,6 +84,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
+    "op11_vector_codes": op11_vector_codes,
     "op12_token_counts": op12_token_counts,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_chat": chat.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
