@@ -5,7 +5,6 @@ Nothing here depends on the clock or on random numbers: times are literals, ids
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +15,7 @@ from ..schemas import DAY_MS, DEVICE_TYPES, EVENT, EVENT_TYPES, FEATURES, REQUIR
 from ..sources import feeds
 from ..sources.tables import TableIO, scratch
 from .adapters import BRONZE_SQL, DUPLICATED_SQL, ORDERS_SQL, bronze, order_tables, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 PROCESSED_MS = 1_706_745_600_000  # 2024-02-01
 MID_MS = 1_705_363_200_000  # 2024-01-16
@@ -29,16 +24,6 @@ LATENESS = watermark.WatermarkConfig(allowed_ms=300_000, max_late_ms=3_000_000)
 OPTIONS = silver.SilverOptions(watermark=LATENESS)
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 # Daily aggregates
 
 
@@ -744,3 +729,6 @@ def stream_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = spark.read.parquet(f"{root}/silver").select(F.when(F.col("watermark_classification") == "late", "late").otherwise("silver").alias("target"))
     bad = spark.read.parquet(f"{root}/quarantine").select(F.lit("quarantined").alias("target"))
     return good.unionByName(bad).groupBy("target").agg(F.count("*").alias("n"))
+
+
+from . import operations  # noqa: E402,F401  registers its own
