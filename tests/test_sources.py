@@ -101,10 +101,15 @@ def test_messages_round_trip_without_a_queue(spark):
     rows = bronze(spark, SF).select(*[f.name for f in schemas.EVENT]).limit(20)
     sent = feeds.messages_of(rows).selectExpr("value", "'t' AS topic", "1 AS partition", "5L AS offset")
     got = feeds.parsed_messages(sent)
-    assert got.columns[-3:] == ["kafka_topic", "kafka_partition", "kafka_offset"]
+    assert got.columns[-4:] == ["kafka_topic", "kafka_partition", "kafka_offset", "error"]
     assert sorted(map(str, got.select(rows.columns).collect())) == sorted(map(str, rows.collect()))
     broken = spark.createDataFrame([(b"{", "t", 0, 1)], "value binary, topic string, partition int, offset long")
-    assert feeds.parsed_messages(broken).first().event_id is None
+    assert (feeds.parsed_messages(broken).first().event_id, feeds.parsed_messages(broken).first().error) == (None, "Bad message")
+    schema = schemas.to_avro_json(schemas.EVENT, "UserEvent")
+    framed = feeds.messages_of(rows, (7, schema)).selectExpr("value", "'t' AS topic", "1 AS partition", "5L AS offset")
+    back = feeds.parsed_messages(framed, {7: schema})
+    assert sorted(map(str, back.select(rows.columns).collect())) == sorted(map(str, rows.collect())) and back.filter("error IS NULL").count() == 20
+    assert feeds.parsed_messages(framed, {8: schema}).first().error == "Unknown schema 7"
 
 
 def test_stateful_streams(spark, tmp_path):

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import monitoring
-from .adapters import table
+from ..schemas import EVENT, to_avro_json
+from ..sources import registry
+from ..sources.tables import TableIO, scratch
+from .adapters import BRONZE_SQL, bronze, table
 from .registry import query
 
 MINUTE = 60_000
@@ -97,3 +101,35 @@ def latency_quantiles_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_latency_sql(5))
 def latency_quantiles_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _latency(spark, sf_dir, 5)
+
+
+# Framed messages of two schema versions in one feed
+
+_FIELDS = [f.name for f in EVENT]
+_OLD_SCHEMA = T.StructType([f for f in EVENT if f.name not in ("app_version", "page_url")] + [T.StructField("region", T.StringType())])
+
+
+@query(f"""WITH {BRONZE_SQL}, m AS (SELECT *, kafka_offset % 2 = 0 AS old, CASE WHEN kafka_offset % 97 = 5 THEN 'Short message' WHEN kafka_offset % 89 = 5 THEN 'Bad magic byte'
+WHEN kafka_offset % 83 = 5 THEN 'Unknown schema 9' WHEN kafka_offset % 79 = 5 THEN 'Bad record' END AS error FROM bronze)
+SELECT kafka_offset, CASE WHEN error IN ('Short message', 'Bad magic byte') THEN NULL WHEN error = 'Unknown schema 9' THEN 9 WHEN old THEN 1 ELSE 2 END AS schema_id, error, error IS NOT NULL AS kept,
+{", ".join(f"CASE WHEN error IS NULL {'AND NOT old ' if c in ('app_version', 'page_url') else ''}THEN {c} END AS {c}" for c in _FIELDS)} FROM m""")
+def framed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as framed Avro, half of them by an older schema, some damaged, read by one schema."""
+    schemas = registry.SchemaRegistry(TableIO(scratch(spark, "schemas")))
+    old, new = to_avro_json(_OLD_SCHEMA, "UserEvent"), to_avro_json(EVENT, "UserEvent")
+    ids = [schemas.register(spark, "events-value", s) for s in (old, new)]
+    events = bronze(spark, sf_dir).select(*_FIELDS, F.lit("r").alias("region"), "kafka_offset")
+    # The key carries the offset here, as a queue would give it.
+    sent = [registry.framed(events.filter(F.col("kafka_offset") % 2 == i), ids[i], s, key="kafka_offset") for i, s in enumerate((old, new))]
+    offset, value = F.col("key").cast("long"), F.col("value")
+    after = lambda n: F.expr(f"substring(value, {n + 1})")
+    damaged = (
+        F.when(offset % 97 == 5, F.substring(value, 1, 4))
+        .when(offset % 89 == 5, F.concat(F.unhex(F.lit("01")), after(1)))
+        .when(offset % 83 == 5, F.concat(F.unhex(F.lit("0000000009")), after(5)))
+        .when(offset % 79 == 5, F.expr("substring(value, 1, length(value) - 1)"))
+        .otherwise(value)
+    )
+    messages = sent[0].unionByName(sent[1]).select(offset.alias("kafka_offset"), damaged.alias("value"))
+    found = registry.unframed(messages, schemas.schemas(spark), new)
+    return found.select("kafka_offset", F.col("schema_id").cast("int").alias("schema_id"), F.split("error", ":")[0].alias("error"), F.col("value").isNotNull().alias("kept"), *_FIELDS)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import event_date
 from ..operators import normalize
-from ..schemas import EVENT
+from ..schemas import EVENT, to_avro_json
+from . import registry
 
 ORDER_FILES = {
     "orders": "order_id string, customer_id string, order_status string, order_purchase_timestamp timestamp, order_approved_at timestamp, order_delivered_carrier_date timestamp, order_delivered_customer_date timestamp, order_estimated_delivery_date timestamp",
@@ -17,40 +18,43 @@ ORDER_FILES = {
 }
 
 
-def kafka_events(spark: SparkSession, servers: str, topic: str, max_offsets: int = 500, avro: str | None = None) -> DataFrame:
-    """A stream of events from a topic, as JSON or as Avro of the given schema, with ingest metadata.
+def kafka_events(spark: SparkSession, servers: str, topic: str, max_offsets: int = 500, schemas: dict[int, str] | None = None) -> DataFrame:
+    """A stream of events from a topic, as JSON or as framed Avro of the given registered schemas, with ingest metadata.
 
-    Needs the queue connector (and the Avro functions) on the class path. The checkpoint of the
-    query that reads it takes the place of committed offsets.
+    Needs the queue connector on the class path. The checkpoint of the query that reads it takes the place of committed
+    offsets.
     """
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("maxOffsetsPerTrigger", max_offsets).load()
-    return parsed_messages(raw, avro)
+    return parsed_messages(raw, schemas)
 
 
-def parsed_messages(raw: DataFrame, avro: str | None = None) -> DataFrame:
-    """Events and their place from queue messages (value, topic, partition, offset); a message that is no event has nulls."""
-    if avro:
-        from pyspark.sql.avro.functions import from_avro
+def parsed_messages(raw: DataFrame, schemas: dict[int, str] | None = None) -> DataFrame:
+    """Events, their place and ``error`` from queue messages (value, topic, partition, offset).
 
-        body = from_avro(F.col("value"), avro, {"mode": "PERMISSIVE"})
-    else:
-        body = F.from_json(F.col("value").cast("string"), EVENT)
-    return raw.select(body.alias("e"), F.col("topic").alias("kafka_topic"), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset")).select("e.*", "kafka_topic", "kafka_partition", "kafka_offset")
-
-
-def messages_of(events: DataFrame, avro: str | None = None) -> DataFrame:
-    """(key, value) messages of events, keyed by user: JSON, or Avro of the given schema."""
-    row = F.struct(*events.columns)
-    if avro:
-        from pyspark.sql.avro.functions import to_avro
-
-        return events.select(F.col("user_id").alias("key"), to_avro(row, avro).alias("value"))
-    return events.select(F.col("user_id").alias("key"), F.to_json(row).alias("value"))
-
-
-def to_kafka(events: DataFrame, servers: str, topic: str, avro: str | None = None) -> None:
-    """Write events to a topic, acknowledged by all replicas. Needs the queue connector (and the Avro functions) on the class path."""
-    messages_of(events, avro).write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").option("kafka.enable.idempotence", "true").option("topic", topic).save()
+    Framed Avro by the schema that each message names, if there are ``schemas``, else JSON. A message that is no event has an
+    error and nulls.
+    """
+    place = [F.col("topic").alias("kafka_topic"), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset")]
+    if schemas is not None:
+        found = registry.unframed(raw.select(*place, "value"), schemas, to_avro_json(EVENT, "UserEvent"))
+        return found.select(*EVENT.fieldNames(), "kafka_topic", "kafka_partition", "kafka_offset", "error")
+    text = F.col("value").cast("string")
+    # What is no JSON object gives no value for a key.
+    body = F.from_json(text, EVENT)
+    read = raw.select(body.alias("e"), *place, F.when(F.from_json(text, "map<string,string>").isNull(), "Bad message").alias("error"))
+    return read.select("e.*", "kafka_topic", "kafka_partition", "kafka_offset", "error")
+
+
+def messages_of(events: DataFrame, schema: tuple[int, str] | None = None) -> DataFrame:
+    """(key, value) messages of events, keyed by user: JSON, or framed Avro of the registered (id, schema)."""
+    if schema:
+        return registry.framed(events, *schema)
+    return events.select(F.col("user_id").alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))
+
+
+def to_kafka(events: DataFrame, servers: str, topic: str, schema: tuple[int, str] | None = None) -> None:
+    """Write events to a topic, acknowledged by all replicas. Needs the queue connector on the class path."""
+    messages_of(events, schema).write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").option("kafka.enable.idempotence", "true").option("topic", topic).save()
 
 
 def with_ingest_metadata(events: DataFrame, now_ms: int, topic: str = "files") -> DataFrame:
