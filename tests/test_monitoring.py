@@ -49,7 +49,11 @@ def test_increase_over_cells_equals_the_plain_sum(spark):
 
 def test_bucket_quantiles(spark):
     inf = math.inf
-    value = lambda q, *b: spark.createDataFrame([(list(b),)], "b array<struct<le: double, n: double>>").select(monitoring.bucket_quantile(q, F.col("b")).alias("v")).first().v
+
+    def value(q, *b):
+        df = spark.createDataFrame([(sorted(b), max((n for _, n in b), default=None))], "b array<struct<le: double, n: double>>, total double")
+        return df.select(monitoring.bucket_quantile(q, F.col("b"), F.col("total")).alias("v")).first().v
+
     buckets = ((0.1, 10.0), (0.5, 30.0), (1.0, 30.0), (inf, 40.0))
     assert value(0.25, *buckets) == pytest.approx(0.1)
     assert value(0.125, *buckets) == pytest.approx(0.05)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import scalar
-from tidemark.operators import audit, drift, features, gold, labels, ml, normalize, orders, quality, serving, silver, watermark
+from tidemark.operators import audit, drift, features, gold, labels, ml, normalize, orders, quality, ranges, serving, silver, watermark
 
 MS = lambda *a: int(datetime(*a, tzinfo=timezone.utc).timestamp() * 1000)
 HOUR, DAY = schemas.HOUR_MS, schemas.DAY_MS
@@ -404,3 +404,63 @@ def test_write_silver_equals_both_plans(spark, tmp_path):
     plans, tables = silver.bronze_to_silver(frame, 1), silver.write_silver(frame, str(tmp_path), 1)
     for a, b in zip(plans, tables):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect())) and a.count() > 0
+
+
+def capped_replay(rows, cap):
+    """The memory as a queue, row by row."""
+    memory, kept = [], []
+    for key, at in rows:
+        if key not in memory:
+            kept.append((key, at))
+            memory = [*memory, key][-cap:]
+    return kept
+
+
+@pytest.mark.parametrize("cap,few", [(5, 1000), (3, 4), (200_000, 1000)])
+def test_capped_memory_equals_replay(spark, monkeypatch, cap, few):
+    monkeypatch.setattr(watermark, "FEW", few)
+    rng = random.Random(cap)
+    rows = [(rng.choice([None, *"abcdefghijklmnop"][: rng.choice((3, 9, 17))]), i * 3) for i in range(200 if few > 10 else 40)]
+    frame = spark.createDataFrame(rows[::-1], "event_id string, arrival_seq long")
+    got = watermark.accepted_within_cap(frame, cap=cap).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, capped_replay(rows, cap)))
+    assert watermark.accepted_within_cap(frame.limit(0), cap=cap).count() == 0
+
+
+def watermark_replay(rows, config, partitions):
+    """rows: (partition, event time, arrival time) in order."""
+    top, came, best, out = {}, dict.fromkeys(partitions, rows[0][2]), None, []
+    for p, ts, now in rows:
+        top[p], came[p] = max(top.get(p, ts), ts), now
+        active = [q for q in partitions if now - came[q] < config.idle_ms]
+        if all(q in top for q in active):
+            low = min(top[q] for q in active)
+            best = low if best is None else max(best, low)
+        out.append(None if best is None else best - config.allowed_ms)
+    return out
+
+
+@pytest.mark.parametrize("buckets", [1, 5, 2048])
+def test_partition_watermark_equals_replay(spark, buckets):
+    rng = random.Random(buckets)
+    config = watermark.WatermarkConfig(allowed_ms=700, idle_ms=40, buckets=buckets)
+    rows, now = [], 1000
+    for i in range(400):
+        now += rng.choice((0, 1, 3, 9))
+        p = rng.choice([0, 1, None] if 120 < i < 200 or i < 30 else [0, 1, 2, None])
+        rows.append((p, rng.randrange(10_000) + 20 * i, now))
+    frame = spark.createDataFrame([(f"e{i:04}", p, ts, now, i) for i, (p, ts, now) in enumerate(rows)][::-1], "event_id string, kafka_partition int, timestamp_ms long, ingestion_timestamp_ms long, arrival_seq long")
+    got = watermark.partition_watermark(frame, config=config).orderBy("arrival_seq").collect()
+    want = watermark_replay(rows, config, [None, 0, 1, 2])
+    assert [r.watermark_ms for r in got] == want and want[0] is None and want[-1] is not None
+    assert watermark.partition_watermark(frame.limit(0), config=config).count() == 0
+
+
+def test_ranges_stay_even_whatever_the_values(spark):
+    """Outliers at 0 and at 9,999,999,999,999 leave the rest in ranges of under 1 % of the rows."""
+    rows = spark.range(100_000).select((F.lit(1_700_000_000_000) + F.col("id")).alias("at")).unionByName(spark.createDataFrame([(0,), (9_999_999_999_999,), (None,)], "at long"))
+    sizes = [r["count"] for r in rows.withColumn("r", ranges.range_of(rows, "at")).groupBy("r").count().collect()]
+    assert max(sizes) < 1_000 and len(sizes) > 1_000
+    total = ranges.running(rows.filter("at IS NOT NULL"), {"n": ("sum", F.lit(1)), "top": ("max", F.col("at"))}, "at")
+    worst = total.agg(F.max("n").alias("n"), F.count_if(F.col("top") != F.col("at")).alias("wrong"), F.countDistinct("n").alias("distinct")).first()
+    assert (worst.n, worst.wrong, worst.distinct) == (100_002, 0, 100_002)

@@ -13,12 +13,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import impute
 from ..schemas import FEATURES
 from .labels import class_weight
+from .ranges import running
 from .serving import DECISION, assign
 
 ENRICHMENT = ("avg_delivery_delay_days", "avg_review_score", "avg_payment_installments")
@@ -75,19 +76,14 @@ def binary_metrics(scored: DataFrame, label: str = "label") -> DataFrame:
 
 
 def auc(scored: DataFrame, label: str = "label", buckets: int = 1024) -> DataFrame:
-    """One row, ``auc``: the share of (positive, negative) pairs that the score in [0, 1] puts in order, ties as a half.
+    """One row, ``auc``: the share of (positive, negative) pairs that the score puts in order, ties as a half.
 
-    Exact. Negatives below a score are those in lower buckets of the score, from ``buckets`` sums, and
-    those below it in its own bucket. Null without both classes.
+    Exact. The negatives up to a score are a running sum over the distinct scores, in ``buckets`` ranges of about as
+    many of them, however they bunch. Null without both classes.
     """
     counts = scored.groupBy("score").agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    counts = counts.withColumn("bucket", F.floor(F.col("score") * buckets))
-    sums = counts.groupBy("bucket").agg(F.sum("neg").alias("bucket_neg"))
-    lower = F.coalesce(F.sum("bucket_neg").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("lower", lower).drop("bucket_neg")  # at most one row for each bucket
-    within = F.coalesce(F.sum("neg").over(Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ordered = counts.withColumn("within", within).join(F.broadcast(sums), "bucket")
-    pairs = F.sum(F.col("pos") * (F.col("lower") + F.col("within") + F.col("neg") / 2))
+    ordered = running(counts, {"upto": ("sum", F.col("neg"))}, "score", ranges=buckets)
+    pairs = F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2))
     return ordered.agg((pairs / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("auc"))
 
 

@@ -70,29 +70,28 @@ def counter_rate(samples: DataFrame, by: list[str], range_ms: int, step_ms: int,
     return found.select(*by, "at_ms", "samples", "increase", F.when(F.col("samples") > 1, rate).alias("per_second"))
 
 
-def bucket_quantile(q: float, buckets: Column) -> Column:
-    """The ``q`` quantile of an array of (le, n), n at or below each bound, interpolated within its bucket.
+def bucket_quantile(q: float, buckets: Column, total: Column) -> Column:
+    """The ``q`` quantile of a sorted array of (le, n), n at or below each bound and ``total`` the largest n, interpolated within its bucket.
 
     The lowest bucket begins at 0, or is its own bound where that is not positive. In the infinite bucket the quantile is the
     highest finite bound. Counts that fall, as rates may by rounding, count as the largest before them. Null without an infinite bucket, without
-    a finite one, or if nothing was counted; minus infinity for q below 0, infinity above 1.
+    a finite one, or if nothing was counted; minus infinity for q below 0, infinity above 1. One fold over the buckets.
     """
     if q < 0 or q > 1:
         return F.lit(float("-inf") if q < 0 else float("inf"))
-    ordered = F.array_sort(buckets)
-    bounds = F.transform(ordered, lambda b: b["le"].cast("double"))
-    counts = F.transform(ordered, lambda b, i: F.array_max(F.transform(F.slice(ordered, 1, i + 1), lambda x: x["n"].cast("double"))))
-    size = F.size(ordered)
-    total = F.element_at(counts, -1)
     rank = F.lit(q) * total
-    at = F.least(F.size(F.filter(counts, lambda n: n < rank)) + 1, size)  # of the first bucket that reaches the rank
-    low = F.when(at > 1, F.element_at(bounds, F.greatest(at - 1, F.lit(1)))).otherwise(F.lit(0.0))
-    below = F.when(at > 1, F.element_at(counts, F.greatest(at - 1, F.lit(1)))).otherwise(F.lit(0.0))
-    high, own = F.element_at(bounds, at), F.element_at(counts, at) - below
-    inside = low + (high - low) * ((rank - below) / F.nullif(own, F.lit(0.0)))
-    found = F.when(at == size, F.element_at(bounds, F.greatest(size - 1, F.lit(1)))).when((at == 1) & (high <= 0), high).otherwise(F.coalesce(inside, low))
-    sound = (size > 1) & (F.element_at(bounds, -1) == float("inf")) & (total > 0)
-    return F.when(sound, found)
+
+    def step(acc: Column, b: Column) -> Column:
+        n = F.greatest(acc["n"], b["n"])
+        low = F.when(acc["i"] == 0, F.lit(0.0)).otherwise(acc["le"])
+        inside = low + (b["le"] - low) * ((rank - acc["n"]) / F.nullif(n - acc["n"], F.lit(0.0)))
+        here = F.when(b["le"] == float("inf"), acc["le"]).when((acc["i"] == 0) & (b["le"] <= 0), b["le"]).otherwise(F.coalesce(inside, low))
+        value = F.when(acc["value"].isNotNull(), acc["value"]).when(n >= rank, here)
+        return F.struct(b["le"].alias("le"), n.alias("n"), value.alias("value"), (acc["i"] + 1).alias("i"))
+
+    start = F.struct(F.lit(0.0).alias("le"), F.lit(0.0).alias("n"), F.lit(None).cast("double").alias("value"), F.lit(0).alias("i"))
+    found = F.aggregate(buckets, start, step, lambda acc: F.when((acc["i"] > 1) & (acc["le"] == float("inf")), acc["value"]))
+    return F.when(total > 0, found)
 
 
 def quantiles_over_ranges(samples: DataFrame, by: list[str], range_ms: int, step_ms: int, points: tuple[float, ...] = (0.5, 0.95, 0.99), le: str = "le", **columns: str) -> DataFrame:
@@ -102,5 +101,6 @@ def quantiles_over_ranges(samples: DataFrame, by: list[str], range_ms: int, step
     """
     bounded = samples.withColumn("_le", F.coalesce(F.col(le).cast("double"), F.lit(float("inf"))))
     rates = counter_rate(bounded, [*by, "_le"], range_ms, step_ms, **columns).filter("per_second IS NOT NULL")
-    grouped = rates.groupBy(*by, "at_ms").agg(F.collect_list(F.struct(F.col("_le").alias("le"), F.col("per_second").alias("n"))).alias("_buckets"))  # a row for each bound
-    return grouped.select(*by, "at_ms", *(bucket_quantile(p, F.col("_buckets")).alias(f"p{100 * p:g}".replace(".", "_")) for p in points))
+    buckets = F.array_sort(F.collect_list(F.struct(F.col("_le").alias("le"), F.col("per_second").alias("n"))))  # a row for each bound
+    grouped = rates.groupBy(*by, "at_ms").agg(buckets.alias("_buckets"), F.max("per_second").alias("_total"))
+    return grouped.select(*by, "at_ms", *(bucket_quantile(p, F.col("_buckets"), F.col("_total")).alias(f"p{100 * p:g}".replace(".", "_")) for p in points))

@@ -3,41 +3,74 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import settled
+from .ranges import RANGES, range_of, running, running_in
 
 MINUTE_MS = 60_000
+#: Rows of a key that are looked at together; keys of more are followed row by row over all tasks.
+FEW = 1000
+#: Partitions of a source at most, of which each is two columns.
+PARTITIONS = 1024
 
 
 @dataclass(frozen=True)
 class WatermarkConfig:
     allowed_ms: int = 5 * MINUTE_MS
     max_late_ms: int = 35 * 24 * 60 * MINUTE_MS
-    idle_ms: int = 30_000  # for sources with several inputs; a single watermark has no idle input
-    buckets: int = 2048  # into which the arrival order is cut
+    idle_ms: int = 30_000  # of a source's partition, for ``partition_watermark``
+    buckets: int = RANGES  # into which the arrival order is cut
 
 
-def running_max(events: DataFrame, value: str = "timestamp_ms", arrival: str = "arrival_seq", tie: tuple[str, ...] = ("event_id",), buckets: int = 2048, start: int | None = None) -> DataFrame:
+def running_max(events: DataFrame, value: str = "timestamp_ms", arrival: str = "arrival_seq", tie: tuple[str, ...] = ("event_id",), buckets: int = RANGES, start: int | None = None) -> DataFrame:
     """``events`` with ``running_max``: the largest value among the rows up to this one, in order of arrival.
 
-    A window over the whole table would be one task. The arrival order is cut into equal
-    ranges; the maxima of the ranges (``buckets`` rows at most) are accumulated and broadcast; the
-    rest is a window within each range. ``start`` is a maximum from before.
+    A window over the whole table would be one task: see ``ranges.running``. Where the value is itself the order, the
+    running maximum is the value. ``start`` is a maximum from before.
     """
-    bounds = events.agg(F.min(arrival).alias("lo"), F.max(arrival).alias("hi"))
-    placed = events.crossJoin(F.broadcast(bounds))  # one row
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(buckets)))
-    placed = placed.withColumn("_bucket", F.floor((F.col(arrival) - F.col("lo")) / width)).drop("lo", "hi")
-    tops = placed.groupBy("_bucket").agg(F.max(value).alias("_top"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("_bucket", F.max("_top").over(earlier).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy(arrival, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    joined = placed.join(F.broadcast(tops), "_bucket", "left")  # at most ``buckets`` rows
-    best = F.greatest(F.max(value).over(inside), F.col("_before"), F.lit(start).cast("long"))
-    return joined.withColumn("running_max", best).drop("_bucket", "_before")
+    before = F.lit(start).cast("long")
+    if value == arrival:
+        return events.withColumn("running_max", F.greatest(F.col(value), before))
+    found = running(events, {"running_max": ("max", F.col(value))}, arrival, tie, buckets)
+    return found.withColumn("running_max", F.greatest("running_max", before))
+
+
+def partition_watermark(
+    events: DataFrame, partition: str = "kafka_partition", arrival: str = "arrival_seq", arrived_ms: str = "ingestion_timestamp_ms",
+    config: WatermarkConfig = WatermarkConfig(), tie: tuple[str, ...] = ("event_id",), partitions: list | None = None, value: str = "timestamp_ms",
+) -> DataFrame:  # fmt: skip  # noqa: B008
+    """``events`` with ``watermark_ms``: the least, over the partitions that are not idle, of their running maxima, less ``allowed_ms``.
+
+    The maximum of a partition is over its rows up to this one, which counts. A partition is idle at a row if its last row came
+    ``idle_ms`` or more before; it then holds nothing back until it sends again. One that has sent nothing yet counts from the
+    first arrival of all, and until it is idle there is no watermark (null). A watermark never falls. Rows of a null
+    partition are one partition; rows without an arrival time hold back and release nothing.
+
+    ``partitions`` are found in ``events`` where not given, at most ``PARTITIONS``: each is two columns of one running
+    aggregation. The watermark itself is a second one.
+    """
+    if partitions is None:
+        found = events.select(partition).distinct().limit(PARTITIONS + 1).collect()
+        partitions = sorted((r[0] for r in found), key=lambda p: (p is not None, p))
+    if len(partitions) > PARTITIONS:
+        raise ValueError(f"more than {PARTITIONS} partitions")
+    first = events.agg(F.min(arrived_ms)).first()[0]
+    own = lambda p, x: F.when(F.col(partition).eqNullSafe(F.lit(p)), F.col(x))
+    measures = {}
+    for i, p in enumerate(partitions):
+        measures |= {f"_top{i}": ("max", own(p, value)), f"_came{i}": ("max", own(p, arrived_ms))}
+    marked = running(events, measures, arrival, tie, config.buckets) if measures else events
+    active = [F.col(arrived_ms) - F.coalesce(F.col(f"_came{i}"), F.lit(first)) < config.idle_ms for i in range(len(partitions))]
+    waits = reduce(Column.__or__, [a & F.col(f"_top{i}").isNull() for i, a in enumerate(active)], F.lit(False))
+    tops = [F.when(a, F.col(f"_top{i}")) for i, a in enumerate(active)]
+    least = F.array_min(F.array(*tops)) if tops else F.lit(None).cast("long")
+    marked = marked.withColumn("_least", F.when(~F.coalesce(waits, F.lit(True)), least)).drop(*measures)
+    found = running(marked, {"watermark_ms": ("max", F.col("_least"))}, arrival, tie, config.buckets)
+    return found.withColumn("watermark_ms", F.col("watermark_ms") - config.allowed_ms).drop("_least")
 
 
 def classification(ts: Column, running: Column, config: WatermarkConfig) -> Column:
@@ -111,3 +144,46 @@ def accepted_within_ttl(events: DataFrame, key: str = "event_id", ts: str = "tim
         further = jumps.select("_k", F.col("_t").alias("_next"), F.col("_next").alias("_after"))
         jumps = settled(jumps.join(further, ["_k", "_next"]).select("_k", "_t", F.col("_after").alias("_next")), "ttl-jumps")
     return rows.join(marked, ["_k", "_t"]).select(F.col(f"_row.{key}").alias(key), F.col("_t").alias(ts), F.col(f"_row.{seq}").alias(seq))
+
+
+def _chains(clocked: DataFrame, least: int) -> DataFrame:
+    """(_key, _place) of the rows that are ``least`` after the last one taken of their key; keys of at most ``FEW`` rows."""
+    own = clocked.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_clock", "_place"))).alias("_rows"))
+    take = lambda taken, x: F.when(x["_clock"] - F.element_at(taken, -1)["_clock"] >= least, F.concat(taken, F.array(x))).otherwise(taken)
+    kept = F.aggregate(F.slice("_rows", 2, FEW), F.slice("_rows", 1, 1), take)
+    return own.select("_key", F.explode(kept).alias("_row")).select("_key", "_row._place")
+
+
+def accepted_within_cap(events: DataFrame, key: str = "event_id", arrival: str = "arrival_seq", cap: int = 200_000, tie: tuple[str, ...] = ()) -> DataFrame:
+    """(key, arrival) of the rows that a memory of the ``cap`` last accepted keys lets through, in order of arrival.
+
+    A row is accepted if its key is not in the memory; the key then enters it, and beyond ``cap`` the one that entered first leaves.
+    A repeated row does not move its key up. So a key's next accepted row is its first that comes after ``cap`` further
+    acceptances: deduplication with a time limit, whose clock is the number of rows accepted so far. The clock is found by
+    rounds: each takes the last round's acceptances as the clock, beginning with the keys' first rows. A round is right up
+    to the first row where the last one was wrong and beyond it, so the rounds end, at the one answer; where copies follow
+    their originals within the cap or far beyond it, after two or three. ``arrival`` and ``tie`` must tell a key's rows apart.
+    Rows without an arrival are left out; a null key is a key.
+    """
+    if cap < 1:
+        raise ValueError("cap must be positive")
+    key_ = F.coalesce(F.concat(F.lit("1"), F.col(key).cast("string")), F.lit("0")).alias("_key")
+    rows = events.filter(F.col(arrival).isNotNull()).select(key_, F.col(key).alias("_id"), F.struct(arrival, *(t for t in tie if t != arrival)).alias("_place"), F.col(arrival).alias("_at"))
+    firsts = settled(rows.groupBy("_key").agg(F.min("_place").alias("_place"), F.count("*").alias("_n")), "cap-firsts")
+    often = firsts.filter(F.col("_n") > FEW).count() > 0
+    ordered = settled(rows.withColumn("_range", range_of(rows, "_at")).join(firsts.select("_key", "_n"), "_key"), "cap-rows")
+    accepted = firsts.select("_key", "_place")
+    while True:
+        flagged = ordered.join(accepted.withColumn("_in", F.lit(1).cast("long")), ["_key", "_place"], "left")
+        clocked = running_in(flagged, {"_upto": ("sum", F.col("_in"))}, "_range", ("_place", "_key"))
+        # The rows accepted before this one.
+        clocked = clocked.select("_key", "_n", "_place", (F.col("_upto") - F.coalesce("_in", F.lit(0))).alias("_clock"))
+        clocked = settled(clocked, "cap-clock") if often else clocked
+        found = _chains(clocked.filter(F.col("_n") <= FEW), cap + 1)
+        if often:
+            found = found.unionByName(accepted_within_ttl(clocked.filter(F.col("_n") > FEW), "_key", "_clock", "_place", cap + 1).select("_key", "_place"))
+        found = settled(found, "cap-accepted")
+        if found.count() == accepted.count() and found.join(accepted, ["_key", "_place"], "left_anti").isEmpty():
+            break
+        accepted = found
+    return ordered.join(found, ["_key", "_place"], "left_semi").select(F.col("_id").alias(key), F.col("_at").alias(arrival))

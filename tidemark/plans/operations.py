@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import monitoring
+from ..operators import monitoring, watermark
 from ..schemas import EVENT, to_avro_json
 from ..sources import registry
 from ..sources.tables import TableIO, scratch
-from .adapters import BRONZE_SQL, bronze, table
+from .adapters import BRONZE_SQL, DUPLICATED_SQL, bronze, table
 from .registry import query
 
 MINUTE = 60_000
@@ -133,3 +133,34 @@ def framed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = sent[0].unionByName(sent[1]).select(offset.alias("kafka_offset"), damaged.alias("value"))
     found = registry.unframed(messages, schemas.schemas(spark), new)
     return found.select("kafka_offset", F.col("schema_id").cast("int").alias("schema_id"), F.split("error", ":")[0].alias("error"), F.col("value").isNotNull().alias("kept"), *_FIELDS)
+
+
+# Watermarks of partitioned sources, and a memory of bounded size
+
+_IDLE = watermark.WatermarkConfig(allowed_ms=300_000, idle_ms=30_000)
+#: A row arrives each second; partition 3 sends nothing for 500 of every 2,000.
+_ACTIVE = [f"(arrived - coalesce(a{p}, (SELECT min(arrived) FROM stalled)) < {_IDLE.idle_ms})" for p in range(4)]
+
+
+@query(f"""WITH {BRONZE_SQL}, stalled AS (SELECT *, arrival_seq * 1000 AS arrived FROM bronze WHERE NOT (kafka_partition = 3 AND arrival_seq // 500 % 4 = 1)),
+m AS (SELECT *, {", ".join(f"max(CASE WHEN kafka_partition = {p} THEN timestamp_ms END) OVER w AS t{p}, max(CASE WHEN kafka_partition = {p} THEN arrived END) OVER w AS a{p}" for p in range(4))} FROM stalled WINDOW w AS (ORDER BY arrival_seq, event_id ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT *, CASE WHEN NOT ({" OR ".join(f"{a} AND t{p} IS NULL" for p, a in enumerate(_ACTIVE))}) THEN least({", ".join(f"CASE WHEN {a} THEN t{p} END" for p, a in enumerate(_ACTIVE))}) END AS low FROM m)
+SELECT event_id, kafka_partition, max(low) OVER (ORDER BY arrival_seq, event_id ROWS UNBOUNDED PRECEDING) - {_IDLE.allowed_ms} AS watermark_ms FROM l""")
+def watermark_idle_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The watermark of a source of four partitions, one of which stalls: it holds the others back for 30 seconds only."""
+    events = bronze(spark, sf_dir).withColumn("ingestion_timestamp_ms", F.col("arrival_seq") * 1000)
+    stalled = events.filter(~((F.col("kafka_partition") == 3) & (F.floor(F.col("arrival_seq") / 500) % 4 == 1)))
+    return watermark.partition_watermark(stalled, config=_IDLE).select("event_id", "kafka_partition", "watermark_ms")
+
+
+_CAP = 53
+
+
+@query(f"""WITH RECURSIVE {DUPLICATED_SQL}, t AS MATERIALIZED (SELECT event_id, arrival_seq, row_number() OVER (ORDER BY arrival_seq, event_id) AS n FROM arrived),
+r AS (SELECT n, event_id, arrival_seq, true AS ok, [event_id] AS seen FROM t WHERE n = 1
+UNION ALL SELECT t.n, t.event_id, t.arrival_seq, NOT list_contains(seen, t.event_id), CASE WHEN list_contains(seen, t.event_id) THEN seen ELSE list_append(seen, t.event_id)[-{_CAP}:] END
+FROM r JOIN t ON t.n = r.n + 1)
+SELECT event_id, arrival_seq FROM r WHERE ok""")
+def dedup_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events let through by a memory of the 53 ids accepted last: some copies come back after their id has left it."""
+    return watermark.accepted_within_cap(bronze(spark, sf_dir, duplicates=True), cap=_CAP, tie=("event_id",))
