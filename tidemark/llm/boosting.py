@@ -24,28 +24,30 @@ class Tree:
         return self.value[node - (2**self.depth - 1)]
 
 
-def _grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, ridge: float, bins: list[np.ndarray]) -> Tree:
+def _grow(slots: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, ridge: float, bins: list[np.ndarray]) -> Tree:
+    """``slots``: for each feature and row the number of cuts below the value."""
     inner = 2**depth - 1
     feature, threshold = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
-    node = np.zeros(len(x), dtype=np.int64)
+    node = np.zeros(len(grad), dtype=np.int64)
     for level in range(depth):
-        for at in range(2**level - 1, 2 ** (level + 1) - 1):
-            rows = np.flatnonzero(node == at)
-            best = 1e-6
-            if len(rows) >= 8:
-                g, h = grad[rows], hess[rows]
-                whole = g.sum() ** 2 / (h.sum() + ridge)
-                for f, cuts in enumerate(bins):
-                    if not len(cuts):
-                        continue
-                    slot = np.searchsorted(cuts, x[rows, f], side="left")
-                    left_g = np.cumsum(np.bincount(slot, g, len(cuts) + 1))[:-1]
-                    left_h = np.cumsum(np.bincount(slot, h, len(cuts) + 1))[:-1]
-                    gain = left_g**2 / (left_h + ridge) + (g.sum() - left_g) ** 2 / (h.sum() - left_h + ridge) - whole
-                    k = int(gain.argmax())
-                    if gain[k] > best:
-                        best, feature[at], threshold[at] = gain[k], f, cuts[k]
-            node[rows] = 2 * at + 1 + (x[rows, feature[at]] > threshold[at])
+        first, n = 2**level - 1, 2**level
+        own = node - first
+        sums = [np.bincount(own, w, n) for w in (grad, hess)]
+        best, after = np.full(n, 1e-6), np.full(n, np.iinfo(np.int64).max)
+        enough = np.bincount(own, minlength=n) >= 8
+        for f, cuts in enumerate(bins):
+            if not len(cuts):
+                continue
+            key, wide = own * (len(cuts) + 1) + slots[f], n * (len(cuts) + 1)
+            left_g, left_h = (np.cumsum(np.bincount(key, w, wide).reshape(n, -1), axis=1)[:, :-1] for w in (grad, hess))
+            g, h = (x[:, None] for x in sums)
+            gain = left_g**2 / (left_h + ridge) + (g - left_g) ** 2 / (h - left_h + ridge) - g**2 / (h + ridge)
+            k = gain.argmax(axis=1)
+            better = enough & (gain[np.arange(n), k] > best)
+            at = np.flatnonzero(better)
+            best[at], after[at] = gain[at, k[at]], k[at]
+            feature[first + at], threshold[first + at] = f, cuts[k[at]]
+        node = 2 * node + 1 + (slots[feature[node], np.arange(len(node))] > after[own])
     leaf = node - inner
     g, h = np.bincount(leaf, grad, inner + 1), np.bincount(leaf, hess, inner + 1)
     return Tree(feature, threshold, g / (h + ridge), depth)
@@ -60,12 +62,13 @@ class BoostedTrees:
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, n_trees: int = 60, depth: int = 3, rate: float = 0.2, ridge: float = 1.0) -> BoostedTrees:
         bins = [u[:-1] + np.diff(u) / 2 if len(u := np.unique(x[:, f])) <= 32 else np.unique(np.quantile(x[:, f], np.linspace(0.03, 0.97, 32))) for f in range(x.shape[1])]
+        slots = np.stack([np.searchsorted(cuts, x[:, f], side="left") for f, cuts in enumerate(bins)])
         mean = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         model = cls(float(np.log(mean / (1 - mean))), rate, [])
         margin = np.full(len(y), model.base)
         for _ in range(n_trees):
             p = 1 / (1 + np.exp(-margin))
-            tree = _grow(x, y - p, p * (1 - p), depth, ridge, bins)
+            tree = _grow(slots, y - p, p * (1 - p), depth, ridge, bins)
             model.trees.append(tree)
             margin += rate * tree.predict(x)
         return model
