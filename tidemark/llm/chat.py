@@ -36,6 +36,8 @@ LEAST_CHARS = 8
 SEGMENT = 256  # messages in a row of the result
 
 _MARKS = r"^([ \t]*>)+"
+#: In a text that has any quoted line.
+_QUOTED = r"(^|\n)[ \t]*>"
 
 
 def _normal(body: Column) -> Column:
@@ -135,6 +137,12 @@ def ordered_messages(messages: DataFrame) -> DataFrame:
         F.count_if(F.col("level") > 0).alias("n_quoted"),
         F.max("level").cast("int").alias("max_level"),
     )
+    if not distinct.filter(F.col("text").rlike(_QUOTED)).limit(1).count():  # then nothing answers anything
+        nothing = F.lit(None).cast("long")
+        return _with_position(texts.select(
+            F.col("conv_id").alias("conversation"), "conv_id", "turn", "role", "message_md5", "own_text", F.col("n_quoted").cast("long").alias("n_quoted"), "max_level",
+            F.lit(0).cast("long").alias("n_linked"), nothing.alias("reply_conv"), nothing.alias("reply_turn"), F.col("turn").alias("thread_turn"), F.lit(0).cast("long").alias("depth"),
+        ))
     found = written(replies(distinct), "replies")
     inside = F.col("reply_conv") == F.col("conv_id")
     turns = found.groupBy("conv_id", "turn").agg(F.min(F.when(inside, F.col("reply_turn"))).alias("up"), F.min(F.when(F.col("reply_conv") < F.col("conv_id"), F.struct("reply_conv", "reply_turn"))).alias("other"))

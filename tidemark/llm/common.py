@@ -88,6 +88,9 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
         counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     least = max(FREQUENT, -(-left.count() // FREQUENT))
     frequent = written(counts.filter(F.col("_n") >= least).select(key, F.lit(True).alias("_frequent")), "frequent")
+    if not frequent.count():
+        forget(frequent)
+        return left.join(right, key, how)
     marked = left.join(F.broadcast(frequent), key, "left")  # at most FREQUENT rows
     theirs = right.join(F.broadcast(frequent), key, "left")
     some = marked.filter("_frequent").drop("_frequent").join(F.broadcast(theirs.filter("_frequent").drop("_frequent")), key, how)

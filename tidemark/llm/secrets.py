@@ -35,6 +35,7 @@ _ANCHORED = {
     "npm": re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 }
+_PART, _TAIL = re.compile(r"[A-Za-z0-9_-]*"), re.compile(r"\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _HEX_IN = "[0-9a-f]{24}"
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -75,6 +76,22 @@ def _automaton() -> ahocorasick.Automaton:
     return automaton
 
 
+class _Tails:
+    """Whether a token's first part, the run of ``_PART`` signs that a place is in, is followed by the two others.
+
+    That depends on where the run ends alone, so each run is read once, however many hits are in it.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.end, self.sound = text, -1, False
+
+    def may_match(self, start: int) -> bool:
+        if start >= self.end:
+            self.end = _PART.match(self.text, start).end()
+            self.sound = _TAIL.match(self.text, self.end) is not None
+        return self.sound
+
+
 def find_secrets(text: str, automaton: ahocorasick.Automaton, hex_runs: bool = True) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then kind as listed.
 
@@ -90,8 +107,9 @@ def find_secrets(text: str, automaton: ahocorasick.Automaton, hex_runs: bool = T
     found = []
     for kind, starts in hits.items():
         expression, free = _ANCHORED[kind], 0
+        tails = _Tails(text) if kind == "jwt" else None
         for start in sorted(starts):
-            if start >= free and (match := expression.match(text, start)):
+            if start >= free and (tails is None or tails.may_match(start)) and (match := expression.match(text, start)):
                 free = match.end()
                 if _verifies(kind, match):
                     found.append((kind, start, free))
