@@ -22,6 +22,11 @@ def nan_to_null(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def seems_absent(text: Column) -> Column:
+    """Whether the text of a JSON value may be that of one that counts as absent: its type must tell (``json_text``)."""
+    return text.rlike(r"^(|false|-?0(\.0*)?([eE][+-]?[0-9]+)?)$")
+
+
 def json_text(value: Column) -> Column:
     """The text of a JSON value (a variant), or null where it counts as absent: null, false, the number 0, an empty text.
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators import monitoring, watermark
 from ..schemas import EVENT, to_avro_json
-from ..sources import registry
+from ..sources import feeds, registry
 from ..sources.tables import TableIO, scratch
 from .adapters import BRONZE_SQL, DUPLICATED_SQL, bronze, table
 from .registry import query
@@ -164,3 +164,21 @@ SELECT event_id, arrival_seq FROM r WHERE ok""")
 def dedup_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events let through by a memory of the 53 ids accepted last: some copies come back after their id has left it."""
     return watermark.accepted_within_cap(bronze(spark, sf_dir, duplicates=True), cap=_CAP, tie=("event_id",))
+
+
+# Uploads whose rejected rows can be found
+
+
+@query("""WITH o AS (SELECT o_orderkey AS key, row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) + 1 AS row FROM orders)
+SELECT key, row, CASE WHEN key % 13 = 0 THEN 'No order_id' WHEN key % 29 IN (1, 2) THEN 'Bad amount' ELSE 'No customer_id' END AS error FROM o WHERE key % 13 = 0 OR key % 29 IN (1, 2) OR key % 31 = 4""")
+def csv_rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as three CSV files with line breaks in quoted cells: the rejected rows and their numbers."""
+    root = scratch(spark, "upload")
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS key", "IF(o_orderkey % 13 = 0, NULL, CAST(o_orderkey AS string)) AS order_id", "IF(o_orderkey % 13 <> 0 AND o_orderkey % 29 NOT IN (1, 2) AND o_orderkey % 31 = 4, NULL, CAST(o_custkey AS string)) AS customer_id",
+        "CASE o_orderkey % 29 WHEN 1 THEN 'NaN' WHEN 2 THEN '1e30' ELSE CAST(o_totalprice AS string) END AS total", "concat('say \"hi\",\\n\\nkey=', CAST(o_orderkey AS string), IF(o_orderkey % 5 = 0, '\\n', '')) AS note",
+    )
+    for i in range(3):
+        rows.filter(F.col("key") % 3 == i).repartition(1).sortWithinPartitions("key").drop("key").write.option("header", True).option("escape", '"').csv(f"{root}/part{i}")
+    _, bad = feeds.csv_upload(spark, f"{root}/part*", MINUTE)
+    return bad.select(F.regexp_extract("payload", "key=([0-9]+)", 1).cast("long").alias("key"), "row", "error")

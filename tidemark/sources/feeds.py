@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import event_date
 from ..operators import normalize
 from ..schemas import EVENT, to_avro_json
-from . import registry
+from . import lines, registry
 
 ORDER_FILES = {
     "orders": "order_id string, customer_id string, order_status string, order_purchase_timestamp timestamp, order_approved_at timestamp, order_delivered_carrier_date timestamp, order_delivered_customer_date timestamp, order_estimated_delivery_date timestamp",
@@ -71,17 +71,21 @@ def with_ingest_metadata(events: DataFrame, now_ms: int, topic: str = "files") -
 
 
 def csv_upload(spark: SparkSession, path: str, now_ms: int) -> tuple[DataFrame, DataFrame]:
-    """Bronze rows of a CSV with a header, and its rejected rows; all columns are read as text."""
-    rows = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return normalize.split_errors(normalize.csv_rows(rows, now_ms))
+    """Bronze rows of CSV files with a header, and the rejected rows: (event_id, error, file, row, payload).
+
+    ``row`` is the row's number in its file, the header being 1. All columns are read as text.
+    """
+    rows = lines.numbered_csv(spark, path)
+    good, bad = normalize.split_errors(normalize.csv_rows(rows, now_ms, tuple(f"_{c}" for c in lines.PLACE)))
+    return good, bad.withColumnsRenamed({f"_{c}": c for c in lines.PLACE})
 
 
 def webhook_files(spark: SparkSession, path: str, source: str, now_ms: int) -> tuple[DataFrame, DataFrame]:
-    """Bronze rows of a text file with one webhook payload on each line, and the rejected ones."""
+    """Bronze rows of text files with one webhook payload on each line, and the rejected ones: (event_id, error, file, row, payload)."""
     by = {"shopify": normalize.shopify, "woocommerce": normalize.woocommerce}
     if source not in by:
         raise ValueError(f"unknown source {source!r}; expected one of {sorted(by)}")
-    return normalize.split_errors(by[source](spark.read.text(path), now_ms))
+    return normalize.split_errors(by[source](lines.numbered_lines(spark, path), now_ms, "payload", lines.PLACE))
 
 
 def order_export(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
