@@ -376,11 +376,11 @@ def test_contributions_equal_all_orders_of_features(spark):
     frame = spark.createDataFrame([(str(i), rng.random(), rng.random(), rng.random(), 0) for i in range(300)], "user_id string, a double, b double, c double, label int")
     frame = frame.withColumn("label", ((F.col("a") > 0.5) != (F.col("b") * F.col("c") > 0.3)).cast("int"))
     model = ml.train(frame, names, trees=3, depth=3)
-    trees = ml.leaves(model)
+    leaves = ml.Ensemble.of_model(model, names).leaves
 
     def value(x, known):
         total = 0.0
-        for leaf in (leaf for own in trees for leaf in own):
+        for leaf in leaves:
             total += leaf.value * np.prod([(low < x[f] <= high) if f in known else share for f, (low, high, share) in leaf.ranges.items()])
         return total
 
@@ -388,6 +388,10 @@ def test_contributions_equal_all_orders_of_features(spark):
         x = frame.filter(F.col("user_id") == r.user_id).select(*names).first()
         want = [np.mean([value(x, {*order[: order.index(f) + 1]}) - value(x, set(order[: order.index(f)])) for order in permutations(range(3))]) for f in range(3)]
         assert np.allclose(r.contributions, want) and abs(r.base + sum(r.contributions) - r.margin) < 1e-9
+    both = ml.score(model, frame).join(ml.score(ml.Ensemble.of_model(model, names), frame).withColumnRenamed("score", "own"), "user_id")
+    assert both.filter(F.abs(F.col("score") - F.col("own")) > 1e-9).count() == 0
+    plan = ml.contributions(model, frame, names)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "Exchange" not in plan.split("== Physical Plan ==")[1]
 
 
 def test_outcomes_and_tables_agree_on_ties(spark):

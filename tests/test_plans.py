@@ -5,7 +5,7 @@ import pytest
 from tidemark.plans import queries
 
 SF = "/root/testdata/sf0.001"
-MODELS = {"gbt_scores", "stream_silver", "stream_dedup", "routed_predictions", "tree_contributions"}
+MODELS = {"gbt_scores", "stream_silver", "stream_dedup"}
 
 
 def plan_of(df):

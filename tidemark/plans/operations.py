@@ -10,6 +10,7 @@ from ..operators import monitoring, watermark
 from ..schemas import EVENT, to_avro_json
 from ..sources import feeds, registry
 from ..sources.tables import TableIO, scratch
+from ..streaming import online_store, silver_stream
 from .adapters import BRONZE_SQL, DUPLICATED_SQL, bronze, table
 from .registry import query
 
@@ -182,3 +183,49 @@ def csv_rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.filter(F.col("key") % 3 == i).repartition(1).sortWithinPartitions("key").drop("key").write.option("header", True).option("escape", '"').csv(f"{root}/part{i}")
     _, bad = feeds.csv_upload(spark, f"{root}/part*", MINUTE)
     return bad.select(F.regexp_extract("payload", "key=([0-9]+)", 1).cast("long").alias("key"), "row", "error")
+
+
+# State that outlives a run
+
+
+def _in_parts(spark: SparkSession, rows: DataFrame, path: str, order: str, parts: int, run) -> None:
+    """Append the rows to ``path`` in ``parts`` parts by ``order``, calling ``run(i)`` after each: a start, and restarts."""
+    cuts = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)])).first()[0]
+    which = sum((F.when(F.col(order) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for i in range(parts):
+        rows.filter(which == i).write.mode("append").parquet(path)
+        run(i)
+
+
+@query(f"WITH {DUPLICATED_SQL} SELECT event_id, min(arrival_seq) AS arrival_seq, true AS remembered FROM arrived GROUP BY 1")
+def stream_dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed state with a time to live that outlasts the run, in three runs; what got through, and whether the state has it."""
+    root, source = scratch(spark, "ttl"), bronze(spark, sf_dir, duplicates=True).select("event_id", "arrival_seq", "timestamp_ms")
+
+    def run(_: int) -> None:
+        kept = silver_stream.dedup_ttl_stream(spark.readStream.schema(source.schema).parquet(f"{root}/in"), 30 * 24 * 60 * MINUTE)
+        with silver_stream.keyed_state(spark):
+            out = kept.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        out.awaitTermination()
+
+    _in_parts(spark, source, f"{root}/in", "arrival_seq", 3, run)
+    state = silver_stream.seen_keys(spark, f"{root}/checkpoint").select("event_id", F.col("place").cast("long").alias("place"))
+    kept = spark.read.schema(source.schema).parquet(f"{root}/out").join(state, "event_id", "left")
+    return kept.select("event_id", "arrival_seq", F.coalesce(F.col("place") == F.col("arrival_seq"), F.lit(False)).alias("remembered"))
+
+
+@query(f"""WITH {BRONZE_SQL} SELECT user_id, timestamp_ms, event_id, event_type FROM bronze QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY timestamp_ms DESC, event_id DESC) = 1""")
+def stream_online_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of each user, merged from a stream in three runs, the last batch twice."""
+    root, changes = scratch(spark, "online"), bronze(spark, sf_dir).select("user_id", "timestamp_ms", "event_id", "event_type", "arrival_seq")
+    store = online_store.OnlineStore(root, ("user_id",), "timestamp_ms", buckets=8)
+    schema = changes.drop("arrival_seq").schema
+
+    def run(i: int) -> None:
+        store.start(spark.readStream.schema(changes.schema).parquet(f"{root}/in").drop("arrival_seq")).awaitTermination()
+
+    _in_parts(spark, changes, f"{root}/in", "arrival_seq", 3, run)
+    last = spark.read.schema("batch long").parquet(f"{root}/parts").agg(F.max("batch")).first()[0]
+    cut = changes.agg(F.percentile_approx("arrival_seq", [1 / 3, 2 / 3])).first()[0][1]
+    store.merge(changes.filter(F.col("arrival_seq") >= cut).drop("arrival_seq"), last)  # the same batch again
+    return store.read(spark, schema, last)

@@ -6,6 +6,8 @@ Nothing here depends on the clock or on random numbers: times are literals, ids
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import factorial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -639,23 +641,71 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.auc(_labelled_scores(spark, sf_dir)).select(F.round("auc", 9).alias("auc"))
 
 
-@query(f"""WITH {_ENRICHED_SQL} SELECT f.user_id, CASE WHEN {_BUCKET_SQL.format(c="f.user_id")} < 0.9::DOUBLE THEN 'champion' ELSE 'challenger' END AS ab_group, true AS scored FROM f JOIN y ON f.user_id = y.user_id""")
+# Two fixed ensembles: what a registry would hold, small enough to be written out in SQL.
+_F = {f: i for i, f in enumerate(FEATURES)}
+_TREES = {
+    "champion": [
+        (_F["days_since_last_purchase"], 6.5, (_F["purchase_count_7d"], 2.5, (_F["revenue_sum_7d"], 40_000.0, (-0.05, 120), (-0.2, 60)), (-0.45, 90)), (_F["session_count_24h"], 0.5, (0.6, 210), (_F["days_since_last_purchase"], 13.5, (0.1, 30), (0.35, 20)))),
+        (_F["event_count_24h"], 1.5, (_F["purchase_count_7d"], 0.5, (0.25, 180), (0.05, 140)), (_F["purchase_count_7d"], 3.5, (-0.1, 130), (-0.3, 80))),
+    ],
+    "challenger": [(_F["days_since_last_purchase"], 4.5, (-0.3, 200), (_F["revenue_sum_7d"], 10_000.0, (0.5, 150), (0.2, 50)))],
+}
+_ENSEMBLES = {name: ml.Ensemble.of_trees(FEATURES, trees) for name, trees in _TREES.items()}
+
+
+def _condition(feature: int, low: float, high: float) -> str:
+    bounds = [f"{FEATURES[feature]} {sign} {x}" for sign, x in ((">", low), ("<=", high)) if abs(x) != float("inf")]
+    return f"CASE WHEN {' AND '.join(bounds)} THEN 1.0 ELSE 0.0 END::DOUBLE"
+
+
+def _expected_sql(leaves: list[ml.Leaf], known: frozenset[int]) -> str:
+    """What a tree is expected to say if only the features ``known`` are."""
+    return "(" + " + ".join(f"{leaf.value}::DOUBLE * " + " * ".join(_condition(f, low, high) if f in known else f"{share}::DOUBLE" for f, (low, high, share) in leaf.ranges.items()) for leaf in leaves) + ")"
+
+
+def _margin_sql(name: str) -> str:
+    return " + ".join(_expected_sql(leaves, frozenset(range(len(FEATURES)))) for leaves in map(ml.leaves_of, _TREES[name]))
+
+
+def _shapley_sql(name: str, feature: int) -> str:
+    """The definition: the mean gain of knowing the feature over all orders in which a tree's features become known."""
+    terms = ["0.0::DOUBLE"]
+    for leaves in map(ml.leaves_of, _TREES[name]):
+        own = sorted({f for leaf in leaves for f in leaf.ranges})
+        others = [f for f in own if f != feature]
+        for size in range(len(own)) if feature in own else ():
+            weight = factorial(size) * factorial(len(own) - size - 1) / factorial(len(own))
+            terms += [f"{weight}::DOUBLE * ({_expected_sql(leaves, frozenset((*s, feature)))} - {_expected_sql(leaves, frozenset(s))})" for s in combinations(others, size)]
+    return " + ".join(terms)
+
+
+_GROUP_SQL = f"""CASE WHEN {_BUCKET_SQL.format(c="f.user_id")} < 0.9::DOUBLE THEN 'champion' ELSE 'challenger' END"""
+
+
+@query(f"""WITH {_ENRICHED_SQL}, g AS (SELECT f.*, {_GROUP_SQL} AS ab_group FROM f JOIN y ON f.user_id = y.user_id),
+s AS (SELECT user_id, ab_group, 1 / (1 + exp(-2 * CASE ab_group WHEN 'champion' THEN {_margin_sql("champion")} ELSE {_margin_sql("challenger")} END)) AS score FROM g)
+SELECT user_id, ab_group, round(score, 9) AS score, score >= 0.5 AS churn_prediction FROM s""")
 def routed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's group, and whether its model gave a probability."""
-    frame = _frame(spark, sf_dir)
-    champion, challenger = ml.train(frame, trees=3, depth=2), ml.train(frame, trees=1, depth=1, seed=7)
-    return ml.predict(champion, challenger, frame).select("user_id", "ab_group", F.col("score").between(0, 1).alias("scored"))
+    """Each user's group, and the probability that its model gives."""
+    found = ml.predict(_ENSEMBLES["champion"], _ENSEMBLES["challenger"], _frame(spark, sf_dir))
+    return found.select("user_id", "ab_group", F.round("score", 9).alias("score"), "churn_prediction")
 
 
-@query(f"""WITH {_ENRICHED_SQL} SELECT f.user_id, CAST({len(FEATURES)} AS INTEGER) AS n_contributions, true AS adds_up FROM f JOIN y ON f.user_id = y.user_id""")
+_EXPLAINED_SQL = f"""{_ENRICHED_SQL}, shap AS (SELECT f.user_id, {_margin_sql("champion")} AS margin, {", ".join(f"{_shapley_sql('champion', i)} AS s{i}" for i in range(len(FEATURES)))} FROM f JOIN y ON f.user_id = y.user_id)"""
+
+
+@query(f"""WITH {_EXPLAINED_SQL} SELECT user_id, round({_ENSEMBLES["champion"].base}::DOUBLE, 9) AS base, round(margin, 9) AS margin, {", ".join(f"round(s{i}, 9) + 0.0 AS {f}" for i, f in enumerate(FEATURES))} FROM shap""")
 def tree_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's Shapley values: how many, and whether base and values add up to the margin that gives the model's score."""
-    frame = _frame(spark, sf_dir)
-    model = ml.train(frame, trees=5, depth=3)
-    found = ml.contributions(model, frame).join(ml.score(model, frame), "user_id")
-    total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
-    logistic = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("margin")))
-    return found.select("user_id", F.size("contributions").alias("n_contributions"), ((F.abs(total - F.col("margin")) < 1e-9) & (F.abs(logistic - F.col("score")) < 1e-9)).alias("adds_up"))
+    """Each user's margin and the Shapley value of each feature."""
+    found = ml.contributions(_ENSEMBLES["champion"], _frame(spark, sf_dir))
+    return found.select("user_id", F.round("base", 9).alias("base"), F.round("margin", 9).alias("margin"), *((F.round(F.col("contributions")[i], 9) + 0.0).alias(f) for i, f in enumerate(FEATURES)))
+
+
+@query(f"""WITH {_EXPLAINED_SQL} SELECT unnest([{", ".join(f"'{f}'" for f in FEATURES)}]) AS feature, unnest([{", ".join(f"round(avg(abs(s{i})), 9)" for i in range(len(FEATURES)))}]) AS mean_abs_shap FROM shap""")
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean size of each feature's Shapley value over all users."""
+    found = ml.global_importance(ml.contributions(_ENSEMBLES["champion"], _frame(spark, sf_dir)))
+    return found.select("feature", F.round("mean_abs_shap", 9).alias("mean_abs_shap"))
 
 
 # Audits

@@ -11,11 +11,12 @@ then ids are read back only as far as the lateness bound reaches, whose dates ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.scalar import event_date
 from ..operators import quality
@@ -90,30 +91,66 @@ def dedup_stream(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["event_id"]).drop("event_ts")
 
 
-def dedup_ttl_stream(events: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
-    """First event of each id since the id was last forgotten, which is ``ttl_ms`` of processing time after it came.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    A key's state is one flag with a timer. A later copy in the same or a following trigger is dropped, and
-    does not extend the time.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    schema = events.schema
+class _FirstSeen(StatefulProcessor):
+    """Lets a key's first row through and remembers its place; the memory goes ``ttl_ms`` after it was made."""
+
+    def __init__(self, order: tuple[str, ...], ttl_ms: int | None):
+        self.order, self.ttl_ms = order, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "place string", self.ttl_ms)
 
-    def first(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        if self.seen.exists():
             return
-        known = state.exists
-        for part in parts:
-            if not known and len(part):
-                known = True
-                state.update((True,))
-                state.setTimeoutDuration(ttl_ms)
-                yield part.head(1)
-
-    return events.groupBy("event_id").applyInPandasWithState(first, schema, "seen boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        first = min(rows, key=lambda r: tuple((r[c] is not None, r[c]) for c in self.order))
+        self.seen.update((str(first[self.order[0]]),))
+        yield first
+
+    def close(self) -> None:
+        pass
+
+
+def dedup_ttl_stream(events: DataFrame, ttl_ms: int | None = 3_600_000, key: str = "event_id", order: tuple[str, ...] = ("arrival_seq", "timestamp_ms")) -> DataFrame:
+    """First event of each key since the key was last forgotten, which is ``ttl_ms`` of processing time after it came (None: never).
+
+    The first is that of the least ``order`` in its trigger. A later copy, in the same or a following trigger, is
+    dropped and does not extend the time. A key's state is one value in the state store, which drops it itself when its time is over; a trigger
+    reads and writes the state of its own keys only. Start it within ``keyed_state``. ``seen_keys`` reads the state.
+    """
+    return events.groupBy(key).transformWithState(_FirstSeen(order, ttl_ms), events.schema, "append", "ProcessingTime")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within it keep their state in RocksDB, beside executors' heaps and checkpointed by changes.
+
+    Such a query also asks for another trigger after each, to let timers run, and so would never be done with the input present.
+    State with a time to live needs none, as what is over is never returned, so triggers without input are off.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def seen_keys(spark: SparkSession, checkpoint: str, key: str = "event_id") -> DataFrame:
+    """(key, place) of the keys that a deduplication with this checkpoint remembers, from the state data source."""
+    state = spark.read.format("statestore").option("stateVarName", "seen").load(checkpoint)
+    timed = "ttlExpirationMs" in state.schema["value"].dataType.fieldNames()
+    return state.select(F.col(f"key.{key}").alias(key), F.col("value.value.place" if timed else "value.place").alias("place"))
 
 
 def funnel_stream(events: DataFrame, lateness: str = "5 minutes", window: str = "1 hour") -> DataFrame:
