@@ -5,7 +5,7 @@ import pytest
 from tidemark.plans import queries
 
 SF = "/root/testdata/sf0.001"
-MODELS = {"gbt_scores", "stream_silver", "stream_dedup"}
+MODELS = {"gbt_scores", "stream_silver", "stream_dedup", "stream_dedup_ttl", "stream_online_upsert", "framed_messages"}
 
 
 def plan_of(df):

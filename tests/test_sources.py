@@ -1,5 +1,7 @@
 """Tables, feeds, the generator and the streaming path."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from tidemark import schemas
 from tidemark.operators import quality, silver, watermark
 from tidemark.plans.adapters import bronze
 from tidemark.sources import feeds, generator, tables
-from tidemark.streaming import silver_stream
+from tidemark.streaming import online_store, silver_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,33 +70,65 @@ def test_stream_equals_batch(spark, tmp_path, files):
     for i in range(files):
         part = source.filter((F.col("arrival_seq") >= cuts[i]) & (F.col("arrival_seq") < cuts[i + 1]))
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream.start(spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))).awaitTermination()
+        stream.run(spark.readStream.schema(source.schema).parquet(str(tmp_path / "in")))
     good, bad = silver.bronze_to_silver(source, 7, options)
     got = spark.read.parquet(str(tmp_path / "out/silver")).drop("batch_id")
     assert sorted(map(str, got.select(good.columns).collect())) == sorted(map(str, good.collect()))
     lost = spark.read.parquet(str(tmp_path / "out/quarantine"))
     assert sorted(r.event_id for r in lost.collect()) == sorted(r.event_id for r in bad.collect())
-    # A replayed batch writes the same again.
-    before = got.count()
-    stream.process(source.filter(F.col("arrival_seq") >= cuts[files - 1]), files - 1)
-    assert spark.read.parquet(str(tmp_path / "out/silver")).count() == before
+    # A run that died between its last write and its commit does the same again.
+    before = sorted(map(str, got.collect()))
+    for query in ("mark", "settle"):
+        done = sorted((tmp_path / f"out/checkpoint-{query}/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+        done[-1].unlink()
+        (done[-1].parent / f".{done[-1].name}.crc").unlink(missing_ok=True)
+    stream.run(spark.readStream.schema(source.schema).parquet(str(tmp_path / "in")))
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out/silver")).drop("batch_id").collect())) == before
 
 
 def _events_in(spark, path, rows):
     spark.createDataFrame(rows, "event_id string, arrival_seq long, timestamp_ms long").join(bronze(spark, SF).limit(1).drop("event_id", "arrival_seq", "timestamp_ms")).coalesce(1).write.mode("append").parquet(path)
 
 
-@pytest.mark.parametrize("share", [False, True])
-def test_a_late_copy_with_another_time_is_found(spark, tmp_path, share):
+def test_a_late_copy_with_another_time_is_found(spark, tmp_path):
     path, minute = str(tmp_path / "in"), 60_000
     options = silver.SilverOptions(watermark.WatermarkConfig(5 * minute, 50 * minute))
-    stream = silver_stream.SilverStream(str(tmp_path / "out"), 7, options, copies_share_time=share)
+    stream = silver_stream.SilverStream(str(tmp_path / "out"), 7, options)
     day = 86_400_000
     for rows in ([("dup", 1, 10 * day), ("a", 2, 10 * day + minute)], [("b", 3, 12 * day)], [("dup", 4, 12 * day)]):
         _events_in(spark, path, rows)
-        stream.start(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)).awaitTermination()
+        stream.run(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
     got = sorted(r.event_id for name in ("silver", "quarantine") for r in spark.read.schema("event_id string").parquet(str(tmp_path / "out" / name)).collect())
-    assert got == (["a", "b", "dup", "dup"] if share else ["a", "b", "dup"])
+    assert got == ["a", "b", "dup"]
+
+
+def test_keys_are_let_through_again_after_their_time(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "event_id string, arrival_seq long, timestamp_ms long")
+    for name, ttl, want in (("short", 1500, 3), ("long", 3_600_000, 2), ("never", None, 2)):
+        for part in (rows(("a", 2, 0), ("a", 1, 0), ("b", 3, 0)), rows(("a", 4, 0))):
+            part.coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+            kept = silver_stream.dedup_ttl_stream(spark.readStream.schema(part.schema).parquet(str(tmp_path / name / "in")), ttl)
+            with silver_stream.keyed_state(spark):
+                out = kept.writeStream.format("parquet").option("path", str(tmp_path / name / "out")).option("checkpointLocation", str(tmp_path / name / "c")).trigger(availableNow=True).start()
+            out.awaitTermination()
+            time.sleep(2 if ttl == 1500 else 0)
+        got = sorted((r.event_id, r.arrival_seq) for r in spark.read.parquet(str(tmp_path / name / "out")).collect())
+        assert got == ([("a", 1), ("a", 4), ("b", 3)] if want == 3 else [("a", 1), ("b", 3)]), name
+        assert {r.event_id for r in silver_stream.seen_keys(spark, str(tmp_path / name / "c")).collect()} >= {"a"}
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled", "true") == "true"
+
+
+def test_online_store_merges_each_batch_once(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "k string, ts long, v int")
+    store = online_store.OnlineStore(str(tmp_path), ("k",), "ts", buckets=3)
+    batches = [rows(("a", 1, 1), ("b", 1, 2), ("a", 3, 3)), rows(("a", 2, 4), ("c", 1, 5)), rows(), rows(("b", 9, 6), ("b", 9, 7))]
+    for i, b in enumerate(batches):
+        store.merge(b, i)
+        store.merge(b, i)  # run again
+    found = lambda i: sorted(map(tuple, store.read(spark, batches[0].schema, i).collect()))
+    assert found(0) == [("a", 3, 3), ("b", 1, 2)] and found(1) == found(2) == [("a", 3, 3), ("b", 1, 2), ("c", 1, 5)]
+    assert found(3) == [("a", 3, 3), ("b", 9, 7), ("c", 1, 5)]
+    assert found(-1) == []
 
 
 def test_messages_round_trip_without_a_queue(spark):

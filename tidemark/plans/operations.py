@@ -12,6 +12,7 @@ from ..sources import feeds, registry
 from ..sources.tables import TableIO, scratch
 from ..streaming import online_store, silver_stream
 from .adapters import BRONZE_SQL, DUPLICATED_SQL, bronze, table
+from .queries import _OUTCOME_SQL, OPTIONS, PROCESSED_MS
 from .registry import query
 
 MINUTE = 60_000
@@ -229,3 +230,15 @@ def stream_online_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = changes.agg(F.percentile_approx("arrival_seq", [1 / 3, 2 / 3])).first()[0][1]
     store.merge(changes.filter(F.col("arrival_seq") >= cut).drop("arrival_seq"), last)  # the same batch again
     return store.read(spark, schema, last)
+
+
+@query(f"""WITH {_OUTCOME_SQL} SELECT CASE WHEN outcome = 'quarantined' THEN 'quarantine' ELSE 'silver' END AS target, event_id, event_type, user_id, session_id, timestamp_ms, page_url, product_id, amount_cents, device_type, country_code, app_version,
+CASE WHEN outcome <> 'quarantined' THEN watermark_classification END AS watermark_classification FROM outcomes WHERE outcome IN ('silver', 'late', 'quarantined')""")
+def stream_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaning path as a stream, restarted after each third of the arrivals: both tables, equal to one run over all."""
+    root, source = scratch(spark, "stream"), bronze(spark, sf_dir, duplicates=True)
+    stream = silver_stream.SilverStream(root, PROCESSED_MS, OPTIONS)
+    _in_parts(spark, source, f"{root}/in", "arrival_seq", 3, lambda _: stream.run(spark.readStream.schema(source.schema).parquet(f"{root}/in")))
+    good = spark.read.parquet(f"{root}/silver").select(F.lit("silver").alias("target"), *_FIELDS, "watermark_classification")
+    bad = spark.read.parquet(f"{root}/quarantine").select(F.lit("quarantine").alias("target"), *_FIELDS, F.lit(None).cast("string").alias("watermark_classification"))
+    return good.unionByName(bad)

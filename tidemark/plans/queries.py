@@ -766,19 +766,4 @@ def synthetic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate(spark, 20_000, PROCESSED_MS)
 
 
-@query(f"""WITH {_OUTCOME_SQL} SELECT outcome AS target, count(*) AS n FROM outcomes WHERE outcome IN ('silver', 'late', 'quarantined') GROUP BY 1""")
-def stream_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The streaming path over the whole table, as one available batch, into scratch tables."""
-    from ..streaming.silver_stream import SilverStream
-
-    root = scratch(spark, "stream")
-    source = bronze(spark, sf_dir, duplicates=True)
-    source.write.parquet(f"{root}/source")
-    stream = SilverStream(root, PROCESSED_MS, OPTIONS)
-    stream.start(spark.readStream.schema(source.schema).parquet(f"{root}/source")).awaitTermination()
-    good = spark.read.parquet(f"{root}/silver").select(F.when(F.col("watermark_classification") == "late", "late").otherwise("silver").alias("target"))
-    bad = spark.read.parquet(f"{root}/quarantine").select(F.lit("quarantined").alias("target"))
-    return good.unionByName(bad).groupBy("target").agg(F.count("*").alias("n"))
-
-
 from . import operations  # noqa: E402,F401  registers its own

@@ -1,11 +1,13 @@
-"""Raw to cleaned events as a stream.
-
-Each micro-batch is classified against the running maximum that the batches before it left, which
-is kept as a one-row table for each batch id, so a replayed batch starts from the same state and
-overwrites its own output; only the state of the batch before is read. Ids are compared with all ids
-seen before, as in the batch path. ``copies_share_time`` says that copies of an event have its time;
-then ids are read back only as far as the lateness bound reaches, whose dates are partitions.
-``dedup_stream`` and ``dedup_ttl_stream`` are alternatives with keyed state.
+"""Raw to cleaned events as a stream, in two queries that follow one another.
+
+``mark`` classifies each micro-batch against the running maximum that the batches before it left, a one-row table for each
+batch id, and writes the rows that are no discards, the first of each id in the batch. ``settle`` reads these, lets the first of each id
+through by keyed state, validates, and writes the silver and quarantine tables. Discards so never enter the state.
+
+A micro-batch costs what is in it: its maximum is one row of state, its ids are looked up in the state store, and no
+table of what was seen is read. Both queries go on from their checkpoints. A batch that is run again, after a crash between
+its write and its commit, starts from the same state and overwrites its own output; what ``settle`` then reads a second time,
+its state knows.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..functions.scalar import event_date
 from ..operators import quality
 from ..operators.silver import SilverOptions, canonicalize_enums, to_silver
 from ..operators.watermark import classify, first_per_key
@@ -26,63 +28,77 @@ from ..operators.watermark import classify, first_per_key
 
 @dataclass
 class SilverStream:
-    """Reads raw events and writes the silver, quarantine, seen-id and state tables below ``root``."""
+    """Reads raw events and writes the marked, state, silver and quarantine tables below ``root``.
+
+    ``ttl_ms``: forget an id so long (of processing time) after its first copy; by default ids are kept, as in the batch path.
+    """
 
     root: str
     processed_ms: int
     options: SilverOptions = field(default_factory=SilverOptions)
-    copies_share_time: bool = False
+    ttl_ms: int | None = None
 
     def _table(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _written(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
-        """What batches wrote; they are partitions, so a filter on batch_id prunes the read."""
-        empty = spark.createDataFrame([], f"{schema}, batch_id long")
-        try:
-            return spark.read.schema(empty.schema).parquet(self._table(name))
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return empty
-            raise
-
-    def _write(self, df: DataFrame, name: str, batch_id: int, *partitions: str) -> None:
-        df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", *partitions).parquet(self._table(name))
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        spark, o = batch.sparkSession, self.options
-        batch = canonicalize_enums(batch) if o.canonicalize else batch
-        batch = batch.persist()
+    def _top_before(self, spark: SparkSession, batch_id: int) -> int | None:
+        """The maximum that the batch before left. Batch ids follow one another, and every batch leaves its state."""
+        if batch_id == 0:
+            return None
+        return spark.read.schema("max_ms long").parquet(f"{self._table('state')}/batch_id={batch_id - 1}").agg(F.max("max_ms")).first()[0]
+
+    def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self._table(name)}/batch_id={batch_id}")
+
+    def mark(self, batch: DataFrame, batch_id: int) -> None:
+        """Classify a batch, drop discards and the batch's own copies."""
+        o = self.options
+        batch = (canonicalize_enums(batch) if o.canonicalize else batch).persist()
         try:
-            # Batch ids follow one another, and every batch leaves its state.
-            start = self._written(spark, "state", "max_ms long").filter(F.col("batch_id") == batch_id - 1).agg(F.max("max_ms")).first()[0]
+            start = self._top_before(batch.sparkSession, batch_id)
             marked = classify(batch, o.watermark, o.arrival, start)
             live = first_per_key(marked.filter("watermark_classification <> 'discard'"), "event_id", o.arrival, ("timestamp_ms",))
-            seen = self._written(spark, "seen", "event_id string, seen_date string").filter(F.col("batch_id") < batch_id)
-            if self.copies_share_time and start is not None:  # copies of older events are discarded
-                seen = seen.filter(F.col("seen_date") >= event_date(F.lit(start - o.watermark.max_late_ms)))
-            seen = seen.select(F.col("event_id").alias("_id"))
-            fresh = live.join(seen, live["event_id"].eqNullSafe(seen["_id"]), "left_anti").persist()
-            bad = F.size("errors") > 0
-            if not o.validate_late:
-                bad = bad & (F.col("watermark_classification") == "on_time")
-            checked = quality.with_errors(fresh)
-            self._write(to_silver(checked.filter(~bad).drop("errors"), self.processed_ms), "silver", batch_id)
-            invalid = checked.filter(bad)
-            if "ingestion_date" in invalid.columns:
-                invalid = invalid.drop("ingestion_date")
-            self._write(quality.quarantine(invalid, self.processed_ms), "quarantine", batch_id)
-            self._write(fresh.select("event_id", event_date(F.col("timestamp_ms")).alias("seen_date")), "seen", batch_id, "seen_date")
+            self._write(live, "marked", batch_id)
             top = batch.agg(F.max("timestamp_ms").alias("max_ms")).select(F.greatest("max_ms", F.lit(start).cast("long")).alias("max_ms"))
-            self._write(top, "state", batch_id)
-            fresh.unpersist()
+            self._write(top.coalesce(1), "state", batch_id)
         finally:
             batch.unpersist()
 
-    def start(self, events: DataFrame, trigger: dict | None = None) -> StreamingQuery:
-        """Run until all present input is done, or by the given trigger, such as {"processingTime": "15 seconds"}."""
-        writer = events.writeStream.foreachBatch(self.process).option("checkpointLocation", self._table("checkpoint"))
-        return writer.trigger(**(trigger or {"availableNow": True})).start()
+    def settle(self, fresh: DataFrame, batch_id: int) -> None:
+        """Validate first copies and write them."""
+        checked = quality.with_errors(fresh).persist()
+        try:
+            bad = F.size("errors") > 0
+            if not self.options.validate_late:
+                bad = bad & (F.col("watermark_classification") == "on_time")
+            self._write(to_silver(checked.filter(~bad).drop("errors"), self.processed_ms), "silver", batch_id)
+            # The silver candidate has no ingestion date.
+            self._write(quality.quarantine(checked.filter(bad).drop("ingestion_date"), self.processed_ms), "quarantine", batch_id)
+        finally:
+            checked.unpersist()
+
+    def _settling(self, spark: SparkSession, schema: T.StructType, trigger: dict) -> StreamingQuery:
+        marked = spark.readStream.schema(schema).parquet(f"{self._table('marked')}/batch_id=*")
+        fresh = dedup_ttl_stream(marked, self.ttl_ms, order=(self.options.arrival, "timestamp_ms"))
+        with keyed_state(spark):
+            return fresh.writeStream.foreachBatch(self.settle).option("checkpointLocation", self._table("checkpoint-settle")).trigger(**trigger).start()
+
+    def start(self, events: DataFrame, trigger: dict | None = None) -> list[StreamingQuery]:
+        """Run until all present input is done, or go on by the given trigger, such as {"processingTime": "15 seconds"}.
+
+        The queries that are running; the first is done already where the input present is all.
+        """
+        spark, now = events.sparkSession, trigger or {"availableNow": True}
+        schema = T.StructType([*events.schema.fields, T.StructField("watermark_classification", T.StringType())])
+        marking = events.writeStream.foreachBatch(self.mark).option("checkpointLocation", self._table("checkpoint-mark")).trigger(**now).start()
+        if "processingTime" not in now:
+            marking.awaitTermination()
+        return [marking, self._settling(spark, schema, now)]
+
+    def run(self, events: DataFrame) -> None:
+        """All input that is there and not yet done."""
+        for query in self.start(events):
+            query.awaitTermination()
 
 
 def dedup_stream(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
