@@ -224,6 +224,15 @@ def silver_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good
 
 
+@query(f"""WITH {_OUTCOME_SQL} SELECT event_id, amount_cents, watermark_classification FROM outcomes WHERE outcome IN ('silver', 'late')""")
+def silver_from_array_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaning path on amounts as array libraries write them: fractional, and NaN where there is none."""
+    events = bronze(spark, sf_dir, duplicates=True)
+    amount = F.when(F.col("amount_cents").isNull(), F.lit(float("nan"))).otherwise(F.col("amount_cents") + F.lit(0.25))
+    good, _ = silver.bronze_to_silver(events.withColumn("amount_cents", amount), PROCESSED_MS, OPTIONS)
+    return good.select("event_id", "amount_cents", "watermark_classification")
+
+
 # Labels and splits
 
 _LABELS_SQL = f"""{BRONZE_SQL}, e AS (SELECT * FROM bronze WHERE timestamp_ms <= (SELECT max(timestamp_ms) FROM bronze) - {7 * DAY_MS})"""
@@ -569,12 +578,15 @@ def order_export_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("order_id", "customer_unique_id", F.unix_micros("order_purchase_timestamp").alias("purchase_us"), F.round("total_payment", 4).alias("total_payment"), "first_product_id")
 
 
-@query("SELECT unnest(" + str([f.name for f in EVENT]) + ") AS field, unnest(" + str(["BIGINT" if f.dataType.simpleString() == "bigint" else "VARCHAR" for f in EVENT]) + ") AS type, unnest(" + str([f.nullable for f in EVENT]).lower() + ") AS nullable")
+@query(f"""WITH {BRONZE_SQL}, c AS (SELECT {", ".join(f"count({f.name}) AS {f.name}" for f in EVENT)} FROM bronze)
+SELECT unnest({[f.name for f in EVENT]}) AS field, unnest({["BIGINT" if f.dataType.simpleString() == "bigint" else "VARCHAR" for f in EVENT]}) AS type, unnest({str([f.nullable for f in EVENT]).lower()}) AS nullable, unnest([{", ".join(f.name for f in EVENT)}]) AS present FROM c""")
 def avro_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event schema through its registered Avro form and back."""
+    """The event schema through its registered Avro form and back, and how many events have each of its fields, in its type."""
     found = from_avro_json(to_avro_json(EVENT, "UserEvent"))
     names = {"bigint": "BIGINT", "string": "VARCHAR"}
-    return spark.createDataFrame([(f.name, names[f.dataType.simpleString()], f.nullable) for f in found], "field string, type string, nullable boolean")
+    counts = bronze(spark, sf_dir).agg(*[F.count(F.col(f.name).try_cast(f.dataType)).alias(f.name) for f in found])
+    rows = [F.struct(F.lit(f.name).alias("field"), F.lit(names[f.dataType.simpleString()]).alias("type"), F.lit(f.nullable).alias("nullable"), F.col(f.name).alias("present")) for f in found]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 @query(f"""WITH {BRONZE_SQL} SELECT 'dau' AS name, count(*) AS n FROM (SELECT DISTINCT event_date, country_code, device_type FROM bronze)
@@ -763,7 +775,7 @@ def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthetic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.generator import synthetic_events as generate
 
-    return generate(spark, 20_000, PROCESSED_MS)
+    return generate(spark, table(spark, sf_dir, "events").select(F.col("event_id").alias("id")), PROCESSED_MS)
 
 
 from . import operations  # noqa: E402,F401  registers its own

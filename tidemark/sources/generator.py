@@ -15,9 +15,9 @@ def _uniform(seed: int, salt: int) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def synthetic_events(spark: SparkSession, n: int, start_ms: int, per_second: int = 1400, users: int = 10_000, seed: int = 1, partitions: int | None = None) -> DataFrame:
-    """``n`` events at an even rate; two in a hundred are 60 to 600 seconds late; a purchase has an amount."""
-    ids = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
+def synthetic_events(spark: SparkSession, n: int | DataFrame, start_ms: int, per_second: int = 1400, users: int = 10_000, seed: int = 1, partitions: int | None = None) -> DataFrame:
+    """``n`` events, or one for each ``id`` of a table, at an even rate; two in a hundred are 60 to 600 seconds late; a purchase has an amount."""
+    ids = n.select(F.col("id").cast("long").alias("id")) if isinstance(n, DataFrame) else spark.range(0, n, 1, partitions) if partitions else spark.range(n)
     total, kind, at = sum(w for _, w in MIX), F.lit(MIX[-1][0]), 0
     steps = []
     for name, weight in MIX[:-1]:
