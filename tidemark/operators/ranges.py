@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +18,12 @@ def range_of(df: DataFrame, column: str, ranges: int = RANGES) -> Column:
     the expression, which searches them by halving. Equal values are in one range; null is before all others (-1).
     """
     kind = df.schema[column].dataType.simpleString()
-    shares = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(column, shares, max(10_000, 10 * ranges)).alias("cuts")).first().cuts if shares else None
+    shares = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
+    found = df.agg(F.expr(f"percentile_approx(`{column}`, array({shares}), {max(10_000, 10 * ranges)})").alias("cuts")).first().cuts if shares else None
     cuts = sorted({c for c in found or [] if c == c})
     if not cuts:
         return F.when(F.col(column).isNull(), -1).otherwise(0)
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{kind}>")
+    bounds = F.from_json(F.lit(json.dumps(cuts)), f"array<{kind}>")  # one constant
     at = F.aggregate(
         F.array(*[F.lit(1 << j) for j in reversed(range(len(cuts).bit_length()))]),
         F.lit(0),
