@@ -589,24 +589,31 @@ def avro_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-@query(f"""WITH {BRONZE_SQL} SELECT 'dau' AS name, count(*) AS n FROM (SELECT DISTINCT event_date, country_code, device_type FROM bronze)
-UNION ALL SELECT 'revenue', count(*) FROM (SELECT DISTINCT event_date, country_code, product_id FROM bronze WHERE event_type = 'PURCHASE' AND amount_cents > 0)
-UNION ALL SELECT 'funnel', count(*) FROM (SELECT DISTINCT event_date, country_code FROM bronze) UNION ALL SELECT 'user_signals', count(DISTINCT user_id) FROM bronze""")
+# Of each table its rows, and a measure that all of its rows add to.
+_RUN_ALL = {"dau": "total_events", "revenue": "total_revenue_cents", "funnel": "total_purchases", "user_signals": "total_events_7d"}
+
+
+@query(f"""WITH {BRONZE_SQL}, paid AS (SELECT * FROM bronze WHERE event_type = 'PURCHASE' AND amount_cents > 0)
+SELECT 'dau' AS name, count(*) AS n, (SELECT count(*) FROM bronze) AS measure FROM (SELECT DISTINCT event_date, country_code, device_type FROM bronze)
+UNION ALL SELECT 'revenue', count(*), (SELECT CAST(sum(amount_cents) AS BIGINT) FROM paid) FROM (SELECT DISTINCT event_date, country_code, product_id FROM paid)
+UNION ALL SELECT 'funnel', count(*), (SELECT count(*) FROM bronze WHERE event_type = 'PURCHASE') FROM (SELECT DISTINCT event_date, country_code FROM bronze)
+UNION ALL SELECT 'user_signals', count(DISTINCT user_id), count(*) FILTER (event_date >= (SELECT strftime(CAST(max(event_date) AS DATE) - 7, '%Y-%m-%d') FROM bronze)) FROM bronze""")
 def gold_run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in gold.run_all(bronze(spark, sf_dir)).items()]
-    return reduce(DataFrame.unionByName, tables)
+    tables = gold.run_all(bronze(spark, sf_dir))
+    sums = [tables[name].agg(F.count("*").alias("n"), F.sum(measure).alias("measure")).select(F.lit(name).alias("name"), "n", "measure") for name, measure in _RUN_ALL.items()]
+    return reduce(DataFrame.unionByName, sums)
 
 
-@query(f"WITH {DUPLICATED_SQL} SELECT count(DISTINCT event_id) AS n FROM arrived")
+@query(f"WITH {DUPLICATED_SQL} SELECT DISTINCT event_id, timestamp_ms, user_id, event_type, amount_cents FROM arrived")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed-state deduplication by event time, whose state outlives every copy here."""
     from ..streaming.silver_stream import dedup_stream
 
     root, source = scratch(spark, "dedup"), bronze(spark, sf_dir, duplicates=True)
     source.write.parquet(f"{root}/in")
-    kept = dedup_stream(spark.readStream.schema(source.schema).parquet(f"{root}/in"), "60 days").select("event_id")
+    kept = dedup_stream(spark.readStream.schema(source.schema).parquet(f"{root}/in"), "60 days").select("event_id", "timestamp_ms", "user_id", "event_type", "amount_cents")
     kept.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(kept.schema).parquet(f"{root}/out").agg(F.count("*").alias("n"))
+    return spark.read.schema(kept.schema).parquet(f"{root}/out")
 
 
 # Training frames and metrics
