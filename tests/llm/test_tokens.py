@@ -81,6 +81,20 @@ def test_ranges_of_a_shard_are_read_alike_with_and_without_mapping(spark, tmp_pa
         assert mapped.doc_ids(0, row.n_docs).tolist() == ranged.doc_ids(0, row.n_docs).tolist()
         for i in range(row.n_docs):
             assert mapped.document(i).tolist() == ranged.document(i).tolist() and mapped.document(i)[-1] == 1
+        for most in (1, 4, 1 << 21):
+            monkeypatch.setattr(token_files, "READ_IDS", most)
+            parts = list(ranged.documents(ranged.offsets(0, row.n_docs + 1)))
+            assert [p.tolist() for p in parts] == [mapped.document(i).tolist() for i in range(row.n_docs)]
+            monkeypatch.undo()
+
+
+def test_what_failed_attempts_left_is_deleted(spark, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    manifest = spark.createDataFrame(token_files.write_shards(rows_of(spark), folder, VOCABULARIES["white"], "white", 1).collect(), token_files.MANIFEST)
+    (tmp_path / "t/shard-000000-dead.tok").write_bytes(b"half")
+    token_files.keep_named(manifest, folder)
+    assert sorted(str(p) for p in (tmp_path / "t").glob("*.tok")) == sorted(r.path for r in manifest.collect())
+    token_files.keep_named(manifest.limit(0), f"file://{tmp_path}/none")
 
 
 def rows_of(spark):

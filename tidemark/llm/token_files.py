@@ -30,6 +30,8 @@ from .common import id_and_text, opened, shared_path, shuffle_partitions, steps
 
 MAGIC = b"TOKSHRD1"
 FOOT = 32
+#: Ids that are read from a file at once, but for a longer document.
+READ_IDS = 1 << 21
 NULL_ID = np.iinfo(np.int64).min
 MANIFEST = "shard int, path string, n_docs long, n_ids long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -39,8 +41,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, cut: str, end_id
     """Encode ``docs`` into shards below ``folder``, ascending by doc_id; the manifest, a row for each shard.
 
     Rows are dealt by ranges of (doc_id, hash of text, place in the input), so equal ids or rows,
-    however many, are still spread. A shard is written under a name of its own attempt and renamed when whole, so a
-    lost executor leaves no half file behind the manifest.
+    however many, are still spread. Each attempt of a task writes a file of its own name, and the manifest names those of the attempts that
+    were done; so a task can run again after any loss, on stores that replace no file, too.
     """
     spark = docs.sparkSession
     kind = {2: "<u2", 4: "<u4"}[width]
@@ -49,9 +51,9 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, cut: str, end_id
         shard, encoder = TaskContext.get().partitionId(), tokens.encoder(vocabulary, cut)
         store, root = opened(folder)
         store.create_dir(root, recursive=True)
-        path, temporary = f"{root}/shard-{shard:06d}.tok", f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
+        path = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}.tok"
         lengths, doc_ids, total = [], [], 0
-        with store.open_output_stream(temporary) as out:
+        with store.open_output_stream(path) as out:
             for batch in steps(batches):
                 ids, places = encoder.encode(batch.column(1))
                 n = np.diff(places) + 1
@@ -72,9 +74,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, cut: str, end_id
             n_docs = len(n) - 1
             out.write(np.array([n_docs, total, width], dtype="<i8").tobytes() + MAGIC)
         if not n_docs:
-            store.delete_file(temporary)
+            store.delete_file(path)
             return
-        store.move(temporary, path)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [n_docs], "n_ids": pa.array([total], pa.int64())})
 
     dealt = id_and_text(docs).withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
@@ -111,6 +112,15 @@ class Shard:
     def ids(self, start: int, end: int) -> np.ndarray:
         return self._at(start * self.width, (end - start) * self.width).view(f"<u{self.width}")
 
+    def documents(self, ends: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids between each two of ``ends``, read about ``READ_IDS`` at a time."""
+        a = 0
+        while a < len(ends) - 1:
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + READ_IDS, side="right")) - 1)
+            ids = self.ids(int(ends[a]), int(ends[b]))
+            yield from np.split(ids, ends[a + 1 : b] - ends[a])
+            a = b
+
     def document(self, i: int) -> np.ndarray:
         return self.ids(*self.offsets(i, i + 2).tolist())
 
@@ -133,7 +143,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 for at in range(0, shard.n_docs, 4096):
                     upto = min(at + 4096, shard.n_docs)
                     ends = shard.offsets(at, upto + 1)
-                    sums = [zlib.crc32(shard.ids(a, b).astype("<u4")) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                    sums = [zlib.crc32(ids.astype("<u4")) for ids in shard.documents(ends)]
                     doc_ids = np.array(shard.doc_ids(at, upto))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(ends[:-1] + row["base"]), pa.array(np.diff(ends)), pa.array(sums, pa.int64())],
@@ -144,6 +154,15 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     return shards.repartitionByRange(max(1, min(len(rows), shuffle_partitions(spark))), "shard").mapInArrow(read, RESULT)
 
 
+def keep_named(manifest: DataFrame, folder: str) -> None:
+    """Delete what attempts that were not the last left in ``folder``: files that the manifest does not name."""
+    store, root = opened(folder)
+    named = {r.path.rsplit("/", 1)[1] for r in manifest.collect()}  # a row for each shard
+    for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.base_name not in named:
+            store.delete_file(info.path)
+
+
 def tokenize_to_files(docs: DataFrame, vocabulary: str, cut: str = "white", end_id: int = 1, width: int = 2) -> DataFrame:
     """Write the token files of ``docs`` to the shared folder and return what they hold.
 
@@ -152,4 +171,5 @@ def tokenize_to_files(docs: DataFrame, vocabulary: str, cut: str = "white", end_
     """
     folder = shared_path(docs.sparkSession, "token-files")
     manifest = docs.sparkSession.createDataFrame(write_shards(docs, folder, vocabulary, cut, end_id, width).collect(), MANIFEST)
+    keep_named(manifest, folder)
     return read_shards(manifest, folder)
