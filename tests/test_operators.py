@@ -278,6 +278,19 @@ def test_orders_edges(spark):
     assert rows["1"].amount_cents == 1 and rows["1"].product_id is None and rows["2"].product_id == "4"
 
 
+def test_payments_are_added_in_the_order_of_their_lines(spark):
+    at = datetime(2024, 1, 5, tzinfo=timezone.utc)
+    values, n = [0.1, 0.2, 0.3, None], 50
+    made = spark.createDataFrame([(i, 7, at, "delivered") for i in range(n)], "order_id long, customer_id long, order_purchase_timestamp timestamp, order_status string")
+    customers = spark.createDataFrame([(7, 9)], "customer_id long, customer_unique_id long")
+    items = spark.createDataFrame([(1, 1, 3)], "order_id long, order_item_id long, product_id long")
+    rows = [(i, v, line) for i in range(n) for line, v in enumerate(values)]
+    for dealt in (rows, rows[::-1], random.Random(5).sample(rows, len(rows))):
+        payments = spark.createDataFrame(dealt, "order_id long, payment_value double, line int").repartition(7)
+        got = orders.order_rollup(made, customers, payments, items, "line").collect()
+        assert len(got) == n and {r.total_payment for r in got} == {0.1 + 0.2 + 0.3}  # 0.3 + 0.2 + 0.1 is another number
+
+
 def test_split_and_labels(spark):
     frame = spark.range(1000).select("id", (F.col("id") % 10 == 0).cast("int").alias("label"))
     got = labels.stratified_split(frame, "label", "id")

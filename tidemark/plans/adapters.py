@@ -65,8 +65,8 @@ DUPLICATED_SQL = BRONZE_SQL + """, arrived AS (
   SELECT * FROM bronze UNION ALL SELECT * REPLACE (arrival_seq + 50 AS arrival_seq) FROM bronze WHERE id % 11 = 0)"""
 
 
-def order_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Orders, customers, payments, items and reviews of an order export."""
+def order_tables(spark: SparkSession, sf_dir: str, placed: bool = False) -> dict[str, DataFrame]:
+    """Orders, customers, payments, items and reviews of an order export. If ``placed``, payments have their ``line``."""
     orders, lines, customer = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
     delivered = lines.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("delivered"))
     return {
@@ -76,7 +76,7 @@ def order_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             "CAST(o_orderdate AS timestamp) + INTERVAL 30 DAYS AS order_estimated_delivery_date",
         ),
         "customers": customer.selectExpr("c_custkey AS customer_id", "c_custkey % 1000 AS customer_unique_id"),
-        "payments": lines.selectExpr("l_orderkey AS order_id", "l_extendedprice * (1 - l_discount) AS payment_value", "l_linenumber AS payment_installments"),
+        "payments": lines.selectExpr("l_orderkey AS order_id", "l_extendedprice * (1 - l_discount) AS payment_value", "l_linenumber AS payment_installments", *(["struct(_metadata.file_name, _metadata.row_index) AS line"] if placed else [])),
         "items": lines.selectExpr("l_orderkey AS order_id", "l_linenumber AS order_item_id", "l_partkey AS product_id", "l_suppkey AS seller_id"),
         "reviews": orders.selectExpr("o_orderkey AS order_id", "1 + o_orderkey % 5 AS review_score"),
     }

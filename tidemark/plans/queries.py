@@ -447,9 +447,9 @@ def drift_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Order exports
 
 
-def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = order_tables(spark, sf_dir)
-    return orders.order_rollup(t["orders"], t["customers"], t["payments"], t["items"])
+def _rollup(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    t = order_tables(spark, sf_dir, placed)
+    return orders.order_rollup(t["orders"], t["customers"], t["payments"], t["items"], "line" if placed else None)
 
 
 @query(f"WITH {ORDERS_SQL} SELECT order_id, customer_unique_id, epoch_us(order_purchase_timestamp) AS purchase_us, round(total_payment, 4) AS total_payment, first_product_id FROM rollup_")
@@ -470,7 +470,8 @@ def time_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_COMPRESS_SQL} SELECT md5('order|' || order_id) AS event_id, 'PURCHASE' AS event_type, CAST(customer_unique_id AS VARCHAR) AS user_id, CAST(order_id AS VARCHAR) AS session_id, timestamp_ms,
 CAST(NULL AS VARCHAR) AS page_url, CAST(first_product_id AS VARCHAR) AS product_id, greatest(1, CAST(round_even(total_payment * 100, 0) AS BIGINT)) AS amount_cents, 'UNKNOWN' AS device_type, 'BR' AS country_code, 'olist-1.0' AS app_version FROM compressed""")
 def replay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders.build_events(orders.compress_timestamps(_rollup(spark, sf_dir), PROCESSED_MS, 30))
+    # Amounts are rounded to cents: payments are added in the order of their lines.
+    return orders.build_events(orders.compress_timestamps(_rollup(spark, sf_dir, placed=True), PROCESSED_MS, 30))
 
 
 @query(f"""WITH {ORDERS_SQL}, o AS (SELECT o.*, customer_unique_id FROM xorders o LEFT JOIN xcustomers c ON o.customer_id = c.customer_id),
