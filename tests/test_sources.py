@@ -118,6 +118,22 @@ def test_keys_are_let_through_again_after_their_time(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled", "true") == "true"
 
 
+def test_keys_of_a_bucket_share_one_list_of_state(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "event_id string, arrival_seq long, timestamp_ms long")
+    for part in (rows(*((f"k{i % 40}", i, 0) for i in range(80)), (None, 99, 0)), rows(("k3", 1, 0), ("new", 7, 0), ("new", 6, 0), (None, 1, 0))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        kept = silver_stream.dedup_ttl_stream(spark.readStream.schema(part.schema).parquet(str(tmp_path / "in")), 3_600_000, buckets=3)
+        with silver_stream.keyed_state(spark):
+            out = kept.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        out.awaitTermination()
+    want = {(f"k{i}", i) for i in range(40)} | {(None, 99), ("new", 6)}
+    got = [(r.event_id, r.arrival_seq) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(got) == len(want) and set(got) == want
+    seen = [(r.event_id, int(r.place)) for r in silver_stream.seen_keys(spark, str(tmp_path / "c")).collect()]
+    assert len(seen) == len(want) and set(seen) == want
+    assert spark.read.format("statestore").option("stateVarName", "seen").load(str(tmp_path / "c")).select("key").distinct().count() <= 3
+
+
 def test_online_store_merges_each_batch_once(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(r, "k string, ts long, v int")
     store = online_store.OnlineStore(str(tmp_path), ("k",), "ts", buckets=3)

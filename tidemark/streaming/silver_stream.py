@@ -110,34 +110,47 @@ def dedup_stream(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Groups that keys are dealt to, each with one list in the state store. Fixed for the life of a checkpoint.
+BUCKETS = 1 << 16
+
+
 class _FirstSeen(StatefulProcessor):
-    """Lets a key's first row through and remembers its place; the memory goes ``ttl_ms`` after it was made."""
+    """Lets the first row of each key of a bucket through and remembers its place; the memory goes ``ttl_ms`` after it was made."""
 
-    def __init__(self, order: tuple[str, ...], ttl_ms: int | None):
-        self.order, self.ttl_ms = order, ttl_ms
+    def __init__(self, key: str, kind: str, order: tuple[str, ...], ttl_ms: int | None):
+        self.key, self.kind, self.order, self.ttl_ms = key, kind, order, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "place string", self.ttl_ms)
+        self.seen = handle.getListState("seen", f"id {self.kind}, place string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        if self.seen.exists():
-            return
-        first = min(rows, key=lambda r: tuple((r[c] is not None, r[c]) for c in self.order))
-        self.seen.update((str(first[self.order[0]]),))
-        yield first
+        first = {}
+        for row in rows:
+            place, id_ = [(row[c] is not None, row[c]) for c in self.order], row[self.key]
+            if id_ not in first or place < first[id_][0]:
+                first[id_] = place, row
+        for id_, _ in self.seen.get():
+            first.pop(id_, None)
+        if first:
+            self.seen.appendList([(id_, str(row[self.order[0]])) for id_, (_, row) in first.items()])
+        for _, row in first.values():
+            yield row
 
     def close(self) -> None:
         pass
 
 
-def dedup_ttl_stream(events: DataFrame, ttl_ms: int | None = 3_600_000, key: str = "event_id", order: tuple[str, ...] = ("arrival_seq", "timestamp_ms")) -> DataFrame:
+def dedup_ttl_stream(events: DataFrame, ttl_ms: int | None = 3_600_000, key: str = "event_id", order: tuple[str, ...] = ("arrival_seq", "timestamp_ms"), buckets: int = BUCKETS) -> DataFrame:
     """First event of each key since the key was last forgotten, which is ``ttl_ms`` of processing time after it came (None: never).
 
     The first is that of the least ``order`` in its trigger. A later copy, in the same or a following trigger, is
-    dropped and does not extend the time. A key's state is one value in the state store, which drops it itself when its time is over; a trigger
-    reads and writes the state of its own keys only. Start it within ``keyed_state``. ``seen_keys`` reads the state.
+    dropped and does not extend the time. Keys are dealt to ``buckets`` by hash, and a bucket's keys are a list in the state store, which drops
+    each of them itself when its time is over: calls to the store are for each bucket, not for each key. A trigger reads the lists of its own
+    keys' buckets only and appends the new keys. Start it within ``keyed_state``. ``seen_keys`` reads the state.
     """
-    return events.groupBy(key).transformWithState(_FirstSeen(order, ttl_ms), events.schema, "append", "ProcessingTime")
+    kind = events.schema[key].dataType.simpleString()
+    dealt = events.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("_bucket").transformWithState(_FirstSeen(key, kind, order, ttl_ms), dealt.schema, "append", "ProcessingTime").drop("_bucket")
 
 
 @contextmanager
@@ -165,8 +178,8 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
 def seen_keys(spark: SparkSession, checkpoint: str, key: str = "event_id") -> DataFrame:
     """(key, place) of the keys that a deduplication with this checkpoint remembers, from the state data source."""
     state = spark.read.format("statestore").option("stateVarName", "seen").load(checkpoint)
-    timed = "ttlExpirationMs" in state.schema["value"].dataType.fieldNames()
-    return state.select(F.col(f"key.{key}").alias(key), F.col("value.value.place" if timed else "value.place").alias("place"))
+    element = "list_element.value" if "ttlExpirationMs" in state.schema["list_element"].dataType.fieldNames() else "list_element"
+    return state.select(F.col(f"{element}.id").alias(key), F.col(f"{element}.place").alias("place"))
 
 
 def funnel_stream(events: DataFrame, lateness: str = "5 minutes", window: str = "1 hour") -> DataFrame:
