@@ -31,14 +31,28 @@ def counter_rate(samples: DataFrame, by: list[str], range_ms: int, step_ms: int,
     """
     if range_ms % step_ms:
         raise ValueError("the range must be a multiple of the step")
-    cells, seconds = range_ms // step_ms, 1000.0
     kept = samples.filter(F.col(ts).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    rows = kept.groupBy(*by, F.col(ts).cast("long").alias("_t")).agg(F.max(F.col(value).cast("double")).alias("_v"))
+    cells = _cells(kept, by, step_ms, ts, {"v": value})
+    long = cells.select(*by, "_cell", "_n", *(F.struct(f"{end}._t", F.col(f"{end}.v").alias("_v")).alias(end) for end in ("_first", "_last")), F.col("_grown_v").alias("_grown"))
+    return _rates(long, by, range_ms, step_ms)
+
+
+def _cells(samples: DataFrame, by: list[str], step_ms: int, ts: str, values: dict[str, str]) -> DataFrame:
+    """(by..., _cell, _first, _last, _n, _grown_<name>...) of counters (name -> column) that are sampled together.
+
+    Of the samples of a cell its first and last (_t and the counters by name), their number, and what each counter grew by between them.
+    """
+    rows = samples.groupBy(*by, F.col(ts).cast("long").alias("_t")).agg(*(F.max(F.col(c).cast("double")).alias(name) for name, c in values.items()))
     rows = rows.withColumn("_cell", F.ceil(F.col("_t") / F.lit(step_ms)))  # ends at _cell * step, included
     inside = Window.partitionBy(*by, "_cell").orderBy("_t")
-    rows = rows.withColumn("_grown", F.coalesce(increase(F.col("_v"), F.lag("_v").over(inside)), F.lit(0.0)))
-    at = lambda f, name: f(F.struct("_t", "_v")).alias(name)
-    by_cell = rows.groupBy(*by, "_cell").agg(at(F.min, "_first"), at(F.max, "_last"), F.sum("_grown").alias("_grown"), F.count("*").alias("_n"))
+    rows = rows.withColumns({f"_grown_{name}": F.coalesce(increase(F.col(name), F.lag(name).over(inside)), F.lit(0.0)) for name in values})
+    at = lambda f, name: f(F.struct("_t", *values)).alias(name)
+    return rows.groupBy(*by, "_cell").agg(at(F.min, "_first"), at(F.max, "_last"), F.count("*").alias("_n"), *(F.sum(f"_grown_{name}").alias(f"_grown_{name}") for name in values))
+
+
+def _rates(by_cell: DataFrame, by: list[str], range_ms: int, step_ms: int) -> DataFrame:
+    """``counter_rate`` from the cells of each series, which have at most one row each."""
+    cells, seconds = range_ms // step_ms, 1000.0
     spread = by_cell.withColumn("_at", F.explode(F.sequence(F.col("_cell"), F.col("_cell") + (cells - 1))))
     ranges = spread.groupBy(*by, "_at").agg(F.array_sort(F.collect_list(F.struct("_cell", "_first", "_last", "_grown", "_n"))).alias("_cells"))  # at most ``cells``
     between = F.aggregate(
@@ -100,7 +114,25 @@ def quantiles_over_ranges(samples: DataFrame, by: list[str], range_ms: int, step
     A null ``le`` is infinite. ``by`` names what tells histograms apart, without ``le``.
     """
     bounded = samples.withColumn("_le", F.coalesce(F.col(le).cast("double"), F.lit(float("inf"))))
-    rates = counter_rate(bounded, [*by, "_le"], range_ms, step_ms, **columns).filter("per_second IS NOT NULL")
+    return _quantiles(counter_rate(bounded, [*by, "_le"], range_ms, step_ms, **columns), by, points)
+
+
+def quantiles_of_histograms(samples: DataFrame, by: list[str], bounds: dict[str, float], range_ms: int, step_ms: int, points: tuple[float, ...] = (0.5, 0.95, 0.99), ts: str = "ts_ms") -> DataFrame:
+    """The same where a sample has all of its histogram's counters as columns (name -> upper bound), none of them null.
+
+    Samples stay one row each until they are brought together in cells; only cells become a row for each bound.
+    """
+    if range_ms % step_ms:
+        raise ValueError("the range must be a multiple of the step")
+    cells = _cells(samples.filter(F.col(ts).isNotNull()), by, step_ms, ts, {name: name for name in bounds})
+    of = lambda end, name: F.struct(f"{end}._t", F.col(f"{end}.{name}").alias("_v")).alias(end)
+    each = F.array(*(F.struct(F.lit(float(le)).alias("_le"), of("_first", name), of("_last", name), F.col(f"_grown_{name}").alias("_grown")) for name, le in bounds.items()))
+    long = cells.select(*by, "_cell", "_n", F.inline(each))
+    return _quantiles(_rates(long, [*by, "_le"], range_ms, step_ms), by, points)
+
+
+def _quantiles(rates: DataFrame, by: list[str], points: tuple[float, ...]) -> DataFrame:
+    rates = rates.filter("per_second IS NOT NULL")
     buckets = F.array_sort(F.collect_list(F.struct(F.col("_le").alias("le"), F.col("per_second").alias("n"))))  # a row for each bound
     grouped = rates.groupBy(*by, "at_ms").agg(buckets.alias("_buckets"), F.max("per_second").alias("_total"))
     return grouped.select(*by, "at_ms", *(bucket_quantile(p, F.col("_buckets"), F.col("_total")).alias(f"p{100 * p:g}".replace(".", "_")) for p in points))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,12 +40,15 @@ def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"ts_ms": F.floor(F.unix_micros("ts") / F.lit(60_000)), "day": F.to_date("ts")})
 
 
-def _running() -> Window:
-    return Window.partitionBy("instance", "day").orderBy("ts_ms", "event_id").rowsBetween(Window.unboundedPreceding, 0)  # an instance's day
+def _counters(spark: SparkSession, sf_dir: str, counts: dict[str, Column]) -> DataFrame:
+    """(instance, ts_ms, counters...): what was counted up to each time of an instance's day, brought together by time before it is added up."""
+    added = _served(spark, sf_dir).groupBy("instance", "day", "ts_ms").agg(*(c.alias(name) for name, c in counts.items()))
+    running = Window.partitionBy("instance", "day").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
+    return added.select("instance", "ts_ms", *(F.sum(name).over(running).alias(name) for name in counts))
 
 
 def _rate(spark: SparkSession, sf_dir: str, minutes: int) -> DataFrame:
-    samples = _served(spark, sf_dir).withColumn("value", F.count("*").over(_running()))
+    samples = _counters(spark, sf_dir, {"value": F.count("*")})
     rates = monitoring.counter_rate(samples, ["instance"], minutes * MINUTE, MINUTE).filter("per_second IS NOT NULL")
     return rates.withColumns({"increase": F.round("increase", 6), "per_second": F.round("per_second", 9)})
 
@@ -86,11 +89,9 @@ def _latency_sql(minutes: int) -> str:
 
 
 def _latency(spark: SparkSession, sf_dir: str, minutes: int) -> DataFrame:
-    served = _served(spark, sf_dir)
-    counts = [F.struct(F.lit(le).alias("le"), F.count_if(F.col("seconds") <= le).over(_running()).alias("value")) for le in _LATENCY_LE]
-    counts.append(F.struct(F.lit(None).cast("double").alias("le"), F.count("*").over(_running()).alias("value")))
-    samples = served.select("instance", "ts_ms", F.array(*counts).alias("counts")).select("instance", "ts_ms", F.inline("counts"))
-    found = monitoring.quantiles_over_ranges(samples, ["instance"], minutes * MINUTE, MINUTE)
+    bounds = {f"le{i}": le for i, le in enumerate((*_LATENCY_LE, float("inf")))}
+    samples = _counters(spark, sf_dir, {name: F.count_if(F.col("seconds") <= le) if le < float("inf") else F.count("*") for name, le in bounds.items()})
+    found = monitoring.quantiles_of_histograms(samples, ["instance"], bounds, minutes * MINUTE, MINUTE)
     return found.select("instance", "at_ms", *(F.round(p, 8).alias(p) for p in _POINTS))
 
 
