@@ -47,6 +47,19 @@ def test_increase_over_cells_equals_the_plain_sum(spark):
         assert r.samples == len(own) and r.increase == sum(b if b < a else b - a for a, b in zip(own, own[1:], strict=False))
 
 
+def test_histograms_by_column_equal_those_by_row(spark):
+    bounds = {"a": 0.1, "b": 0.5, "c": math.inf}
+    wide = spark.range(400).selectExpr("CAST(id % 2 AS int) AS s", "(id * 7919) % 600000 AS ts_ms", "id % 150 AS a", "id % 150 * 2 AS b", "id % 150 * 3 AS c")
+    rows = wide.select("s", "ts_ms", F.inline(F.array(*(F.struct(F.lit(le).alias("le"), F.col(c).alias("value")) for c, le in bounds.items()))))
+    for minutes in (1, 5):
+        plain = monitoring.quantiles_over_ranges(rows, ["s"], minutes * MINUTE, MINUTE)
+        found = monitoring.quantiles_of_histograms(wide, ["s"], bounds, minutes * MINUTE, MINUTE)
+        assert sorted(map(str, found.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    # A sample is one row until there are cells: no row for each bound is sorted or shuffled before.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 1 and plan.index("Generate inline") < plan.rindex("Window [lag(")
+
+
 def test_bucket_quantiles(spark):
     inf = math.inf
 
