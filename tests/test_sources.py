@@ -102,6 +102,30 @@ def test_a_late_copy_with_another_time_is_found(spark, tmp_path):
     assert got == ["a", "b", "dup"]
 
 
+def test_ids_without_a_time_limit_are_kept_by_a_built_in_aggregate(spark, tmp_path):
+    path, day = str(tmp_path / "in"), 86_400_000
+    stream = silver_stream.SilverStream(str(tmp_path / "out"), 7, silver.SilverOptions(watermark.WatermarkConfig(day, 9 * day)))
+
+    def run():
+        stream.run(spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path))
+        found = [spark.read.schema("event_id string, timestamp_ms long").parquet(str(tmp_path / "out" / name)) for name in ("silver", "quarantine")]
+        return sorted(((r.event_id or "", r.timestamp_ms) for t in found for r in t.collect()))
+
+    # Three batches of ``mark`` in one trigger of ``settle``: the least arrival of all of them is the first.
+    for rows in ([("a", 5, 10 * day), ("b", 1, 10 * day), (None, 6, 10 * day)], [("a", 3, 10 * day + 1), ("b", 4, 10 * day + 1)], [(None, 2, 10 * day + 2), ("c", 7, 10 * day + 2)]):
+        _events_in(spark, path, rows)
+    first = [("", 10 * day + 2), ("a", 10 * day + 1), ("b", 10 * day), ("c", 10 * day + 2)]
+    assert run() == first
+    # What was let through stays, also for copies that arrived before it.
+    _events_in(spark, path, [("a", 0, 10 * day + 3), (None, 0, 10 * day + 3), ("d", 8, 10 * day + 3), ("d", 9, 10 * day)])
+    assert run() == [*first, ("d", 10 * day + 3)]
+    assert [r.operatorName for r in spark.read.format("state-metadata").load(str(tmp_path / "out/checkpoint-settle")).select("operatorName").distinct().collect()] == ["stateStoreSave"]
+    # A row that cannot be found is an error, never left out.
+    schema = spark.read.parquet(str(tmp_path / "out/marked/batch_id=0")).schema
+    with pytest.raises(Exception, match="marked row is missing"):
+        stream._marked_rows(spark.createDataFrame([("a", 0, 0), ("lost", 0, 0)], "event_id string, first_in long, last_in long"), schema).collect()
+
+
 def test_keys_are_let_through_again_after_their_time(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(r, "event_id string, arrival_seq long, timestamp_ms long")
     for name, ttl, want in (("short", 1500, 3), ("long", 3_600_000, 2), ("never", None, 2)):

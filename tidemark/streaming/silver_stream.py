@@ -3,6 +3,7 @@
 ``mark`` classifies each micro-batch against the running maximum that the batches before it left, a one-row table for each
 batch id, and writes the rows that are no discards, the first of each id in the batch. ``settle`` reads these, lets the first of each id
 through by keyed state, validates, and writes the silver and quarantine tables. Discards so never enter the state.
+The state is a built-in aggregate, four numbers for each id; only ids with a time to live need state of their own (``dedup_ttl_stream``).
 
 A micro-batch costs what is in it: its maximum is one row of state, its ids are looked up in the state store, and no
 table of what was seen is read. Both queries go on from their checkpoints. A batch that is run again, after a crash between
@@ -25,6 +26,9 @@ from ..operators import quality
 from ..operators.silver import SilverOptions, canonicalize_enums, to_silver
 from ..operators.watermark import classify, first_per_key
 
+#: The column of the marked table that tells the batch of ``mark`` a row came in.
+MARKED_IN = "marked_in"
+
 
 @dataclass
 class SilverStream:
@@ -58,14 +62,14 @@ class SilverStream:
             start = self._top_before(batch.sparkSession, batch_id)
             marked = classify(batch, o.watermark, o.arrival, start)
             live = first_per_key(marked.filter("watermark_classification <> 'discard'"), "event_id", o.arrival, ("timestamp_ms",))
-            self._write(live, "marked", batch_id)
+            self._write(live.withColumn(MARKED_IN, F.lit(batch_id).cast("long")), "marked", batch_id)
             top = batch.agg(F.max("timestamp_ms").alias("max_ms")).select(F.greatest("max_ms", F.lit(start).cast("long")).alias("max_ms"))
             self._write(top.coalesce(1), "state", batch_id)
         finally:
             batch.unpersist()
 
     def settle(self, fresh: DataFrame, batch_id: int) -> None:
-        """Validate first copies and write them."""
+        """Validate first copies and write them; ``fresh`` is read once."""
         checked = quality.with_errors(fresh).persist()
         try:
             bad = F.size("errors") > 0
@@ -77,11 +81,35 @@ class SilverStream:
         finally:
             checked.unpersist()
 
+    def _marked_rows(self, ids: DataFrame, schema: T.StructType) -> DataFrame:
+        """The first row of each id in the marked batches that its trigger had of it; only these batches are read."""
+        spark, o = ids.sparkSession, self.options
+        low, high = ids.agg(F.min("first_in"), F.max("last_in")).first()
+        batches = range(low, high + 1) if low is not None else ()
+        rows = spark.read.schema(schema).parquet(*(f"{self._table('marked')}/batch_id={b}" for b in batches)) if batches else spark.createDataFrame([], schema)
+        own = ids.select(F.col("event_id").alias("_id"), "first_in", "last_in")
+        found = own.join(rows, F.col("_id").eqNullSafe(F.col("event_id")) & F.col(MARKED_IN).between(F.col("first_in"), F.col("last_in")), "left")
+        # A row that is not there, such as of a batch that is just being written again, fails the trigger, which then runs again.
+        there = F.coalesce("watermark_classification", F.raise_error(F.lit("A marked row is missing")).cast("string"))
+        found = found.withColumn("watermark_classification", there).select([f.name for f in schema if f.name != MARKED_IN])
+        return first_per_key(found, "event_id", o.arrival, ("timestamp_ms",)) if len(batches) > 1 else found  # a batch has an id once
+
     def _settling(self, spark: SparkSession, schema: T.StructType, trigger: dict) -> StreamingQuery:
         marked = spark.readStream.schema(schema).parquet(f"{self._table('marked')}/batch_id=*")
-        fresh = dedup_ttl_stream(marked, self.ttl_ms, order=(self.options.arrival, "timestamp_ms"))
+        if self.ttl_ms is None:
+            fresh, mode = first_marked_stream(marked), "update"
+
+            def settle(ids: DataFrame, batch_id: int) -> None:
+                ids.persist()
+                try:
+                    self.settle(self._marked_rows(ids, schema), batch_id)
+                finally:
+                    ids.unpersist()
+        else:
+            fresh, mode = dedup_ttl_stream(marked.drop(MARKED_IN), self.ttl_ms, order=(self.options.arrival, "timestamp_ms")), "append"
+            settle = self.settle
         with keyed_state(spark):
-            return fresh.writeStream.foreachBatch(self.settle).option("checkpointLocation", self._table("checkpoint-settle")).trigger(**trigger).start()
+            return fresh.writeStream.outputMode(mode).foreachBatch(settle).option("checkpointLocation", self._table("checkpoint-settle")).trigger(**trigger).start()
 
     def start(self, events: DataFrame, trigger: dict | None = None) -> list[StreamingQuery]:
         """Run until all present input is done, or go on by the given trigger, such as {"processingTime": "15 seconds"}.
@@ -89,7 +117,7 @@ class SilverStream:
         The queries that are running; the first is done already where the input present is all.
         """
         spark, now = events.sparkSession, trigger or {"availableNow": True}
-        schema = T.StructType([*events.schema.fields, T.StructField("watermark_classification", T.StringType())])
+        schema = T.StructType([*events.schema.fields, T.StructField("watermark_classification", T.StringType()), T.StructField(MARKED_IN, T.LongType())])
         marking = events.writeStream.foreachBatch(self.mark).option("checkpointLocation", self._table("checkpoint-mark")).trigger(**now).start()
         if "processingTime" not in now:
             marking.awaitTermination()
@@ -107,6 +135,18 @@ def dedup_stream(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["event_id"]).drop("event_ts")
 
 
+def first_marked_stream(marked: DataFrame, key: str = "event_id", batch: str = MARKED_IN) -> DataFrame:
+    """(key, first_in, last_in) of the keys that come for the first time: the least and greatest batch that their trigger has of them. For update mode.
+
+    State is an aggregate of the key: these two, and the least and greatest time of a trigger that it came in. All rows of
+    a trigger have the trigger's time, which a trigger that runs again keeps, so both are the same in a key's first trigger only,
+    whichever way the clock is set. Null is a key. Start it within ``keyed_state``.
+    """
+    came = marked.select(key, batch, F.current_timestamp().alias("_came"))
+    seen = came.groupBy(key).agg(F.min(batch).alias("first_in"), F.max(batch).alias("last_in"), F.min("_came").alias("_first"), F.max("_came").alias("_last"))
+    return seen.filter("_first = _last").select(key, "first_in", "last_in")
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -163,6 +203,7 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",  # would look each key up again
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
