@@ -1,11 +1,13 @@
 """Rates and bucket quantiles on samples small enough to reckon by hand."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import monitoring
+from tidemark.plans import operations
 
 MINUTE = 60_000
 
@@ -60,6 +62,16 @@ def test_histograms_by_column_equal_those_by_row(spark):
     assert plan.count("Generate inline") == 1 and plan.index("Generate inline") < plan.rindex("Window [lag(")
 
 
+@pytest.mark.parametrize("name", ["latency_quantiles_1m", "prediction_rate_1m"])
+def test_no_task_holds_a_table_of_samples_by_time_or_sorts_a_day(spark, name):
+    plan = getattr(operations, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    keys = re.findall(r"Aggregate \[([^\]]*)\]", plan)
+    assert keys and not [k for k in keys if re.search(r"\b(ts_ms|_t)#", k)]
+    # Windows over samples, which are ordered by time, are within minutes or cells.
+    sorts = re.findall(r", \[([^\]]*)\], \[((?:ts_ms|_t)#[^\]]*)\]", plan)
+    assert sorts and all(re.search(r"\b(minute|_cell)#", by) for by, _ in sorts)
+
+
 def test_bucket_quantiles(spark):
     inf = math.inf
 

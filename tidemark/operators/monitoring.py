@@ -41,10 +41,14 @@ def _cells(samples: DataFrame, by: list[str], step_ms: int, ts: str, values: dic
     """(by..., _cell, _first, _last, _n, _grown_<name>...) of counters (name -> column) that are sampled together.
 
     Of the samples of a cell its first and last (_t and the counters by name), their number, and what each counter grew by between them.
+    Samples of one time are brought together in the order of the cell, as a table of nearly all samples by time would fill a task's memory.
     """
-    rows = samples.groupBy(*by, F.col(ts).cast("long").alias("_t")).agg(*(F.max(F.col(c).cast("double")).alias(name) for name, c in values.items()))
+    rows = samples.select(*by, F.col(ts).cast("long").alias("_t"), *(F.col(c).cast("double").alias(name) for name, c in values.items()))
     rows = rows.withColumn("_cell", F.ceil(F.col("_t") / F.lit(step_ms)))  # ends at _cell * step, included
     inside = Window.partitionBy(*by, "_cell").orderBy("_t")
+    together = inside.rangeBetween(Window.currentRow, Window.currentRow)
+    rows = rows.select(*by, "_cell", "_t", F.lag("_t").over(inside).alias("_before"), *(F.max(name).over(together).alias(name) for name in values))
+    rows = rows.filter(F.col("_before").isNull() | (F.col("_before") < F.col("_t")))
     rows = rows.withColumns({f"_grown_{name}": F.coalesce(increase(F.col(name), F.lag(name).over(inside)), F.lit(0.0)) for name in values})
     at = lambda f, name: f(F.struct("_t", *values)).alias(name)
     return rows.groupBy(*by, "_cell").agg(at(F.min, "_first"), at(F.max, "_last"), F.count("*").alias("_n"), *(F.sum(f"_grown_{name}").alias(f"_grown_{name}") for name in values))

@@ -41,10 +41,20 @@ def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counters(spark: SparkSession, sf_dir: str, counts: dict[str, Column]) -> DataFrame:
-    """(instance, ts_ms, counters...): what was counted up to each time of an instance's day, brought together by time before it is added up."""
-    added = _served(spark, sf_dir).groupBy("instance", "day", "ts_ms").agg(*(c.alias(name) for name, c in counts.items()))
-    running = Window.partitionBy("instance", "day").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
-    return added.select("instance", "ts_ms", *(F.sum(name).over(running).alias(name) for name in counts))
+    """(instance, ts_ms, counters...): what was counted up to each time of an instance's day.
+
+    Added up within minutes, which are many where days are few, and over what the minutes of a day come to.
+    """
+    served = _served(spark, sf_dir).withColumn("minute", F.floor(F.col("ts_ms") / F.lit(MINUTE)))  # within a day
+    earlier = Window.partitionBy("instance", "day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    sums = served.groupBy("instance", "day", "minute").agg(*(c.alias(name) for name, c in counts.items()))
+    sums = sums.select(F.col("instance").alias("_instance"), F.col("minute").alias("_minute"), *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_{name}") for name in counts))
+    inside = Window.partitionBy("instance", "minute").orderBy("ts_ms")  # rows of one time count together
+    rows = served.select("instance", "minute", "ts_ms", F.lag("ts_ms").over(inside).alias("_before"), *(c.over(inside).alias(name) for name, c in counts.items()))
+    rows = rows.filter(F.col("_before").isNull() | (F.col("_before") < F.col("ts_ms")))
+    # A row for each instance and minute is broadcast.
+    rows = rows.join(F.broadcast(sums), F.col("instance").eqNullSafe(F.col("_instance")) & (F.col("minute") == F.col("_minute")))
+    return rows.select("instance", "ts_ms", *((F.col(name) + F.col(f"_{name}")).alias(name) for name in counts))
 
 
 def _rate(spark: SparkSession, sf_dir: str, minutes: int) -> DataFrame:
